@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import pii
 from .exact_dedup import exact_dedup
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest_columns(pii.find_personal_data(documents(spark, sf_dir, "doc_id", "text")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -29,7 +34,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op10_exact_dedup": op10_exact_dedup}
+    return {"op2_pii": op2_pii, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

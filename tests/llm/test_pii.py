@@ -1,0 +1,65 @@
+import hashlib
+import random
+import re
+
+from kontor.llm import queries
+from kontor.llm.pii import BASE, digest_columns, find_personal_data, luhn, mod97, spans
+
+from .conftest import SF
+
+
+def brute(text):
+    """The base spans by the stated patterns over the whole text."""
+    found = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m[0].split(".")):
+            found.append(("ip", *m.span()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        digits = [int(c) for c in m[0] if c.isdigit()]
+        if 14 <= len(digits) <= 19:
+            doubled = [d if i % 2 else d * 2 - 9 * (d > 4) for i, d in enumerate(digits[::-1], 1)]
+            if sum(doubled) % 10 == 0:
+                found.append(("card", *m.span()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= sum(c.isdigit() for c in m[0]) <= 15:
+            found.append(("phone", *m.span()))
+    return sorted(found, key=lambda s: (s[1], BASE.index(s[0])))
+
+
+def base(text):
+    return [s[:3] for s in spans(text) if s[0] in BASE]
+
+
+def test_random_strings_against_the_patterns():
+    rng = random.Random(5)
+    for alphabet in ("a1.@ -+", "0123456789.", "0123456789 -", "+0123456789 ().-", "aZ%_+-.@1é"):
+        for _ in range(1500):
+            text = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))
+            assert base(text) == brute(text), text
+
+
+def test_checksums():
+    assert luhn("4111111111111111") and not luhn("4111111111111112")
+    assert mod97("GB82 WEST 1234 5698 7654 32") and not mod97("GB82 WEST 1234 5698 7654 33")
+
+
+def test_context_decides_about_kinds_without_a_checksum():
+    assert [s[0] for s in spans("ssn 123-45-6789")] == ["ssn"]
+    assert spans("part no 123-45-6789") == []
+    assert spans("IBAN GB82 WEST 1234 5698 7654 32")[0][3] == 1.0
+
+
+def test_query_agrees_with_brute_force(spark):
+    got = {r.doc_id: r for r in queries.op2_pii(spark, SF).collect()}
+    for doc_id, text in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect():
+        want = brute(text or "")
+        assert [got[doc_id][f"n_{k}"] for k in BASE] == [sum(s[0] == k for s in want) for k in BASE]
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert got[doc_id].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
+    assert sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in got.values()) > 0
+
+
+def test_odd_rows(odd, none):
+    assert digest_columns(find_personal_data(odd)).count() == odd.count()
+    assert find_personal_data(none).count() == 0
+    assert spans("x" * 200_000 + "@") == [] and base("1" * 200_000) == []
