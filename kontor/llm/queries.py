@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pii
+from . import pieces, pii
 from .exact_dedup import exact_dedup
 from .shared import documents
 
@@ -17,6 +17,13 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_personal_data(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    encoded = pieces.round_trip(documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.digest_columns(encoded)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -34,7 +41,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_pii": op2_pii, "op10_exact_dedup": op10_exact_dedup}
+    return {"op2_pii": op2_pii, "op4_pieces": op4_pieces, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
