@@ -39,6 +39,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Breaks between words of letters and digits; every byte of a character beyond ASCII counts as a letter.
+NOT_ALNUM = np.ones(256, bool)
+NOT_ALNUM[128:] = NOT_ALNUM[48:58] = NOT_ALNUM[65:91] = NOT_ALNUM[97:123] = False
 
 
 class Roller:
@@ -98,16 +101,19 @@ class Chunk:
     def text(self, i: int) -> bytes:
         return self.data[self.offsets[i] : self.offsets[i + 1]].tobytes()
 
-    def words(self, lower: bool = False, seed: int = 0) -> Words:
-        return Words(self, lower, seed)
+    def words(self, lower: bool = False, seed: int = 0, breaks: np.ndarray | None = None) -> Words:
+        return Words(self, lower, seed, breaks)
 
 
 class Words:
-    """The words ``[^\\x20\\x09-\\x0D]+`` of a chunk: byte bounds, text number and hash of each; ``first[i]:first[i+1]`` are those of text i."""
+    """The words of a chunk: byte bounds, text number and hash of each; ``first[i]:first[i+1]`` are those of text i.
 
-    def __init__(self, chunk: Chunk, lower: bool, seed: int):
+    ``breaks`` tells which bytes stand between words; without it words are ``[^\\x20\\x09-\\x0D]+``.
+    """
+
+    def __init__(self, chunk: Chunk, lower: bool, seed: int, breaks: np.ndarray | None = None):
         data, offsets = chunk.data, chunk.offsets
-        space = _SPACE[data]
+        space = (_SPACE if breaks is None else breaks)[data]
         edge = np.ones(len(data) + 1, bool)
         if len(data):
             edge[1:-1] = False
@@ -126,9 +132,10 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, seed: int) -> np.ndarray:
+    def hashes(self, seed: int, stop: np.ndarray | None = None) -> np.ndarray:
+        """Hash of each word, or of its beginning up to ``stop``."""
         data = _LOWER[self.chunk.data] if self.lower else self.chunk.data
-        return ROLLERS[seed].slices(BYTES[seed][data], self.start, self.stop)
+        return ROLLERS[seed].slices(BYTES[seed][data], self.start, self.stop if stop is None else stop)
 
 
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
@@ -152,6 +159,15 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         i = j
 
 
+def word_hashes(words: list[str]) -> np.ndarray:
+    """The hashes that ``Words`` gives these words."""
+    return Chunk(slice(0, 1), *_flat([w.encode() for w in words])).words().hash
+
+
+def _flat(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """64-bit hashes as Spark's long."""
     return np.ascontiguousarray(x).view(np.int64)

@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii
+from . import pieces, pii, toxicity
 from .exact_dedup import exact_dedup
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.toxicity(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_personal_data(documents(spark, sf_dir, "doc_id", "text")))
 
@@ -41,7 +46,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op2_pii": op2_pii, "op4_pieces": op4_pieces, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
