@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import pieces, pii, toxicity
+from . import language, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
 from .shared import documents
 
@@ -29,6 +29,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_columns(encoded)
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.language(documents(spark, sf_dir, "doc_id", "text", "lang"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -46,7 +50,7 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op8_language": op8_language, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
