@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import language, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .shared import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +30,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_columns(encoded)
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
@@ -49,9 +54,32 @@ FROM d WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
 
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN []
+           WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+           ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))) END) AS shingle
+  FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common
+          FROM s AS a JOIN s AS b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b
+          WHERE 100 * common >= 75 * (x.n + y.n - common)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents
+          UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach.other) AS component_id,
+       d.doc_id = min(reach.other) AS kept
+FROM documents AS d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op8_language": op8_language, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op7_minhash": op7_minhash, "op8_language": op8_language, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op7_minhash": OP7_SQL, "op10_exact_dedup": OP10_SQL}

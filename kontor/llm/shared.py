@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> None:
@@ -22,3 +23,50 @@ def settled(df: DataFrame) -> DataFrame:
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+
+
+#: Bits of a sieve.  Its table has SIEVE_BITS / 64 rows at most, whatever the input, so it can be broadcast.
+SIEVE_BITS = 1 << 22
+
+
+def sieve(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id may be among ``ids`` (one column): a bitmap of hashed ids, applied where the rows are read.
+
+    It keeps every wanted row and drops most others before a shuffle; an exact join must follow.
+    """
+
+    def slot(column):
+        return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+
+    (name,) = ids.columns
+    hashed = ids.select(slot(F.col(name)).alias("_slot"))
+    words = hashed.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_bits")
+    )
+    own = df.withColumn("_slot", slot(F.col(id_col))).withColumn("_word", F.shiftright("_slot", 6))
+    hit = own.join(F.broadcast(words), "_word").where("(shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1L) = 1L")
+    return hit.select(*df.columns)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """Connected components of ``links`` (a, b): (id, component), where component is the least id reached.
+
+    Least labels spread along the links and jump to their labels' labels, so the
+    number of rounds follows the logarithm of a chain's length, not the length.
+    """
+    both = settled(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct())
+    labels = settled(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("near")).select("id", F.least("id", "near").alias("component")))
+    while True:
+        near = (
+            both.join(labels.select(F.col("id").alias("b"), "component"), "b")
+            .groupBy(F.col("a").alias("id"))
+            .agg(F.min("component").alias("near"))
+        )
+        spread = labels.join(near, "id").select("id", F.least("component", "near").alias("component"), F.col("component").alias("before"))
+        spread = settled(spread)
+        jump = spread.select(F.col("id").alias("component"), F.col("component").alias("far"))
+        after = spread.join(jump, "component").select("id", F.least("component", "far").alias("component"), "before")
+        after = settled(after)
+        labels = after.select("id", "component")
+        if after.where("component <> before").isEmpty():
+            return labels
