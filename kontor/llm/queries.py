@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, pieces, pii, toxicity
+from . import decontaminate, language, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .shared import documents
@@ -38,6 +39,12 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(documents(spark, sf_dir, "doc_id", "text", "lang"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumnRenamed("doc_id", "id")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("item"), "text")
+    return decontaminate.overlaps(docs, items).withColumnRenamed("id", "doc_id").withColumnRenamed("item", "item_id")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -78,7 +85,7 @@ FROM documents AS d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP B
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op7_minhash": op7_minhash, "op8_language": op8_language, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op7_minhash": op7_minhash, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
