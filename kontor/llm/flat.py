@@ -200,3 +200,32 @@ def anchors(keys: np.ndarray, width: int, usable: np.ndarray) -> np.ndarray:
     least = np.where(usable, sliding(keys, width, np.minimum), U(0))
     pad = np.zeros(width - 1, U)
     return sliding(np.concatenate((pad, least, pad)), width, np.maximum) == np.maximum(keys, U(1))
+
+
+def covered(start: np.ndarray, width: int, n: int) -> np.ndarray:
+    """Which of ``n`` places lie in some run of ``width`` places that begins at ``start``."""
+    step = np.zeros(n + 1, np.int64)
+    np.add.at(step, start, 1)
+    np.add.at(step, np.minimum(start + width, n), -1)
+    return np.cumsum(step)[:n] > 0
+
+
+def joined(words: Words, kept: np.ndarray) -> list[bytes]:
+    """The kept words of each text, joined by one blank."""
+    data = words.chunk.data.copy()
+    number = np.flatnonzero(kept)
+    last = np.ones(len(number), bool)
+    last[:-1] = words.text[number[1:]] != words.text[number[:-1]]
+    size = (words.stop - words.start)[number]
+    take = np.zeros(len(data) + 1, np.int8)
+    np.add.at(take, words.start[number], 1)
+    np.add.at(take, words.stop[number], -1)
+    take = np.cumsum(take[:-1], dtype=np.int8) > 0
+    gaps = words.stop[number[~last]]  # the white space behind a kept word that is not the last
+    data[gaps] = 32
+    take[gaps] = True
+    ends = np.zeros(len(words.chunk) + 1, np.int64)
+    np.add.at(ends, words.text[number] + 1, size + ~last)
+    ends = np.cumsum(ends)
+    flat = data[take].tobytes()
+    return [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]

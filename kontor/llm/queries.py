@@ -11,6 +11,7 @@ from . import decontaminate, language, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .shared import documents
+from .substring_dedup import substring_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digest_columns(encoded)
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir, "doc_id", "text")).drop("kept")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -84,9 +89,25 @@ FROM documents AS d JOIN reach USING (doc_id) LEFT JOIN n USING (doc_id) GROUP B
 """
 
 
+OP5_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS i, words FROM w WHERE len(words) >= 50),
+v AS (SELECT doc_id, i, hash(array_to_string(words[i:i + 49], ' ')) AS h FROM p),
+lows AS (SELECT h, min(doc_id) AS low FROM v GROUP BY h HAVING count(*) > 1),
+hits AS (SELECT doc_id, i FROM v JOIN lows USING (h) WHERE doc_id > low),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM hits),
+every AS (SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS i FROM w),
+left_over AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS kept, count(*) AS n FROM every AS e
+         ANTI JOIN gone AS g ON g.doc_id = e.doc_id AND g.i = e.i GROUP BY e.doc_id)
+SELECT w.doc_id, len(words) AS n_words, len(words) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN left_over USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op7_minhash": op7_minhash, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op5_substrings": op5_substrings, "op7_minhash": op7_minhash, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_minhash": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op5_substrings": OP5_SQL, "op7_minhash": OP7_SQL, "op10_exact_dedup": OP10_SQL}
