@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .near_dedup import near_dedup
 from .shared import documents
 from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,6 +37,10 @@ def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir, "doc_id", "text")).drop("kept")
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir, "doc_id", "text")).drop("kept")
+
+
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -106,7 +111,7 @@ FROM w LEFT JOIN left_over USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op5_substrings": op5_substrings, "op7_minhash": op7_minhash, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op5_substrings": op5_substrings, "op6_suffixes": op6_suffixes, "op7_minhash": op7_minhash, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -29,23 +29,40 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 SIEVE_BITS = 1 << 22
 
 
+def _slot(column):
+    return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+
+
+def _bits(ids: DataFrame) -> DataFrame:
+    """The bitmap of hashed ids as (_word, _bits)."""
+    (name,) = ids.columns
+    hashed = ids.select(_slot(F.col(name)).alias("_slot"))
+    return hashed.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_bits")
+    )
+
+
+def _sifted(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """``df`` with ``_hit``: whether the row's id may be among ``ids``."""
+    own = df.withColumn("_slot", _slot(F.col(id_col))).withColumn("_word", F.shiftright("_slot", 6))
+    hit = F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1L) = 1L"), F.lit(False))
+    return own.join(F.broadcast(_bits(ids)), "_word", "left").select(*df.columns, hit.alias("_hit"))
+
+
 def sieve(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose id may be among ``ids`` (one column): a bitmap of hashed ids, applied where the rows are read.
 
     It keeps every wanted row and drops most others before a shuffle; an exact join must follow.
     """
+    return _sifted(df, id_col, ids).where("_hit").drop("_hit")
 
-    def slot(column):
-        return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
 
+def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is not among ``ids`` (one column); only rows that the sieve keeps are shuffled."""
     (name,) = ids.columns
-    hashed = ids.select(slot(F.col(name)).alias("_slot"))
-    words = hashed.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_bits")
-    )
-    own = df.withColumn("_slot", slot(F.col(id_col))).withColumn("_word", F.shiftright("_slot", 6))
-    hit = own.join(F.broadcast(words), "_word").where("(shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1L) = 1L")
-    return hit.select(*df.columns)
+    sifted = _sifted(df, id_col, ids)
+    doubtful = sifted.where("_hit").drop("_hit").join(ids.select(F.col(name).alias(id_col)), id_col, "left_anti")
+    return sifted.where("not _hit").drop("_hit").unionByName(doubtful.select(*df.columns))
 
 
 def components(links: DataFrame) -> DataFrame:
