@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import decontaminate, language, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
+from .hmm import language_model
 from .near_dedup import near_dedup
 from .shared import documents
 from .substring_dedup import substring_dedup
@@ -26,6 +27,10 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest_columns(pii.find_personal_data(documents(spark, sf_dir, "doc_id", "text")))
 
 
+def op3_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -111,7 +116,7 @@ FROM w LEFT JOIN left_over USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op4_pieces": op4_pieces, "op5_substrings": op5_substrings, "op6_suffixes": op6_suffixes, "op7_minhash": op7_minhash, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_exact_dedup": op10_exact_dedup}
+    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op3_hmm": op3_hmm, "op4_pieces": op4_pieces, "op5_substrings": op5_substrings, "op6_suffixes": op6_suffixes, "op7_minhash": op7_minhash, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_exact_dedup": op10_exact_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
