@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import NOT_ALNUM, Words, chunks, mix, seeded, signed
+from .shared import settled, without
 
 SPAN, MISS = 13, 2
 #: The most benchmark hashes that are sent to the readers.
@@ -173,5 +174,4 @@ def overlaps(docs: DataFrame, items: DataFrame, held: int = HELD) -> DataFrame:
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that overlap with an item; the columns stay.  ``items`` is (item, text)."""
     found = overlaps(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items)
-    gone = found.select(F.col("id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    return without(docs, id_col, settled(found.select(F.col("id").alias(id_col)).distinct()))

@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import settled
+from .shared import settled, without
 
 #: Counters of the Misra-Gries summary, and the most contents that are broadcast.
 TRACKED = 8192
@@ -83,5 +83,5 @@ def exact_dedup(
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that ``exact_dedup`` drops; the columns stay."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
+    return without(docs, id_col, settled(gone))

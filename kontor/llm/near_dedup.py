@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import ROLLERS, Chunk, chunks, lists, mix, seeded, signed
-from .shared import components, settled, sieve
+from .shared import components, settled, sieve, without
 
 SHINGLE = 5
 BANDS, ROWS = 48, 4
@@ -249,3 +249,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col("rep").alias("component_id"),
         F.col("id").eqNullSafe(F.col("rep")).alias("kept"),
     )
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each near-duplicate group: the one with the least id; the columns stay."""
+    gone = near_dedup(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
+    return without(docs, id_col, settled(gone))

@@ -259,9 +259,10 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
     return rows.mapInArrow(_round_trip(Vocabulary(model_path)), schema).withColumnRenamed("id", id_col)
 
 
-def digest_columns(encoded: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def digest_columns(encoded: DataFrame, id_col: str = "doc_id", extra: tuple[str, ...] = ()) -> DataFrame:
     return encoded.select(
         id_col,
+        *extra,
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),

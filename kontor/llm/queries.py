@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -116,8 +117,24 @@ FROM w LEFT JOIN left_over USING (doc_id)
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": op1_toxicity, "op2_pii": op2_pii, "op3_hmm": op3_hmm, "op4_pieces": op4_pieces, "op5_substrings": op5_substrings, "op6_suffixes": op6_suffixes, "op7_minhash": op7_minhash, "op8_language": op8_language, "op9_decontaminate": op9_decontaminate, "op10_exact_dedup": op10_exact_dedup}
+    return {
+        "op1_toxicity": op1_toxicity,
+        "op2_pii": op2_pii,
+        "op3_hmm": op3_hmm,
+        "op4_pieces": op4_pieces,
+        "op5_substrings": op5_substrings,
+        "op6_suffixes": op6_suffixes,
+        "op7_minhash": op7_minhash,
+        "op8_language": op8_language,
+        "op9_decontaminate": op9_decontaminate,
+        "op10_exact_dedup": op10_exact_dedup,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_substrings": OP5_SQL, "op7_minhash": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    """SQL of the operators that SQL can express; the others are tested against brute force, round trips or held-out rows."""
+    found = {"op5_substrings": OP5_SQL, "op7_minhash": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    if corpus_pipeline.ORACLE_SQL is not None:
+        found["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return found

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import NOT_ALNUM, Chunk, chunks, signed, word_hashes
-from .shared import settled
+from .shared import settled, without
 
 #: Labelled rows that learning sees at most (about, as a hash chooses them), candidates kept, times that each toxic text is explained.
 SAMPLE = 20_000
@@ -349,3 +349,9 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, grammar).select(
         "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "clauses"
     )
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that ``toxicity`` rejects; the columns stay."""
+    gone = toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
+    return without(docs, "doc_id", settled(gone))
