@@ -51,7 +51,9 @@ MARK_BITS = 26
 #: Leads that are treated as heavy, at most; and the fewest documents that make a lead heavy.
 HEAVY, HEAVY_LEAST = 1 << 16, 3000
 #: Suffixes that a bucket should hold, and sampled leads for the splitters.
-BUCKET, SAMPLE = 100_000, 100_000
+BUCKET, SAMPLE = 50_000, 100_000
+#: Bytes of text after which a task hands on what it has gathered, and bytes of text for each range of hashes.
+GATHER, RANGE = 6 << 20, 3_000_000
 
 U = np.uint64
 _LEFT = seeded(256 * 256, 31).reshape(256, 256)
@@ -63,7 +65,7 @@ class Scan:
     def __init__(self, chunk: Chunk, width: int):
         lead = width // 2
         self.values = BYTES[0][chunk.data]
-        self.text = np.repeat(np.arange(len(chunk)), np.diff(chunk.offsets))
+        self.text = np.repeat(np.arange(len(chunk), dtype=np.int32), np.diff(chunk.offsets))
         n = len(chunk.data) - width + 1
         self.usable = self.text[:n] == self.text[width - 1 :] if n > 0 else np.zeros(0, bool)
         self.hash = ROLLERS[0].windows(self.values, lead)
@@ -72,13 +74,27 @@ class Scan:
         self.key = self.hash[self.at]
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.RecordBatch, Chunk]]]:
+    """Chunks with their batches, in parts of about ``GATHER`` bytes."""
+    for batch in batches:
+        part, size = [], 0
+        for chunk in chunks(batch):
+            part.append((batch, chunk))
+            size += len(chunk.data)
+            if size >= GATHER:
+                yield part
+                part, size = [], 0
+        if part:
+            yield part
+
+
 def _count(width: int, buckets: int):
     """Distinct leads of each text, counted over a batch: (bucket, keys, counts) with arrays as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in gathered(batches):
             keys, counts = [np.empty(0, U)], [np.empty(0, np.int64)]
-            for chunk in chunks(batch):
+            for _, chunk in part:
                 scan = Scan(chunk, width)
                 pair = np.stack((scan.key, scan.text[scan.at].astype(U)), 1)
                 pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
@@ -177,17 +193,17 @@ def _deal(width: int, marks, splitters: np.ndarray):
     lead = width // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in gathered(batches):
             ids, ats, tables, sides = [], [], [], []
-            own = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for chunk in chunks(batch):
+            for batch, chunk in part:
                 scan = Scan(chunk, width)
                 at = scan.at[marks.value.marked(scan.key) & ~marks.value.is_heavy(scan.key)]
                 if not len(at):
                     continue
                 text = scan.text[at]
                 table, left, right = around(chunk, at, text, width)
-                ids.append(own[chunk.rows][text])
+                own = batch.column(0)[chunk.rows.start : chunk.rows.stop].to_numpy(zero_copy_only=False)
+                ids.append(own.astype(np.int64)[text])
                 ats.append(at - chunk.offsets[text])
                 tables.append(table)
                 sides.append(np.stack((left, right), 1).astype(np.uint8))
@@ -328,8 +344,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = rows.agg(F.sum("n_bytes").alias("bytes"), F.count(F.lit(1)).alias("n")).first()
 
     texts = without(base.where(F.octet_length("text") >= width), "id", copies)
-    # ranges of hashes small enough for a task: about a byte in twelve is an anchor, eight bytes each
-    ranges = max(16, (total.bytes or 0) // 12_000_000)
+    # ranges of hashes small enough for a task: about a byte in fourteen is an anchor, eight bytes each
+    ranges = max(16, (total.bytes or 0) // RANGE)
     heavy_from = max(HEAVY_LEAST, (total.bytes or 0) // (12 * HEAVY))
     counted = texts.mapInArrow(_count(width, ranges), "bucket int, keys binary, counts binary")
     parts = counted.groupBy("bucket").applyInPandas(_mark(ranges, heavy_from), "low int, bits binary, heavy binary")
