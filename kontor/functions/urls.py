@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Query parameters that do not name a page.
 TRACKING = r"(?i)^(utm_.*|gclid|fbclid|yclid|msclkid|_ga|ref|referrer|from|sort|order|view|display|limit|per_page|page|session.*|sid)$"
-URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?([^/?#:]*|\[[^\]]*\])(?::([0-9]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^/?#:\[]*)(?::([0-9]*))?((?:/[^?#]*)?)(?:\?([^#]*))?(?:#.*)?$"
 
 
 def part(url: Column, number: int) -> Column:

@@ -1,4 +1,4 @@
-"""Queries over the driver tables: one per operator, with the SQL each must agree with."""
+"""Queries over the driver's tables: one for each operator, with the DuckDB statement each must agree with."""
 
 from __future__ import annotations
 
@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-Query = Callable[[SparkSession, str], DataFrame]
+from . import catalogue, commerce, reports, snapshots, texts
 
+Query = Callable[[SparkSession, str], DataFrame]
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/part.parquet")
+flagship = commerce.best_source_profit
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {n: q for part in (commerce, snapshots, reports, catalogue, texts) for n, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {n: sql for part in (commerce, snapshots, reports, catalogue, texts) for n, (_, sql) in part.QUERIES.items() if sql}
