@@ -54,6 +54,8 @@ HEAVY, HEAVY_LEAST = 1 << 16, 3000
 BUCKET, SAMPLE = 50_000, 100_000
 #: Bytes of text after which a task hands on what it has gathered, and bytes of text for each range of hashes.
 GATHER, RANGE = 6 << 20, 3_000_000
+#: Bytes of text that are looked at together; arrays of 64-bit numbers for each byte are short-lived and small.
+PART = 1 << 18
 
 U = np.uint64
 _LEFT = seeded(256 * 256, 31).reshape(256, 256)
@@ -78,7 +80,7 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Record
     """Chunks with their batches, in parts of about ``GATHER`` bytes."""
     for batch in batches:
         part, size = [], 0
-        for chunk in chunks(batch):
+        for chunk in chunks(batch, limit=PART):
             part.append((batch, chunk))
             size += len(chunk.data)
             if size >= GATHER:
@@ -179,7 +181,7 @@ def _leads(width: int, marks):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch):
+            for chunk in chunks(batch, limit=PART):
                 scan = Scan(chunk, width)
                 at = scan.at[marks.value.marked(scan.key) & ~marks.value.is_heavy(scan.key)]
                 table = chunk.data[at[:, None] + np.arange(width // 2)] if len(at) else np.empty((0, width // 2), np.uint8)
@@ -279,7 +281,7 @@ def _strings(width: int, marks):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for chunk in chunks(batch):
+            for chunk in chunks(batch, limit=PART):
                 scan = Scan(chunk, width)
                 if not marks.value.is_heavy(scan.key).any():
                     continue
@@ -307,7 +309,7 @@ def _remove(width: int):
         for batch in batches:
             places, masks, keys = batch.column(2), batch.column(3), batch.column(4)
             removed, runs, left = [], [], []
-            for chunk in chunks(batch):
+            for chunk in chunks(batch, limit=PART):
                 full = None
                 for i in range(len(chunk)):
                     row = chunk.rows.start + i
