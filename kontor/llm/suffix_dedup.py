@@ -12,7 +12,7 @@ before it, so a repeated string shows up as two suffixes that agree to the right
 left of a shared anchor.
 
 1. Equal texts are one class; all but the least id go whole.
-2. The hashes of the anchors' leads are counted, batch by batch and hash range by
+2. The hashes (48 bits) of the anchors' leads are counted, batch by batch and hash range by
    hash range.  Leads of one document only cannot repeat.  The others are marked
    in a bitmap of fixed size, which goes to the readers; a false mark costs a little
    work, nothing else.
@@ -73,7 +73,7 @@ class Scan:
         self.hash = ROLLERS[0].windows(self.values, lead)
         self.window = width - lead + 1
         self.at = np.flatnonzero(anchors(self.hash, self.window, self.usable))
-        self.key = self.hash[self.at]
+        self.key = self.hash[self.at] >> U(16)
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.RecordBatch, Chunk]]]:
@@ -90,6 +90,17 @@ def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[pa.Record
             yield part
 
 
+def _packed(keys: np.ndarray) -> bytes:
+    """48-bit keys, six bytes each."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").reshape(-1).astype(U)
+
+
 def _count(width: int, buckets: int):
     """Distinct leads of each text, counted over a batch: (bucket, keys, counts) with arrays as bytes."""
 
@@ -107,13 +118,13 @@ def _count(width: int, buckets: int):
                 counts.append(count)
             key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             count = np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.uint32)
-            bucket = ((key >> U(32)) * U(buckets)) >> U(32)
+            bucket = ((key >> U(16)) * U(buckets)) >> U(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
             some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(some, pa.int32()),
-                    pa.array([key[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
+                    pa.array([_packed(key[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
                     pa.array([count[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
                 ],
                 ["bucket", "keys", "counts"],
@@ -126,12 +137,12 @@ def _mark(buckets: int, heavy_from: int):
     """A hash range's leads that more than one document holds: its part of the bitmap, and its heavy leads."""
 
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.concatenate([np.frombuffer(k, U) for k in group["keys"]])
+        keys = np.concatenate([_unpacked(k) for k in group["keys"]])
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c in group["counts"]])
         keys, inverse = np.unique(keys, return_inverse=True)
         total = np.bincount(inverse, counts)
         keys, total = keys[total > 1], total[total > 1]
-        slots = np.unique(keys >> U(64 - MARK_BITS)).astype(np.int64)
+        slots = np.unique(keys >> U(48 - MARK_BITS)).astype(np.int64)
         low = int(slots[0]) // 8 if len(slots) else 0
         bits = np.zeros(int(slots[-1]) // 8 - low + 1 if len(slots) else 0, np.uint8)
         np.bitwise_or.at(bits, slots // 8 - low, (1 << (slots % 8)).astype(np.uint8))
@@ -155,7 +166,7 @@ class Marks:
         return bool(self.bits.any())
 
     def marked(self, keys: np.ndarray) -> np.ndarray:
-        slot = keys >> U(64 - MARK_BITS)
+        slot = keys >> U(48 - MARK_BITS)
         return (self.bits[(slot >> U(3)).astype(np.int64)] >> (slot & U(7)).astype(np.uint8)) & 1 == 1
 
     def is_heavy(self, keys: np.ndarray) -> np.ndarray:
@@ -195,6 +206,7 @@ def _deal(width: int, marks, splitters: np.ndarray):
     lead = width // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = pa.Codec("zstd", 1)
         for part in gathered(batches):
             ids, ats, tables, sides = [], [], [], []
             for batch, chunk in part:
@@ -214,14 +226,14 @@ def _deal(width: int, marks, splitters: np.ndarray):
             ids, ats, tables, sides = (np.concatenate(x) for x in (ids, ats, tables, sides))
             begin = width - lead
             leads = np.ascontiguousarray(tables[:, begin : begin + lead]).view(f"S{lead}").reshape(-1)
-            bucket = np.searchsorted(splitters, leads, "right")
-            order = np.argsort(bucket, kind="stable")
-            names, first = np.unique(bucket[order], return_index=True)
+            order = np.argsort(leads, kind="stable")  # suffixes with one lead become neighbours, which packs them well
+            names, first = np.unique(np.searchsorted(splitters, leads[order], "right"), return_index=True)
             parts = np.split(order, first[1:])
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(names, pa.int32()),
-                    *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (ids, ats, tables, sides)),
+                    pa.array([ids[p].tobytes() for p in parts], pa.binary()),
+                    *(pa.array([pack.compress(x[p].tobytes(), asbytes=True) for p in parts], pa.binary()) for x in (ats, tables, sides)),
                 ],
                 ["bucket", "ids", "at", "bytes", "sides"],
             )
@@ -265,10 +277,17 @@ def compare(ids: np.ndarray, table: np.ndarray, left: np.ndarray, right: np.ndar
 
 def _bucket(width: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        pack = pa.Codec("zstd", 1)
+        sizes = [len(x) // 8 for x in group["ids"]]
+
+        def column(name: str, each: int, kind: type) -> np.ndarray:
+            parts = [pack.decompress(x, decompressed_size=n * each) for x, n in zip(group[name], sizes, strict=True)]
+            return np.concatenate([np.frombuffer(x, kind) for x in parts])
+
         ids = np.concatenate([np.frombuffer(x, np.int64) for x in group["ids"]])
-        at = np.concatenate([np.frombuffer(x, np.int64) for x in group["at"]])
-        table = np.concatenate([np.frombuffer(x, np.uint8) for x in group["bytes"]]).reshape(len(ids), -1)
-        sides = np.concatenate([np.frombuffer(x, np.uint8) for x in group["sides"]]).reshape(-1, 2).astype(np.int64)
+        at = column("at", 8, np.int64)
+        table = column("bytes", 2 * width - width // 2, np.uint8).reshape(len(ids), -1)
+        sides = column("sides", 2, np.uint8).reshape(-1, 2).astype(np.int64)
         masks = compare(ids, table, sides[:, 0], sides[:, 1], width)
         hit = masks != 0
         return pd.DataFrame({"id": ids[hit], "at": at[hit], "mask": masks[hit]})
@@ -287,7 +306,7 @@ def _strings(width: int, marks):
                     continue
                 least = sliding(scan.hash, scan.window, np.minimum)
                 at = np.flatnonzero(scan.usable)
-                at = at[marks.value.is_heavy(least[at])]
+                at = at[marks.value.is_heavy(least[at] >> U(16))]
                 full = [r.windows(b[chunk.data], width)[at] for r, b in zip(ROLLERS, BYTES, strict=True)]
                 table = np.unique(np.stack((scan.text[at].astype(U), *full), 1), axis=0)
                 yield pa.RecordBatch.from_arrays(
