@@ -69,7 +69,7 @@ def import_names(lines: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFra
     A tab separates fields, else a comma; a line without either name is rejected with its number.
     """
     sep = F.when(F.col("line").contains("\t"), F.lit("\t")).otherwise(",")
-    cells = F.transform(F.split(F.col("line"), sep), F.trim)
+    cells = F.transform(F.split(F.col("line"), sep), lambda c: F.trim(c))
     rows = lines.where(F.trim("line") != "").withColumn("c", cells)
     rows = rows.select(
         "line_no", "line",

@@ -289,7 +289,7 @@ QUERIES = {
         resolve_candidates,
         """WITH c AS (SELECT DISTINCT l_orderkey AS l, l_partkey AS p FROM lineitem), live AS (SELECT *, (l + p) % 4 <> 3 AS is_live FROM c WHERE (l + p) % 8 = 7),
            added AS (SELECT l, min(p) AS p, true AS is_live FROM c WHERE (l + p) % 4 = 1 AND l NOT IN (SELECT l FROM live WHERE is_live) GROUP BY 1)
-           SELECT is_live, count(*) AS n, sum(p) AS products FROM (SELECT * FROM live UNION ALL SELECT * FROM added) GROUP BY 1""",
+           SELECT is_live, count(*) AS n, sum(p)::BIGINT AS products FROM (SELECT * FROM live UNION ALL SELECT * FROM added) GROUP BY 1""",
     ),
     "w3_prefer_trust": (
         prefer_trust,

@@ -20,10 +20,10 @@ def best_source_profit(spark: SparkSession, sf_dir: str) -> DataFrame:
     priced = best.select(
         "product_id", "supplier_id", "quantity", F.col("price").alias("purchase_price"), F.col("domestic_shipping").alias("domestic_shipping_jpy"),
         F.col("handling").alias("handling_jpy"), F.lit("150").cast("decimal(20,10)").alias("fx_rate"),
-        F.round(F.col("price").cast("double") * (1.5 + F.col("product_id") % 5 * 0.25) / 150, 2).cast("decimal(20,6)").alias("selling_price"),
+        F.round(F.col("price").cast("double") * (1.5 + F.col("product_id") % 5 * 0.25) / 150 + 0.001, 2).cast("decimal(20,6)").alias("selling_price"),
     )
     out = profit.profit_scenarios(priced, only=("BASE",)).where(F.col("profit_jpy") >= 1500)
-    return out.select("product_id", "supplier_id", "quantity", *_num("profit", "profit_jpy", "margin_percent", places=3))
+    return out.select("product_id", "supplier_id", "quantity", *_num("profit", places=6), *_num("profit_jpy", places=7), *_num("margin_percent"))
 
 
 def landed_cost(spark, sf_dir):
@@ -41,14 +41,14 @@ def recommend_source(spark, sf_dir):
 
 def profit_scenarios(spark, sf_dir):
     df = profit.profit_scenarios(sale_offers(spark, sf_dir))
-    return df.select("offer_id", "scenario", *_num("total_cost", "profit", "profit_jpy", "margin_percent", places=3), (F.col("profit") < 0).alias("loss"))
+    return df.select("offer_id", "scenario", *_num("total_cost", "profit", places=6), *_num("profit_jpy", places=7), (F.col("margin_percent") >= 15).alias("meets_margin"), (F.col("profit") < 0).alias("loss"))
 
 
 def sum_costs(spark, sf_dir):
     """Exact sums of the cost components over products, one currency."""
     df = profit.profit_scenarios(sale_offers(spark, sf_dir), only=("BASE",))
     return df.groupBy("product_id").agg(F.sum("total_cost").alias("c"), F.sum("cost_purchase").alias("p")).select(
-        "product_id", F.round(F.col("c").cast("double"), 3).alias("total_cost"), F.round(F.col("p").cast("double"), 3).alias("purchase")
+        "product_id", F.round(F.col("c").cast("double"), 6).alias("total_cost"), F.round(F.col("p").cast("double"), 3).alias("purchase")
     )
 
 
@@ -107,7 +107,7 @@ def _asks(spark, sf_dir):
     currency = F.when(F.col("l_returnflag") == "N", "USD").when(F.col("l_returnflag") == "R", "EUR")
     return lines.select(
         F.col("l_partkey").alias("query_id"), F.struct("l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_shipdate").alias("position"), F.col("l_orderkey").alias("item_id"),
-        F.round(F.col("l_extendedprice") / F.col("l_quantity"), 2).cast("decimal(20,6)").alias("price"), currency.alias("currency"), "l_shipdate",
+        F.round(F.col("l_extendedprice") / F.col("l_quantity") + 0.0001, 2).cast("decimal(20,6)").alias("price"), currency.alias("currency"), "l_shipdate",
     )
 
 
@@ -116,7 +116,7 @@ def summarise_asks(spark, sf_dir):
     return df.select("query_id", "currency", *_num("active_min", "active_median", "active_max"), "active_count", "n_other_currency", F.size("caveats").cast("long").alias("n_caveats"))
 
 
-ASKS = """asks AS (SELECT l_partkey AS q, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate, round(l_extendedprice / l_quantity, 2) AS price,
+ASKS = """asks AS (SELECT l_partkey AS q, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_shipdate, round(l_extendedprice / l_quantity + 0.0001, 2) AS price,
   CASE l_returnflag WHEN 'N' THEN 'USD' WHEN 'R' THEN 'EUR' END AS currency FROM lineitem)"""
 
 
@@ -155,7 +155,7 @@ QUERIES = {
         best_source_profit,
         f"""WITH best AS (SELECT product_id, supplier_id, row_number() OVER (PARTITION BY product_id ORDER BY effective_cost, trust DESC, lead_time_days, supplier_id) AS n,
               least(available, 1) AS quantity FROM ({COSTED_SQL}) WHERE purchasable)
-            SELECT product_id, supplier_id, quantity, round(profit, 3) AS profit, round(profit * rate, 3) AS profit_jpy, round(profit / revenue * 100, 3) AS margin_percent
+            SELECT product_id, supplier_id, quantity, round(profit, 6) AS profit, round(profit * rate, 7) AS profit_jpy, round(profit / revenue * 100, 4) AS margin_percent
             FROM ({PROFIT_SQL}) JOIN best USING (product_id, supplier_id) WHERE n = 1 AND scenario = 'BASE' AND profit * rate >= 1500""",
     ),
     "b6_landed_cost": (
@@ -174,12 +174,12 @@ QUERIES = {
     ),
     "b8_j13_profit_scenarios": (
         profit_scenarios,
-        f"""SELECT offer_id, scenario, round(total_cost, 3) AS total_cost, round(profit, 3) AS profit, round(profit * rate, 3) AS profit_jpy,
-            round(profit / revenue * 100, 3) AS margin_percent, profit < 0 AS loss FROM ({PROFIT_SQL})""",
+        f"""SELECT offer_id, scenario, round(total_cost, 6) AS total_cost, round(profit, 6) AS profit, round(profit * rate, 7) AS profit_jpy,
+            round(profit / revenue * 100, 4) >= 15 AS meets_margin, profit < 0 AS loss FROM ({PROFIT_SQL})""",
     ),
     "a7_sum_costs": (
         sum_costs,
-        f"""SELECT product_id, round(sum(total_cost), 3) AS total_cost, round(sum(round(purchase_price / rate, 6)), 3) AS purchase FROM ({PROFIT_SQL}) WHERE scenario = 'BASE' GROUP BY product_id""",
+        f"""SELECT product_id, round(sum(total_cost), 6) AS total_cost, round(sum(round(purchase_price / rate, 6)), 3) AS purchase FROM ({PROFIT_SQL}) WHERE scenario = 'BASE' GROUP BY product_id""",
     ),
     "b9_customs_cost": (
         customs_cost,

@@ -61,7 +61,7 @@ def price_moves(spark, sf_dir):
     """Changes of a part's discount over its lines in order of shipping."""
     h = table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount")
     moved = ops.price_moves(h, "l_partkey", ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"], "l_discount")
-    return moved.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_moves"), F.round(F.sum(F.col("l_discount") - F.col("previous")), 4).alias("net"))
+    return moved.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_moves"), (F.round(F.sum(F.col("l_discount") - F.col("previous")), 4) + 0.0).alias("net"))
 
 
 def recent_history(spark, sf_dir):
@@ -165,7 +165,7 @@ QUERIES = {
     "w5_price_moves": (
         price_moves,
         """WITH h AS (SELECT l_partkey, l_discount, lag(l_discount) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS previous FROM lineitem)
-           SELECT l_partkey, count(*) AS n_moves, round(sum(l_discount - previous), 4) AS net FROM h WHERE l_discount <> previous GROUP BY 1""",
+           SELECT l_partkey, count(*) AS n_moves, round(sum(l_discount - previous), 4) + 0.0::DOUBLE AS net FROM h WHERE l_discount <> previous GROUP BY 1""",
     ),
     "w4_recent_history": (
         recent_history,

@@ -65,7 +65,7 @@ def sale_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(
         (F.col("product_id") * 100_000 + F.col("supplier_id")).alias("offer_id"), "product_id", "supplier_id",
         F.col("price").alias("purchase_price"), F.col("domestic_shipping").alias("domestic_shipping_jpy"), F.col("handling").alias("handling_jpy"),
-        F.round(F.col("price").cast("double") * (1.5 + F.col("product_id") % 5 * 0.25) / 150, 2).cast("decimal(20,6)").alias("selling_price"),
+        F.round(F.col("price").cast("double") * (1.5 + F.col("product_id") % 5 * 0.25) / 150 + 0.001, 2).cast("decimal(20,6)").alias("selling_price"),
         F.lit("150").cast("decimal(20,10)").alias("fx_rate"),
     )
 
@@ -73,7 +73,7 @@ def sale_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SALE_SQL = f"""
 SELECT product_id * 100000 + supplier_id AS offer_id, product_id, supplier_id, price AS purchase_price,
   domestic_shipping AS domestic_shipping_jpy, handling AS handling_jpy,
-  CAST(round(CAST(price AS DOUBLE) * (1.5 + product_id % 5 * 0.25) / 150, 2) AS DECIMAL(20,6)) AS selling_price
+  CAST(round(CAST(price AS DOUBLE) * (1.5 + product_id % 5 * 0.25) / 150 + 0.001, 2) AS DECIMAL(20,6)) AS selling_price
 FROM ({OFFERS_SQL})
 """
 

@@ -254,13 +254,13 @@ QUERIES = {
     "src3_json_ld": (json_ld, "SELECT page_id, len(regexp_extract_all(html, 'application/ld\\+json')) AS n_blocks FROM pages"),
     "a12_page_structure": (
         page_structure,
-        f"""SELECT page_id, {HOST} AS host, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0) AS script_chars,
+        f"""SELECT page_id, {HOST} AS host, coalesce(list_sum(list_transform(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0)::BIGINT AS script_chars,
             len(regexp_extract_all(html, '<a\\s[^>]*href')) AS n_links, 0 AS n_open_graph, false AS client_rendered FROM pages""",
     ),
     "a12_structure_by_host": (
         structure_by_host,
-        f"""SELECT {HOST} AS host, count(*) AS n_pages, sum(coalesce(list_sum(list_transform(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0)) AS script_chars,
-            sum(len(regexp_extract_all(html, '<a\\s[^>]*href'))) AS n_links FROM pages GROUP BY 1""",
+        f"""SELECT {HOST} AS host, count(*) AS n_pages, sum(coalesce(list_sum(list_transform(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1), lambda x: length(x))), 0))::BIGINT AS script_chars,
+            sum(len(regexp_extract_all(html, '<a\\s[^>]*href')))::BIGINT AS n_links FROM pages GROUP BY 1""",
     ),
     "set2_unsupported_numbers": (
         audit_numbers,
