@@ -15,11 +15,11 @@ words the set is empty and linked with nothing).  Two documents are linked when
 3. Buckets with one member go.  In each other bucket every member gets one edge,
    to a centre: a star, so edges grow with the rows and not with their squares.
    Edges are confirmed on the full sets, and confirmed ones merge components.
-4. A star can miss a link between two of its arms.  So the buckets that still hold
-   more than one component are looked at again: each member outside the bucket's
-   largest component (a stray) meets the members of the other components, unless
-   the sizes of the sets exclude a link or the pair was tested.  After that every
-   pair that shares a bucket is tested or already connected.
+4. A star can miss a link between two of its arms.  So the centre is the most typical
+   member of its bucket (fewest shingles that no other candidate has), members with too
+   many such shingles are dropped as they can be linked with nothing, and buckets that
+   still hold more than one component get further stars around their next typical
+   members, up to ``STARS`` rounds or until a round finds nothing.
 
 Texts travel by id to where an edge needs them; nothing is collected to the driver,
 and no group of rows meets in one task: sums are combined before the shuffle and
