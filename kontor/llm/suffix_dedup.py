@@ -47,9 +47,9 @@ from .shared import settled, sieve, without
 
 WIDTH = 50
 #: Bits of the bitmap of leads, slots of which are the upper bits of a hash.
-MARK_BITS = 26
-#: Leads that are treated as heavy, at most; and the fewest documents that make a lead heavy.
-HEAVY, HEAVY_LEAST = 1 << 16, 3000
+MARK_BITS = 27
+#: Leads that are treated as heavy, at most; and the fewest occurrences that make one heavy (a task can hold so many suffixes).
+HEAVY, HEAVY_LEAST = 1 << 16, 500_000
 #: Suffixes that a bucket should hold, and sampled leads for the splitters.
 BUCKET, SAMPLE = 50_000, 100_000
 #: Bytes of text after which a task hands on what it has gathered, and bytes of text for each range of hashes.
@@ -102,22 +102,24 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def _count(width: int, buckets: int):
-    """Distinct leads of each text, counted over a batch: (bucket, keys, counts) with arrays as bytes."""
+    """Leads of a batch: (bucket, keys, documents that hold each, occurrences), arrays as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in gathered(batches):
-            keys, counts = [np.empty(0, U)], [np.empty(0, np.int64)]
+            keys, counts, many = [np.empty(0, U)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for _, chunk in part:
                 scan = Scan(chunk, width)
                 pair = np.stack((scan.key, scan.text[scan.at].astype(U)), 1)
                 pair = pair[np.lexsort((pair[:, 1], pair[:, 0]))]
                 new = np.ones(len(pair), bool)
                 new[1:] = (pair[1:] != pair[:-1]).any(1)
-                key, count = np.unique(pair[new, 0], return_counts=True)
+                key, inverse = np.unique(pair[:, 0], return_inverse=True)
                 keys.append(key)
-                counts.append(count)
+                counts.append(np.bincount(inverse, new, len(key)))
+                many.append(np.bincount(inverse, minlength=len(key)))
             key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
             count = np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.uint32)
+            often = np.bincount(inverse, np.concatenate(many), len(key)).astype(np.uint32)
             bucket = ((key >> U(16)) * U(buckets)) >> U(32)
             cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U))
             some = [b for b in range(buckets) if cut[b] < cut[b + 1]]
@@ -126,8 +128,9 @@ def _count(width: int, buckets: int):
                     pa.array(some, pa.int32()),
                     pa.array([_packed(key[cut[b] : cut[b + 1]]) for b in some], pa.binary()),
                     pa.array([count[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
+                    pa.array([often[cut[b] : cut[b + 1]].tobytes() for b in some], pa.binary()),
                 ],
-                ["bucket", "keys", "counts"],
+                ["bucket", "keys", "counts", "often"],
             )
 
     return run
@@ -139,9 +142,11 @@ def _mark(buckets: int, heavy_from: int):
     def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         keys = np.concatenate([_unpacked(k) for k in group["keys"]])
         counts = np.concatenate([np.frombuffer(c, np.uint32) for c in group["counts"]])
+        often = np.concatenate([np.frombuffer(c, np.uint32) for c in group["often"]])
         keys, inverse = np.unique(keys, return_inverse=True)
-        total = np.bincount(inverse, counts)
-        keys, total = keys[total > 1], total[total > 1]
+        shared = np.bincount(inverse, counts) > 1
+        total = np.bincount(inverse, often)[shared]
+        keys = keys[shared]
         slots = np.unique(keys >> U(48 - MARK_BITS)).astype(np.int64)
         low = int(slots[0]) // 8 if len(slots) else 0
         bits = np.zeros(int(slots[-1]) // 8 - low + 1 if len(slots) else 0, np.uint8)
@@ -368,7 +373,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # ranges of hashes small enough for a task: about a byte in fourteen is an anchor, eight bytes each
     ranges = max(16, (total.bytes or 0) // RANGE)
     heavy_from = max(HEAVY_LEAST, (total.bytes or 0) // (12 * HEAVY))
-    counted = texts.mapInArrow(_count(width, ranges), "bucket int, keys binary, counts binary")
+    counted = texts.mapInArrow(_count(width, ranges), "bucket int, keys binary, counts binary, often binary")
     parts = counted.groupBy("bucket").applyInPandas(_mark(ranges, heavy_from), "low int, bits binary, heavy binary")
     found = Marks(parts.collect())  # a bitmap of 2**MARK_BITS bits and HEAVY leads, whatever the input
     marks = spark.sparkContext.broadcast(found)
