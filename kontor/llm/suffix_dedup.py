@@ -404,6 +404,8 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     own = sieve(texts, "id", marked.select("id")).dropDuplicates(["id"]).join(marked, "id")
     removed = own.select("id", "text", "at", "mask", "keys").mapInArrow(_remove(width), "id long, cut long, runs long, kept binary")
 
+    # digested before the join, so that a caller who drops the bytes does not have them shuffled
+    removed = removed.withColumn("left_sha", F.sha2("kept", 256))
     named = rows.join(classes.select("sha", "rep"), "sha", "left").join(removed, "id", "left")
     copy = F.col("rep").isNotNull() & (F.col("rep") < F.col("id"))
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
@@ -413,5 +415,5 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("cut", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("runs", F.lit(0))).cast("long").alias("n_spans"),
         F.when(copy, F.lit(b"")).otherwise(F.col("kept")).alias("kept"),
-        F.when(copy, nothing).when(F.col("cut") > 0, F.sha2("kept", 256)).otherwise(F.col("sha")).alias("kept_sha256"),
+        F.when(copy, nothing).when(F.col("cut") > 0, F.col("left_sha")).otherwise(F.col("sha")).alias("kept_sha256"),
     )
