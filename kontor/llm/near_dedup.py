@@ -20,6 +20,8 @@ words the set is empty and linked with nothing).  Two documents are linked when
    many such shingles are dropped as they can be linked with nothing, and buckets that
    still hold more than one component get further stars around their next typical
    members, up to ``STARS`` rounds or until a round finds nothing.
+5. What then shares a bucket across components is joined exactly, see ``rest``: no pair is
+   left without a comparison of its sets or a proof that it cannot be linked.
 
 Texts travel by id to where an edge needs them; nothing is collected to the driver,
 and no group of rows meets in one task: sums are combined before the shuffle and
@@ -179,6 +181,154 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 #: Rounds of stars at most; each takes another centre in the buckets that still hold more than one component.
 STARS = 4
+#: Members of a hash that are paired one by one; more are compared in blocks.
+COLD = 32
+#: Members and hashes of a block at most (on average); two blocks meet in one task's memory.
+BLOCK, WEIGHT = 512, 1 << 18
+#: Columns of a block's matrix that are multiplied at once, and pairs up to which sets are merged one by one.
+WIDTH, FEW = 4096, 32
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text, component) to (id, component, size, hash), a row for each shingle."""
+    for batch in batches:
+        for chunk in chunks(batch):
+            hashes, offsets = shingles(chunk)
+            size = np.diff(offsets)
+            at = pa.array(np.repeat(np.arange(len(chunk)), size))
+            part = batch.slice(chunk.rows.start, len(chunk))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("id").take(at), part.column("component").take(at), pa.array(np.repeat(size, size)), pa.array(signed(hashes))],
+                ["id", "component", "size", "hash"],
+            )
+
+
+def _counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the sets on two sides, as a product of 0-1 matrices over the hashes that both sides hold."""
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    cells = []
+    for sets in (left, right):
+        values = np.concatenate(sets)
+        row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        at = np.minimum(np.searchsorted(both, values), max(len(both) - 1, 0))
+        held = both[at] == values if len(both) else np.zeros(len(values), bool)
+        order = np.argsort(at[held], kind="stable")
+        cells.append((row[held][order], at[held][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, len(both), WIDTH):
+        a, b = (np.zeros((len(x), min(WIDTH, len(both) - low)), np.float32) for x in (left, right))
+        for matrix, (row, at) in zip((a, b), cells, strict=True):
+            own = slice(*np.searchsorted(at, (low, low + WIDTH)))
+            matrix[row[own], at[own] - low] = 1
+        out += a @ b.T
+    return out
+
+
+def _meet(rows: pa.RecordBatch | pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    """The links (a, b) within each group of rows; a group is one block, or two that are compared with each other."""
+    rows = rows.combine_chunks().to_batches()[0] if isinstance(rows, pa.Table) else rows
+    own = rows.column("component").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    size, side = rows.column("size").to_numpy(), rows.column("side").to_numpy()
+    sets = rows.column("hashes")
+    values, first = sets.values.to_numpy(), sets.offsets.to_numpy()
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for start, stop in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+        if stop - start < 2 or (own[start:stop] == own[start]).all():
+            continue
+        here = side[start:stop] == side[start]
+        x = start + np.flatnonzero(here)
+        alike = here.all()
+        y = x if alike else start + np.flatnonzero(~here)
+        small, large = np.minimum(size[x][:, None], size[y]), np.maximum(size[x][:, None], size[y])
+        test = (own[x][:, None] != own[y]) & (PART * small >= WHOLE * large)
+        if alike:
+            test = np.triu(test, 1)
+        i, j = np.nonzero(test)
+        if not len(i):
+            continue
+        if len(i) <= FEW:
+            common = np.array([_shared(*(values[first[k] : first[k + 1]] for k in (x[a], y[b]))) for a, b in zip(i, j, strict=True)])
+        else:
+            common = _counts(*([values[first[k] : first[k + 1]] for k in side_] for side_ in (x, y)))[i, j].astype(np.int64)
+        hit = PART * common >= WHOLE * (size[x[i]] + size[y[j]] - common)
+        found.append((x[i[hit]], y[j[hit]]))
+    a, b = (np.concatenate([f[k] for f in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    return pa.RecordBatch.from_arrays([rows.column("id").take(pa.array(a)), rows.column("id").take(pa.array(b))], ["a", "b"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_meet`` over rows sorted by (hash, i, j); a group may go on in the next batch."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = batch if held is None else pa.Table.from_batches([*held, batch])
+        names = np.stack([rows.column(c).to_numpy() for c in ("hash", "i", "j")])
+        starts = np.concatenate(([0], np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1))
+        if len(starts) > 1:
+            yield _meet(rows.slice(0, starts[-1]), starts)
+        last = rows.slice(starts[-1])
+        held = last.to_batches() if isinstance(last, pa.Table) else [last]
+    if held is not None:
+        rows = pa.Table.from_batches(held)
+        yield _meet(rows, np.array([0, rows.num_rows]))
+
+
+def rest(members: DataFrame, texts: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """All links (a, b) between different components of ``members`` (id, component), but the pairs already ``tested``; ``texts`` is (id, text).
+
+    A link shares at least WHOLE / PART of either set.  Only hashes that more than one
+    component holds can be shared across; members with too few of those go.  In one order
+    of the hashes, rare ones first, the first shared hash of a link lies so early in both
+    sets that enough others can follow; so members meet by the hashes of that prefix.  The
+    few members of most hashes are paired.  A frequent hash is split into blocks of members
+    that carry their sets, and the blocks of its most frequent component are not compared
+    with each other; two blocks at a time are held in memory, and only links come out.
+    """
+    kind = texts.schema["id"].dataType.simpleString()
+    rows = texts.join(members, "id").select("id", "text", "component")
+    rows = settled(rows.mapInArrow(_spread, f"id {kind}, component {kind}, size long, hash long"))
+    least = F.expr(f"({WHOLE} * size + {PART - 1}) div {PART}")
+    across = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+    sets = settled(
+        rows.join(across.where("low < high").select("hash", "n"), "hash")
+        .groupBy("id", "component", "size")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("shared"))
+        .where(F.size("shared") >= least)
+    )
+    prefix = F.slice("shared.hash", F.lit(1), (F.size("shared") - least + 1).cast("int"))
+    sets = sets.select("id", "component", "size", prefix.alias("prefix"), F.array_sort("shared.hash").alias("hashes"))
+    entries = settled(sets.select("id", "component", "size", F.size("hashes").alias("weight"), F.explode("prefix").alias("hash")))
+    split = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / WEIGHT))
+    groups = settled(
+        entries.groupBy("hash", "component")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+        .groupBy("hash")
+        .agg(F.max(F.struct("n", "w", "component")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"))
+        .where("k > 1")
+        .select("hash", "n", F.col("top.component").alias("top"), split(F.col("top.n"), F.col("top.w")).alias("tops"), split(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("others"))
+    )
+    cold = entries.join(groups.where(F.col("n") <= COLD).select("hash"), "hash").select("hash", "id", "component", "size")
+    pairs = cold.alias("x").join(cold.alias("y"), "hash").where(
+        (F.col("x.id") < F.col("y.id"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (F.lit(PART) * F.least("x.size", "y.size") >= F.lit(WHOLE) * F.greatest("x.size", "y.size"))
+    )
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    if tested is not None:
+        pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    found = confirm(settled(pairs), texts)
+    # blocks of the other components are 0 to others - 1, those of the most frequent one follow
+    own = F.when(F.col("component") == F.col("top"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others")))
+    with_ = F.when(F.col("component") == F.col("top"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1))
+    dealt = (
+        entries.join(groups.where(F.col("n") > COLD).drop("n"), "hash")
+        .select("id", "hash", own.alias("side"), F.explode(with_).alias("other"))
+        .select("id", "hash", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
+    )
+    dealt = dealt.join(sets.select("id", "component", "size", "hashes"), "id")
+    dealt = dealt.repartition("hash", "i", "j").sortWithinPartitions("hash", "i", "j")
+    return found.union(dealt.mapInArrow(_met, f"a {kind}, b {kind}")).distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stars: int = STARS) -> DataFrame:
@@ -239,6 +389,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         chosen = best.select("key", "id")
         centres = chosen if centres is None else centres.union(chosen)
 
+    now = entries.withColumn("component", F.col("id"))
+    if labels is not None:
+        now = entries.join(labels.withColumnRenamed("component", "own"), "id", "left").withColumn("component", F.coalesce("own", "id"))
+    mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    members = settled(now.join(mixed.select("key"), "key").select("id", "component").distinct())
+    if not members.isEmpty():
+        found = settled(rest(members, texts, tested))
+        if not found.isEmpty():
+            labels = components(found if links is None else links.union(found))
+
     named = rows.select("id", "size", "set_a", "set_b").join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"], "left")
     named = named.withColumn("rep", F.coalesce("rep", "id"))
     if labels is not None:

@@ -1,6 +1,7 @@
 import random
 import re
 
+from kontor.llm import near_dedup as near_dedup_module
 from kontor.llm.near_dedup import near_dedup
 from kontor.llm.shared import components
 
@@ -48,6 +49,26 @@ def test_against_all_pairs(spark):
         assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def edited(seed):
+    """Many copies of one text, each edited a little."""
+    rng = random.Random(seed)
+    rows = []
+    for i in range(160):
+        words = [f"w{j}" for j in range(80)]
+        for at in rng.sample(range(80), 2):
+            words[at] = f"x{rng.randint(0, 5)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_edited_copies_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup_module, "COLD", 8)
+    monkeypatch.setattr(near_dedup_module, "BLOCK", 20)
+    rows = edited(4)
+    got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), stars=1).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.id: r.component for r in components(links).collect()}
