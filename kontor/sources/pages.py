@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import price
 from ..functions.urls import part
 
+PRICE = re.compile(r"[¥￥]\s*[0-9]|[0-9]\s*円", re.ASCII)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 
 
@@ -110,12 +112,11 @@ def page_elements(pages: DataFrame) -> DataFrame:
                 for i in range(len(rows) - 1, -1, -1):
                     if link[i] and rows[i][3] >= 0:
                         link[rows[i][3]] = True
-                out += [[page, r[0], r[1], "".join(r[4])[:2000], link[i]] for i, r in enumerate(rows)]
-            yield pd.DataFrame(out, columns=["page_id", "tag", "classes", "words", "has_link"])
+                out += [[page, r[0], r[1], link[i], PRICE.search("".join(r[4])) is not None] for i, r in enumerate(rows)]
+            yield pd.DataFrame(out, columns=["page_id", "tag", "classes", "has_link", "has_price"])
 
-    schema = "page_id long, tag string, classes array<string>, words string, has_link boolean"
-    rows = pages.select("page_id", "html").mapInPandas(run, schema)
-    return rows.withColumn("has_price", F.col("words").rlike(r"[¥￥]\s*[0-9]|[0-9]\s*円")).drop("words")
+    schema = "page_id long, tag string, classes array<string>, has_link boolean, has_price boolean"
+    return pages.select("page_id", "html").mapInPandas(run, schema)
 
 
 def discover_card_classes(pages: DataFrame, least: int = 4, most: int = 200, top: int = 8) -> DataFrame:

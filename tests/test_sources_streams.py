@@ -132,3 +132,10 @@ def test_upsert_stream_keeps_snapshots(spark, tmp_path):
         assert query.exception() is None
     last = {r.source_product_id: (r.price, r.stock_status) for r in spark.read.parquet(str(tmp_path / "snap" / "1")).collect()}
     assert last == {"a": (3.0, "IN_STOCK"), "b": (2.0, "OUT_OF_STOCK")}
+
+
+def test_a_price_behind_a_long_text(spark):
+    card = f'<li class="far"><a href="/p/1">{"word " * 1000}</a><b>¥ 1,200</b></li>'
+    df = spark.createDataFrame([(1, f"<ul>{card * 4}</ul>")], "page_id long, html string")
+    got = [(r["class"], r.n, r.price_share) for r in pages.discover_card_classes(df).collect()]
+    assert got == [("far", 4, 1.0)]
