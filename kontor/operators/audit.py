@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,15 +24,28 @@ def numbers(c: Column) -> Column:
     return F.array_except(F.regexp_extract_all(c, F.lit("([0-9]+)"), F.lit(1)), F.array(*map(F.lit, HARMLESS)))
 
 
-def leaves(df: DataFrame, keep: list[str], json: str = "output", depth: int = 4) -> DataFrame:
-    """One row per scalar of a JSON document: path and value; nested objects and arrays to a bounded depth."""
+#: Levels of a document between checkpoints.
+STEP = 4
+
+
+def _settled(df: DataFrame) -> DataFrame:
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
+def leaves(df: DataFrame, keep: list[str], json: str = "output") -> DataFrame:
+    """One row per scalar of a JSON document, however deeply nested: path and value."""
     level = df.select(*keep, F.lit("").alias("path"), F.try_parse_json(F.col(json).cast("string")).alias("v"))
-    out = None
-    for _ in range(depth):
+    out, depth = None, 0
+    while True:
         level = level.withColumn("kind", F.schema_of_variant("v"))
         flat = level.where("kind not rlike '^(OBJECT|ARRAY)'").select(*keep, "path", F.try_variant_get("v", "$", "string").alias("value"))
         out = flat if out is None else out.unionByName(flat)
         nested = level.where("kind rlike '^(OBJECT|ARRAY)'")
+        if nested.isEmpty():
+            return out.where("value is not null")
         parts = df.sparkSession.tvf.variant_explode(F.col("v").outer())
         below = nested.lateralJoin(parts.select("pos", "key", F.col("value").alias("below")))
         path = (
@@ -39,7 +54,9 @@ def leaves(df: DataFrame, keep: list[str], json: str = "output", depth: int = 4)
             .otherwise(F.concat("path", F.lit("."), "key"))
         )
         level = below.select(*keep, path.alias("path"), F.col("below").alias("v"))
-    return out.where("value is not null")
+        depth += 1
+        if depth % STEP == 0:
+            level = _settled(level)
 
 
 def audit_generated_text(rows: DataFrame, id_col: str = "target_id", generative: tuple[str, ...] = GENERATIVE) -> DataFrame:

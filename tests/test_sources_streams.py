@@ -139,3 +139,10 @@ def test_a_price_behind_a_long_text(spark):
     df = spark.createDataFrame([(1, f"<ul>{card * 4}</ul>")], "page_id long, html string")
     got = [(r["class"], r.n, r.price_share) for r in pages.discover_card_classes(df).collect()]
     assert got == [("far", 4, 1.0)]
+
+
+def test_deeply_nested_output_is_audited(spark):
+    out = {"a": {"b": {"c": {"d": {"e": {"Year": "1999"}}}}}, "wrap": {"items": [{"specifics": {"Year": 2031}}]}, "x": [[[[[["qty 77"]]]]]]}
+    df = spark.createDataFrame([("t", "no numbers", json.dumps(out))], "target_id string, source_text string, output string")
+    got = {(r.field, r.kind, r.number) for r in audit.audit_generated_text(df).collect()}
+    assert got == {("a.b.c.d.e.Year", "year", "1999"), ("wrap.items[0].specifics.Year", "year", "2031"), ("x[0][0][0][0][0][0]", "number", "77")}
