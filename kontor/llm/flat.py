@@ -9,6 +9,7 @@ word or window has the same hash in every task, run and table.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -138,6 +139,20 @@ class Words:
         return ROLLERS[seed].slices(BYTES[seed][data], self.start, self.stop if stop is None else stop)
 
 
+def _trim():
+    """The C library's call that gives freed memory back to the system, or nothing where there is none."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):
+        return lambda _: 0
+
+
+def given_back() -> None:
+    """Freed buffers go back to the system, so that a worker that is kept for later stages does not hold its peak."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[Chunk]:
     """Cut a batch into chunks of about ``limit`` bytes; a longer text is a chunk of its own.  A null text is empty."""
     texts = batch.column(column)
@@ -157,6 +172,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         j = min(j, n)
         yield Chunk(slice(i, j), data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i])
         i = j
+    given_back()
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
