@@ -28,7 +28,7 @@ and no group of rows meets in one task: sums are combined before the shuffle and
 joins on keys are split by Spark where a key is frequent.
 
 Defined results: repeated rows with one id and one text are one document, reported
-once per row; null texts are empty; other columns are ignored; an empty table gives
+once per row; of different texts under one id the least one is compared; null texts are empty; other columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -153,19 +153,17 @@ def _shared(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, text, other) to the pairs whose full sets are similar enough."""
+    """(a, b, text, other) to the pairs whose full sets are similar enough; the sets of some pairs at a time are in memory."""
     for batch in batches:
         linked = np.zeros(batch.num_rows, bool)
-        sets: list[list[np.ndarray]] = []
-        for column in ("text", "other"):
-            own: list[np.ndarray] = []
-            for chunk in chunks(batch, column):
-                hashes, offsets = shingles(chunk)
-                own += np.split(hashes, offsets[1:-1])
-            sets.append(own)
-        for i, (x, y) in enumerate(zip(*sets, strict=True)):
-            common = _shared(x, y)
-            linked[i] = common > 0 and PART * common >= WHOLE * (len(x) + len(y) - common)
+        for left in chunks(batch):
+            x, first = shingles(left)
+            for right in chunks(batch.slice(left.rows.start, len(left)), "other"):
+                y, second = shingles(right)
+                for k, i in enumerate(range(right.rows.start, right.rows.stop)):
+                    a, b = x[first[i] : first[i + 1]], y[second[k] : second[k + 1]]
+                    common = _shared(a, b)
+                    linked[left.rows.start + i] = common > 0 and PART * common >= WHOLE * (len(a) + len(b) - common)
         keep = pa.array(linked)
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
@@ -180,9 +178,7 @@ def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 #: Rounds of stars at most; each takes another centre in the buckets that still hold more than one component.
-STARS = 4
-#: Members of a hash that are paired one by one; more are compared in blocks.
-COLD = 32
+STARS = 2
 #: Members and hashes of a block at most (on average); two blocks meet in one task's memory.
 BLOCK, WEIGHT = 512, 1 << 18
 #: Columns of a block's matrix that are multiplied at once, and pairs up to which sets are merged one by one.
@@ -257,13 +253,13 @@ def _meet(rows: pa.RecordBatch | pa.Table, starts: np.ndarray) -> pa.RecordBatch
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``_meet`` over rows sorted by (hash, i, j); a group may go on in the next batch."""
+    """``_meet`` over rows sorted by (family, i, j); a group may go on in the next batch."""
     held = None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = batch if held is None else pa.Table.from_batches([*held, batch])
-        names = np.stack([rows.column(c).to_numpy() for c in ("hash", "i", "j")])
+        names = np.stack([rows.column(c).to_numpy() for c in ("family", "i", "j")])
         starts = np.concatenate(([0], np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1))
         if len(starts) > 1:
             yield _meet(rows.slice(0, starts[-1]), starts)
@@ -274,61 +270,59 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _meet(rows, np.array([0, rows.num_rows]))
 
 
-def rest(members: DataFrame, texts: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """All links (a, b) between different components of ``members`` (id, component), but the pairs already ``tested``; ``texts`` is (id, text).
+def rest(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """All links (a, b) between different components of ``members`` (id, component); ``texts`` is (id, text).
 
     A link shares at least WHOLE / PART of either set.  Only hashes that more than one
     component holds can be shared across; members with too few of those go.  In one order
     of the hashes, rare ones first, the first shared hash of a link lies so early in both
-    sets that enough others can follow; so members meet by the hashes of that prefix.  The
-    few members of most hashes are paired.  A frequent hash is split into blocks of members
-    that carry their sets, and the blocks of its most frequent component are not compared
-    with each other; two blocks at a time are held in memory, and only links come out.
+    sets that enough others can follow; so members meet by the hashes of that prefix.
+
+    The hashes of one passage have the same members, who should meet once and not once for
+    each.  So hashes are gathered in families: a member's least prefix hash is its own, and
+    a hash's family is the least of its members' own.  Who shares a hash shares its family.
+    A large family is split into blocks of members that carry their sets, and the blocks of
+    its most frequent component are not compared with each other; two blocks at a time are
+    held in memory, and only links come out.
     """
     kind = texts.schema["id"].dataType.simpleString()
     rows = texts.join(members, "id").select("id", "text", "component")
     rows = settled(rows.mapInArrow(_spread, f"id {kind}, component {kind}, size long, hash long"))
     least = F.expr(f"({WHOLE} * size + {PART - 1}) div {PART}")
     across = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
-    sets = settled(
+    sets = (
         rows.join(across.where("low < high").select("hash", "n"), "hash")
         .groupBy("id", "component", "size")
         .agg(F.array_sort(F.collect_list(F.struct("n", "hash"))).alias("shared"))
         .where(F.size("shared") >= least)
     )
     prefix = F.slice("shared.hash", F.lit(1), (F.size("shared") - least + 1).cast("int"))
-    sets = sets.select("id", "component", "size", prefix.alias("prefix"), F.array_sort("shared.hash").alias("hashes"))
-    entries = settled(sets.select("id", "component", "size", F.size("hashes").alias("weight"), F.explode("prefix").alias("hash")))
+    sets = settled(sets.select("id", "component", "size", prefix.alias("prefix"), F.array_sort("shared.hash").alias("hashes")))
+    entries = sets.select("id", "component", F.size("hashes").alias("weight"), F.array_min("prefix").alias("own"), F.explode("prefix").alias("hash"))
+    family = entries.groupBy("hash").agg(F.min("own").alias("family"), F.min("component").alias("low"), F.max("component").alias("high"))
+    placed = settled(entries.join(family.where("low < high").select("hash", "family"), "hash").select("id", "component", "weight", "family").distinct())
     split = lambda n, w: F.greatest(F.ceil(n / BLOCK), F.ceil(w / WEIGHT))
-    groups = settled(
-        entries.groupBy("hash", "component")
+    top, tops = F.col("top.component"), split(F.col("top.n"), F.col("top.w"))
+    others = split(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w"))
+    single = split(F.col("n"), F.col("w")) == 1
+    groups = (
+        placed.groupBy("family", "component")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
-        .groupBy("hash")
+        .groupBy("family")
         .agg(F.max(F.struct("n", "w", "component")).alias("top"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k"))
         .where("k > 1")
-        .select("hash", "n", F.col("top.component").alias("top"), split(F.col("top.n"), F.col("top.w")).alias("tops"), split(F.col("n") - F.col("top.n"), F.col("w") - F.col("top.w")).alias("others"))
-    )
-    cold = entries.join(groups.where(F.col("n") <= COLD).select("hash"), "hash").select("hash", "id", "component", "size")
-    pairs = cold.alias("x").join(cold.alias("y"), "hash").where(
-        (F.col("x.id") < F.col("y.id"))
-        & (F.col("x.component") != F.col("y.component"))
-        & (F.lit(PART) * F.least("x.size", "y.size") >= F.lit(WHOLE) * F.greatest("x.size", "y.size"))
+        # a small family is one block without a most frequent component
+        .select("family", F.when(~single, top).alias("top"), F.when(single, 0).otherwise(tops).alias("tops"), F.when(single, 1).otherwise(others).alias("others"))
     )
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    if tested is not None:
-        pairs = pairs.join(tested, ["a", "b"], "left_anti")
-    found = confirm(settled(pairs), texts)
     # blocks of the other components are 0 to others - 1, those of the most frequent one follow
-    own = F.when(F.col("component") == F.col("top"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others")))
-    with_ = F.when(F.col("component") == F.col("top"), F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1))
-    dealt = (
-        entries.join(groups.where(F.col("n") > COLD).drop("n"), "hash")
-        .select("id", "hash", own.alias("side"), F.explode(with_).alias("other"))
-        .select("id", "hash", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
-    )
+    mine = F.col("component").eqNullSafe(F.col("top"))
+    side = F.when(mine, F.col("others") + F.pmod(F.xxhash64("id"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others")))
+    other = F.when(mine, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(F.lit(0), F.col("others") + F.col("tops") - 1))
+    dealt = placed.join(groups, "family").select("id", "family", side.alias("side"), F.explode(other).alias("other"))
+    dealt = dealt.select("id", "family", "side", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"))
     dealt = dealt.join(sets.select("id", "component", "size", "hashes"), "id")
-    dealt = dealt.repartition("hash", "i", "j").sortWithinPartitions("hash", "i", "j")
-    return found.union(dealt.mapInArrow(_met, f"a {kind}, b {kind}")).distinct()
+    dealt = dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j")
+    return dealt.mapInArrow(_met, f"a {kind}, b {kind}").distinct()
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stars: int = STARS) -> DataFrame:
@@ -344,7 +338,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     entries = settled(entries.join(shared, "key"))
     ids = settled(entries.select("id").distinct())
-    texts = settled(sieve(base, "id", ids).join(ids, "id", "left_semi").dropDuplicates(["id"]))
+    texts = settled(sieve(base, "id", ids).join(ids, "id", "left_semi").groupBy("id").agg(F.min("text").alias("text")))
 
     # shingles that one candidate has alone: they bound its similarity to any other, and tell how typical it is
     kind = base.schema["id"].dataType.simpleString()
@@ -395,7 +389,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     members = settled(now.join(mixed.select("key"), "key").select("id", "component").distinct())
     if not members.isEmpty():
-        found = settled(rest(members, texts, tested))
+        found = settled(rest(members, texts))
         if not found.isEmpty():
             labels = components(found if links is None else links.union(found))
 

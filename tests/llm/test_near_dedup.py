@@ -62,7 +62,6 @@ def edited(seed):
 
 
 def test_edited_copies_of_one_text(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup_module, "COLD", 8)
     monkeypatch.setattr(near_dedup_module, "BLOCK", 20)
     rows = edited(4)
     got = near_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), stars=1).collect()
