@@ -4,17 +4,18 @@ A window is ``window`` consecutive words (``[^\\x20\\x09-\\x0D]+``, unchanged) o
 document.  A word goes when some window that covers it also starts in a document
 with a smaller id; windows are judged on the input.
 
-Long windows are rare to repeat, and a window can only repeat if its halves do.  So:
-
-1. Level one takes windows of half the length.  Not all of them: of the half-length
-   windows inside each full window only the one with the least hash is an anchor,
-   which is a choice the words alone make, so equal windows have equal anchors.
-   About one word in twelve is an anchor.
-2. Anchors that are found in one document only die.  The others are extended to
-   twice their length: the full windows around them are hashed (128 bits).
+Long windows are rare to repeat, and a window can only repeat if its parts do.  So
+lengths double, from the shortest of at least ``START`` words up to ``window`` (25 and 50):
+
+1. Level one takes windows of the shortest length.  Not all of them: of those inside each
+   full window only the one with the least hash is an anchor, which is a choice the words
+   alone make, so equal windows have equal anchors.  About one word in twelve is an anchor.
+2. What is found in one document only dies.  The survivors alone are extended to twice
+   their length: full windows around a surviving anchor choose their anchors of that length
+   among themselves, and so on until the length is ``window``; these are hashed with 128 bits.
 3. Full windows found in one document only die; what survives has its first
    document, and the words it covers elsewhere go.  Longer repeats consist of
-   repeated windows of this length, so the doubling ends here.
+   repeated windows of this length, so the doubling ends here, or as soon as no candidate survives.
 
 Documents with the same words are one class first: all but the least id go whole
 (if they have a window) and take no part in the levels.  A window that a third of
@@ -22,8 +23,8 @@ the documents share is one row for each in a partial aggregate and in a join tha
 Spark splits; it is never a group in one task.
 
 Defined results: a null text has no words; texts shorter than a window keep all;
-repeated rows with one id are one document; other columns are ignored; an empty
-table gives an empty result.
+repeated rows with one id are one document, of different texts under one id the least
+one is searched; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -39,33 +40,57 @@ from pyspark.sql import functions as F
 from .flat import ROLLERS, anchors, chunks, covered, joined, lists, signed, sliding
 from .shared import settled, sieve
 
-WINDOW = 50
+WINDOW, START = 50, 25
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 U = np.uint64
 
 
-def halves(words, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each half-length window, and which full windows lie within a text."""
-    n = len(words) - window + 1
-    usable = words.text[:n] == words.text[window - 1 :] if n > 0 else np.zeros(0, bool)
-    return ROLLERS[0].windows(words.hash, window // 2), usable
+def levels(window: int, start: int = START) -> list[int]:
+    """Lengths of the levels: each is half of the next, the first has ``start`` words or more."""
+    out = [window]
+    while out[0] // 2 >= max(1, start):
+        out.insert(0, out[0] // 2)
+    return out
 
 
-def _first_level(window: int):
+def inside(words, window: int) -> np.ndarray:
+    """Which full windows lie within a text."""
+    n = len(words) - window + 1
+    return words.text[:n] == words.text[window - 1 :] if n > 0 else np.zeros(0, bool)
+
+
+def chosen(words, window: int, length: int, usable: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct anchors of a length in the usable full windows, by text, and where those of each text begin."""
+    hashes = ROLLERS[0].windows(words.hash, length)
+    at = np.flatnonzero(anchors(hashes, window - length + 1, usable))
+    pairs = np.stack((words.text[at].astype(U), hashes[at]), 1)
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    pairs = pairs[new]
+    return pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(words.chunk) + 1, dtype=U))
+
+
+def alive(words, window: int, length: int, keys: pa.Array, row: int) -> np.ndarray:
+    """Which full windows have their anchor of a length among their text's keys; the texts are the rows from ``row`` on."""
+    usable = inside(words, window)
+    if not usable.any():
+        return usable
+    least = sliding(ROLLERS[0].windows(words.hash, length), window - length + 1, np.minimum)
+    own = np.zeros(len(usable), bool)
+    for i in range(len(words.chunk)):
+        a, b = words.first[i], min(words.first[i + 1], len(usable))
+        own[a:b] = np.isin(least[a:b], keys[row + i].values.to_numpy().view(U))
+    return own & usable
+
+
+def _first_level(window: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch):
                 words = chunk.words()
-                hashes, usable = halves(words, window)
-                chosen = np.flatnonzero(anchors(hashes, window - window // 2 + 1, usable))
-                pairs = np.stack((words.text[chosen].astype(U), hashes[chosen]), 1)
-                order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-                pairs = pairs[order]
-                new = np.ones(len(pairs), bool)
-                new[1:] = (pairs[1:] != pairs[:-1]).any(1)
-                pairs = pairs[new]
-                first = np.searchsorted(pairs[:, 0], np.arange(len(chunk) + 1, dtype=U))
+                keys, first = chosen(words, window, length, inside(words, window))
                 whole = [r.slices(words.hash, words.first[:-1], words.first[1:]) for r in ROLLERS]
                 texts = joined(words, np.ones(len(words), bool))
                 yield pa.RecordBatch.from_arrays(
@@ -75,7 +100,7 @@ def _first_level(window: int):
                         pa.array(signed(whole[0])),
                         pa.array(signed(whole[1])),
                         pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
-                        lists(signed(pairs[:, 1]), first),
+                        lists(signed(keys), first),
                     ],
                     ["id", "n_words", "seq_a", "seq_b", "sha", "keys"],
                 )
@@ -83,24 +108,29 @@ def _first_level(window: int):
     return run
 
 
-def _second_level(window: int):
+def _next_level(window: int, before: int, length: int):
+    """(id, text, keys) to the anchors of the next length in the full windows whose anchor survived."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch):
+                words = chunk.words()
+                keys, first = chosen(words, window, length, alive(words, window, before, batch.column(2), chunk.rows.start))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[chunk.rows.start : chunk.rows.stop], lists(signed(keys), first)], ["id", "keys"])
+
+    return run
+
+
+def _last_level(window: int, before: int):
     """(id, text, keys) to the distinct full windows whose anchor is among the text's keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column(2)
             for chunk in chunks(batch):
                 words = chunk.words()
-                hashes, usable = halves(words, window)
-                if not usable.any():
+                at = np.flatnonzero(alive(words, window, before, batch.column(2), chunk.rows.start))
+                if not len(at):
                     continue
-                least = sliding(hashes, window - window // 2 + 1, np.minimum)
-                own = np.zeros(len(usable), bool)
-                for i in range(len(chunk)):
-                    a, b = words.first[i], min(words.first[i + 1], len(usable))
-                    wanted = keys[chunk.rows.start + i].values.to_numpy().view(U)
-                    own[a:b] = np.isin(least[a:b], wanted)
-                at = np.flatnonzero(own & usable)
                 full = [r.windows(words.hash, window)[at] for r in ROLLERS]
                 table = np.unique(np.stack((words.text[at].astype(U), *full), 1), axis=0)
                 yield pa.RecordBatch.from_arrays(
@@ -123,8 +153,7 @@ def _remove(window: int):
             keys = batch.column(2)
             for chunk in chunks(batch):
                 words = chunk.words()
-                n = len(words) - window + 1
-                usable = words.text[:n] == words.text[window - 1 :] if n > 0 else np.zeros(0, bool)
+                usable = inside(words, window)
                 full = ROLLERS[0].windows(words.hash, window)
                 own = np.zeros(len(usable), bool)
                 for i in range(len(chunk)):
@@ -144,33 +173,36 @@ def _remove(window: int):
     return run
 
 
-def _first_level_rows(base: DataFrame, window: int) -> DataFrame:
-    kind = base.schema["id"].dataType.simpleString()
-    return base.mapInArrow(
-        _first_level(window), f"id {kind}, n_words long, seq_a long, seq_b long, sha string, keys array<long>"
-    )
-
-
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, start: int = START) -> DataFrame:
     """One row per row of ``docs``: id, n_words, n_removed, kept (the words left where some went, else null), kept_sha256."""
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = base.schema["id"].dataType.simpleString()
-    rows = settled(_first_level_rows(base, window))
+    length, *longer = levels(window, start)
+    rows = settled(base.mapInArrow(_first_level(window, length), f"id {kind}, n_words long, seq_a long, seq_b long, sha string, keys array<long>"))
     sequence = ["n_words", "seq_a", "seq_b"]
     classes = settled(
-        rows.where(F.col("n_words") >= window)
+        rows.where((F.col("n_words") >= window) & F.col("id").isNotNull())
         .groupBy(*sequence)
         .agg(F.min("id").alias("rep"), F.first("keys").alias("keys"))
     )
-    keys = classes.select(F.col("rep").alias("id"), F.explode("keys").alias("key"))
-    alive = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
-    alive = settled(keys.join(alive, "key").groupBy("id").agg(F.collect_set("key").alias("keys")))
+
+    def survivors(found: DataFrame) -> DataFrame:
+        """(id, keys) without the keys of one document only."""
+        keys = found.select("id", F.explode("keys").alias("key"))
+        shared = keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key")
+        return settled(keys.join(shared, "key").groupBy("id").agg(F.collect_set("key").alias("keys")))
 
     def texts(wanted: DataFrame) -> DataFrame:
-        own = sieve(base, "id", wanted.select("id")).dropDuplicates(["id"])
+        own = sieve(base, "id", wanted.select("id")).groupBy("id").agg(F.min("text").alias("text"))
         return own.join(wanted, "id").select("id", "text", "keys")
 
-    full = settled(texts(alive).mapInArrow(_second_level(window), f"id {kind}, hash_a long, hash_b long"))
+    found = survivors(classes.select(F.col("rep").alias("id"), "keys"))
+    for now in longer[:-1]:
+        if found.isEmpty():
+            break
+        found = survivors(texts(found).mapInArrow(_next_level(window, length, now), f"id {kind}, keys array<long>"))
+        length = now
+    full = settled(texts(found).mapInArrow(_last_level(window, length), f"id {kind}, hash_a long, hash_b long"))
     pair = ["hash_a", "hash_b"]
     shared = full.groupBy(*pair).agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high")
     later = full.join(shared.select(*pair, "low"), pair).where("id > low")

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from kontor.llm.substring_dedup import substring_dedup
+from kontor.llm.substring_dedup import levels, substring_dedup
 
 
 def brute(rows, window):
@@ -40,12 +40,24 @@ def pieces(seed):
 
 
 def test_against_all_windows(spark):
-    for seed, window in ((1, 10), (2, 13), (3, 50)):
+    for seed, window, start in ((1, 10, 25), (2, 13, 3), (3, 50, 25), (4, 50, 5)):
         rows = pieces(seed)
-        got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=window).collect()
+        got = substring_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=window, start=start).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute(rows, window)
 
 
+def test_levels_double():
+    assert levels(50) == [25, 50] and levels(50, 5) == [6, 12, 25, 50] and levels(13, 3) == [3, 6, 13] and levels(10) == [10]
+
+
+def test_repeated_and_missing_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [("1", a), ("1", a), ("2", b), ("2", a + " x"), ("3", b + " y"), (None, a)]
+    got = substring_dedup(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    found = sorted((r.doc_id or "", r.n_words, r.n_removed) for r in got)
+    assert found == [("", 60, 0), ("1", 60, 0), ("1", 60, 0), ("2", 60, 60), ("2", 61, 60), ("3", 61, 0)]
+
+
 def test_odd_rows(odd, none):
     got = substring_dedup(odd).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == brute(odd.select("doc_id", "text").collect(), 50)
