@@ -4,9 +4,12 @@ Words become classes: insult, threat, target, negation, reported speech, other.
 Five small transducers read the classes of a clause side by side; their product
 (``compose``) is one machine whose arcs carry the combined weights.  An insult
 counts by its own weight, more when a target stands before it, less within the
-reach of a negation or under a verb of speech.  What is scored is the clause; a
-text is scored from its clauses (strongest clause, their sum, their number, how
-much of it is negated or reported, and threats) by a logistic function.
+reach of a negation or under a verb of speech.  A word of threat counts little by
+itself; the arc from it to a target within ``AIM`` words carries the threat's weight, so
+"kill you" is a threat and "kill time" is not; it is damped like an insult.  What is
+scored is the clause; a text is scored from its matched clauses, those with an insult
+or an aimed threat (strongest clause, their sum, their number, how much of it is
+negated or reported, and threats) by a logistic function.
 
 Which words are insults is learnt: whole words and word beginnings whose share
 of toxic texts is high are candidates, and a greedy cover of the toxic texts
@@ -65,39 +68,58 @@ class Transducer:
         return self.arcs.get((state, symbol), (state, 1.0))
 
 
+#: Words after a word of threat within which a target makes it a threat, and words that a negation reaches.
+AIM = REACH = 3
+
+
 def machines() -> list[Transducer]:
     """Insult, threat, target, negation and reported speech."""
     insult = Transducer(2, {(0, INSULT): (1, 1.0), (1, INSULT): (1, 1.1)})
-    threat = Transducer(2, {(0, THREAT): (1, 1.0), (1, TARGET): (0, 1.0)})
-    target = Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.3), (1, THREAT): (1, 1.3)})
-    reach = {(0, NEGATION): (3, 1.0)}
-    for left in (3, 2, 1):
-        reach |= {(left, s): (left - 1, 1.0) for s in (OTHER, TARGET, REPORT)}
-        reach |= {(left, NEGATION): (3, 1.0), (left, INSULT): (0, 0.5), (left, THREAT): (0, 0.5)}
-    report = Transducer(2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.7), (1, THREAT): (1, 0.7)})
-    return [insult, threat, target, Transducer(4, reach), report]
-
-
-def compose(parts: list[Transducer]) -> tuple[np.ndarray, np.ndarray]:
-    """The product: next state and factor for (state, class); state 0 is where all parts begin."""
-    start = (0,) * len(parts)
-    number, todo, rows = {start: 0}, [start], {}
-    while todo:
-        state = todo.pop()
-        for symbol in range(6):
-            steps = [p.step(s, symbol) for p, s in zip(parts, state, strict=True)]
-            after = tuple(s for s, _ in steps)
-            if after not in number:
-                number[after] = len(number)
-                todo.append(after)
-            rows[number[state], symbol] = (number[after], float(np.prod([f for _, f in steps])))
-    following, factor = np.zeros((len(number), 6), np.int64), np.ones((len(number), 6))
-    for (s, c), (after, f) in rows.items():
-        following[s, c], factor[s, c] = after, f
-    return following, factor
+    # the threat is paid on the arc that finds its target; a word of threat without one pays nothing
+    aimed = {(0, THREAT): (AIM, 0.0)}
+    for left in range(AIM, 0, -1):
+        aimed |= {(left, s): (left - 1, 1.0) for s in (OTHER, NEGATION, REPORT, INSULT)}
+        aimed |= {(left, THREAT): (AIM, 0.0), (left, TARGET): (0, 1.0)}
+    target = Transducer(2, {(0, TARGET): (1, 1.0), (1, INSULT): (1, 1.3)})
+    reach = {(0, NEGATION): (REACH, 1.0)}
+    for left in range(REACH, 0, -1):
+        reach |= {(left, s): (left - 1, 1.0) for s in (OTHER, REPORT, THREAT)}
+        reach |= {(left, NEGATION): (REACH, 1.0), (left, INSULT): (0, 0.5), (left, TARGET): (left - 1, 0.5)}
+    report = Transducer(2, {(0, REPORT): (1, 1.0), (1, INSULT): (1, 0.7), (1, TARGET): (1, 0.7)})
+    return [insult, Transducer(AIM + 1, aimed), target, Transducer(REACH + 1, reach), report]
+
+
+class Product:
+    """The product of transducers: next state and factor for (state, class), and each part's state in each of its states.
+
+    State 0 is where all parts begin.
+    """
+
+    def __init__(self, parts: list[Transducer]):
+        start = (0,) * len(parts)
+        number, todo, rows = {start: 0}, [start], {}
+        while todo:
+            state = todo.pop()
+            for symbol in range(6):
+                steps = [p.step(s, symbol) for p, s in zip(parts, state, strict=True)]
+                after = tuple(s for s, _ in steps)
+                if after not in number:
+                    number[after] = len(number)
+                    todo.append(after)
+                rows[number[state], symbol] = (number[after], float(np.prod([f for _, f in steps])))
+        self.states = list(number)
+        self.following, self.factor = np.zeros((len(number), 6), np.int64), np.ones((len(number), 6))
+        for (s, c), (after, f) in rows.items():
+            self.following[s, c], self.factor[s, c] = after, f
+
+    def active(self, part: int) -> list[bool]:
+        """For each state, whether the part is out of its first state."""
+        return [s[part] > 0 for s in self.states]
 
 
 FEATURES = 6
+#: What an aimed threat adds to its clause, in the insults' unit (log odds).
+THREATENED = 3.0
 
 
 class Grammar:
@@ -109,7 +131,7 @@ class Grammar:
         fixed.sort()
         self.fixed = np.array([h for h, _ in fixed], np.uint64)
         self.kinds = np.array([c for _, c in fixed], np.int8)
-        self.following, self.factor = compose(machines())
+        self.machine = Product(machines())
         self.logit = np.zeros(FEATURES + 1)
 
     def classes(self, chunk: Chunk):
@@ -149,25 +171,29 @@ class Grammar:
         marked, clause = marked[keep], clause[keep]
         total, number, damped, quoted, threats = (np.zeros(len(chunk)) for _ in range(5))
         cuts = np.flatnonzero(np.diff(clause)) + 1
+        following, factors = self.machine.following.tolist(), self.machine.factor.tolist()
+        aiming, denying, speaking = (self.machine.active(k) for k in (1, 3, 4))
         for run in np.split(marked, cuts) if len(marked) else ():
-            state, score, before, raw = 0, 0.0, run[0], 0.0
+            state, score, threat, before = 0, 0.0, 0.0, run[0]
             text = words.text[run[0]]
-            spoken = denied = False
+            spoken = denied = matched = False
             for w in run.tolist():
-                for _ in range(min(3, w - before - 1)):
-                    state = self.following[state, OTHER]
-                symbol = kind[w]
-                factor = self.factor[state, symbol]
-                state = self.following[state, symbol]
-                if symbol == INSULT:
-                    score += weight[w] * factor
-                    raw += weight[w]
-                    denied |= factor < 0.6
-                elif symbol == THREAT:
-                    threats[text] += factor
-                spoken |= symbol == REPORT
+                for _ in range(min(max(AIM, REACH), w - before - 1)):
+                    state = following[state][OTHER]
+                symbol, at = kind[w], state
+                state = following[at][symbol]
+                if symbol == INSULT or symbol == TARGET and aiming[at]:
+                    matched = True
+                    denied |= denying[at]
+                    spoken |= speaking[at]
+                    if symbol == INSULT:
+                        score += weight[w] * factors[at][symbol]
+                    else:
+                        threat += factors[at][symbol]
                 before = w
-            if raw:
+            if matched:
+                score += THREATENED * threat
+                threats[text] += threat
                 out[text, 0] = max(out[text, 0], score)
                 total[text] += score
                 number[text] += 1
