@@ -5,9 +5,13 @@ relative frequencies of hashed byte trigrams (lower case, everything that is not
 a letter is one blank).  The first step separates the families, the second the
 languages of the winning family; votes decide, then the sum of margins.
 
-The machines are fitted on a bounded sample: about ``SAMPLE`` texts of each
-language, chosen by a hash of the id, come to the driver as sums over hashed
-trigrams (``BUCKETS`` numbers each).  Prediction reads whole texts.
+The machines are fitted on a bounded sample: about ``SAMPLE`` texts of each language,
+fewer where there are many languages (``ROWS`` texts in all, ``FEWEST`` of each), chosen
+by a hash of the id, come to the driver as shares of the hashed trigrams that they have.
+Every language with a text is learnt.  Languages of no listed family are families of
+their own, or, beyond ``GROUP`` of them, share families of that size in order of their
+codes, so the number of machines does not grow with the square of the languages.
+Prediction reads whole texts.
 
 Defined results: a null text, and one without any letter, is ``und`` with score 0
 (so is every text when nothing could be learnt); repeated rows repeat; other
@@ -30,9 +34,9 @@ from pyspark.sql import types as T
 from .flat import Chunk, chunks
 
 BUCKETS = 1 << 13
-#: Texts of each language that fitting sees, about; and the most languages that are told apart.
-SAMPLE = 400
-LANGUAGES = 64
+#: Texts of each language that fitting sees, about, of all languages together, and of each at least; unlisted languages of a family.
+SAMPLE, ROWS, FEWEST = 400, 4000, 20
+GROUP = 16
 UNKNOWN = "und"
 
 # Families of languages by their codes; a code that is not listed is a family of its own.
@@ -52,8 +56,12 @@ _CLASS[97:123] = np.arange(97, 123)
 _CLASS[65:91] = np.arange(97, 123)
 
 
-def family(code: str) -> str:
-    return _FAMILY.get(code.lower().split("-")[0].split("_")[0], code)
+def families(codes: list[str]) -> dict[str, str]:
+    """The family of each code."""
+    listed = {c: _FAMILY.get(c.lower().split("-")[0].split("_")[0]) for c in codes}
+    rest = sorted(c for c, f in listed.items() if f is None)
+    alone = len(rest) <= GROUP
+    return {c: f or (c if alone else f"others {rest.index(c) // GROUP}") for c, f in listed.items()}
 
 
 def trigrams(chunk: Chunk) -> np.ndarray:
@@ -105,7 +113,8 @@ class Machines:
 
     def __init__(self, x: np.ndarray, lang: np.ndarray):
         self.languages = sorted(set(lang.tolist()))
-        own = np.array([family(code) for code in lang.tolist()], object)
+        family = families(self.languages)
+        own = np.array([family[code] for code in lang.tolist()], object)
         self.families = sorted(set(own.tolist()))
         self.steps: list[tuple[list[str], list[tuple[int, int, int]]]] = []
         weights: list[np.ndarray] = []
@@ -120,7 +129,7 @@ class Machines:
 
         step(self.families, own)
         for name in self.families:
-            step([c for c in self.languages if family(c) == name], lang)
+            step([c for c in self.languages if family[c] == name], lang)
         table = np.stack(weights, 1) if weights else np.zeros((BUCKETS + 1, 0))
         self.constant = table[-1]
         self.weights = table.astype(np.float32)
@@ -168,32 +177,32 @@ SCALE = 30.0
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashed trigrams of each text as (bucket, number) lists."""
+    """Hashed trigrams that each text has, with their shares."""
     for batch in batches:
         for chunk in chunks(batch):
             found = trigrams(chunk)
-            rows = []
+            which, shares = [], []
             for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True):
-                counts = np.bincount(found[a:b], minlength=BUCKETS + 1)[:BUCKETS].astype(np.float32)
-                rows.append((counts / max(1, counts.sum())).tobytes())
+                counts = np.bincount(found[a:b], minlength=BUCKETS + 1)[:BUCKETS]
+                which.append(np.flatnonzero(counts).astype(np.uint16).tobytes())
+                shares.append((counts[counts > 0] / max(1, counts.sum())).astype(np.float32).tobytes())
             langs = batch.column(1)[chunk.rows.start : chunk.rows.stop]
-            yield pa.RecordBatch.from_arrays([langs, pa.array(rows, pa.binary())], ["lang", "sums"])
+            yield pa.RecordBatch.from_arrays([langs, pa.array(which, pa.binary()), pa.array(shares, pa.binary())], ["lang", "which", "shares"])
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Machines | None:
     """Machines from ``docs`` (id, text, lang); None where no language has a text."""
     known = docs.where("lang is not null and text is not null")
-    sizes = known.groupBy("lang").count()
-    sizes = sizes.orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    sizes = known.groupBy("lang").count().collect()  # a row for each language
     if not sizes:
         return None
-    # about `sample` texts of each language; the table of shares has LANGUAGES rows at most
-    share = F.lit(0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r.lang, F.lit(int(1_000_000 * min(1.0, sample / r["count"])))).otherwise(share)
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < share).select("text", "lang")
-    table = chosen.mapInArrow(_sums, "lang string, sums binary").toPandas()
-    x = np.stack([np.frombuffer(s, np.float32) for s in table["sums"]]) if len(table) else np.empty((0, BUCKETS))
+    each = min(sample, max(FEWEST, ROWS // len(sizes)))
+    shares = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, int(1_000_000 * min(1.0, each / r["count"])))))
+    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(shares, F.col("lang"))).select("text", "lang")
+    table = chosen.mapInArrow(_sums, "lang string, which binary, shares binary").toPandas()
+    x = np.zeros((len(table), BUCKETS), np.float32)
+    for row, which, values in zip(x, table["which"], table["shares"], strict=True):
+        row[np.frombuffer(which, np.uint16)] = np.frombuffer(values, np.float32)
     some = x.any(1)
     if not some.any():
         return None

@@ -31,6 +31,50 @@ def test_machine_separates():
     assert (np.sign(x @ w[:-1] + w[-1]) == y).mean() > 0.98
 
 
+def votes(machines, text):
+    """The language by counting votes and margins one trigram at a time."""
+    clean = "".join(c.lower() if c.isascii() and c.isalpha() else " " if c.isascii() else c for c in text).encode()
+    counts = {}
+    for i in range(len(clean) - 2):
+        if clean[i : i + 2] != b"  ":
+            bucket = (int.from_bytes(clean[i : i + 3], "little") * 2654435761) % 2**32 >> 19
+            counts[bucket] = counts.get(bucket, 0) + 1
+    size = max(1, sum(counts.values()))
+
+    def winner(names, pairs):
+        won, sums = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for a, b, k in pairs:
+            margin = sum(n * float(machines.weights[bucket, k]) for bucket, n in counts.items()) / size * language.SCALE + machines.constant[k]
+            won[names[a] if margin > 0 else names[b]] += 1
+            sums[names[a]] += margin
+            sums[names[b]] -= margin
+        return max(names, key=lambda c: won[c] + np.tanh(sums[c] / 100) / 2)
+
+    family = winner(*machines.steps[0])
+    return winner(*machines.steps[1 + machines.families.index(family)])
+
+
+def test_predictions_against_votes(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    machines = language.learn(docs.select(language.F.col("doc_id").alias("id"), "text", "lang"), sample=60)
+    texts = [r.text for r in docs.where("doc_id % 20 = 0 and text is not null").select("text").collect()]
+    for chunk in chunks(pa.record_batch([pa.array(texts)], names=["text"])):
+        names, _ = machines.predict(chunk)
+        letters = has_letter(chunk)
+        for i, name in enumerate(names):
+            assert name == (votes(machines, texts[chunk.rows.start + i]) if letters[i] else "und")
+
+
+def test_many_languages_are_all_learnt(spark):
+    codes = [f"q{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    rows = [(i, " ".join([c * 3] * 12), c) for i, c in enumerate(codes * 6)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string")
+    machines = language.learn(docs)
+    assert machines.languages == codes and len(machines.families) == 3
+    got = {r.id: r.lang_pred for r in language.predict(docs, machines, "id").collect()}
+    assert sum(got[i] == c for i, _, c in rows) >= 0.95 * len(rows)
+
+
 def test_held_out_accuracy(spark):
     rows = queries.op8_language(spark, SF).collect()
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
