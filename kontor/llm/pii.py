@@ -9,8 +9,8 @@ and non-overlapping within a kind, and one that fails its test is dropped):
 * ``phone``  ``+`` and 10 to 15 digits
 
 Further kinds: ``iban`` (ISO 13616 layout, mod-97), ``ssn`` (3-2-4 digits; no
-checksum exists, so context must vouch for it) and ``secret`` (a long hex or
-base64 value; likewise).  They need a score of ``THRESHOLD``; base spans stay
+checksum exists, so context must vouch for it), ``secret`` (a hex or base64 value of 24
+characters or more; likewise) and ``key`` (keys whose public layout names them).  They need a score of ``THRESHOLD``; base spans stay
 whatever their score is.
 
 Each span has a score in 0..1: the kind's prior, raised by a context word of
@@ -38,7 +38,7 @@ from .flat import chunks
 
 # The base kinds in the order in which ties are listed, then the further ones.
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "iban", "ssn", "secret")
+KINDS = (*BASE, "iban", "ssn", "secret", "key")
 THRESHOLD = 0.5
 REACH = 40
 
@@ -49,11 +49,16 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,128}(?![A-Za-z0-9+/_-])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{24,}(?![A-Za-z0-9+/_-])")
+# Public layouts of keys that name themselves (cloud access key, code host tokens, chat tokens, signed web token, private key block).
+_KEY = re.compile(
+    r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+    r"|-----BEGIN (?:[A-Z]{2,9} )?PRIVATE KEY-----)(?![A-Za-z0-9_])"
+)
 _DIGIT = re.compile(r"[^0-9]")
 
 # Prior score of each kind, words that speak for it and words that speak against any kind.
-PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "secret": 0.3}
+PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3, "secret": 0.3, "key": 0.9}
 FOR = {
     "email": ("mail", "contact", "write", "address"),
     "ip": ("ip", "host", "server", "address"),
@@ -61,7 +66,8 @@ FOR = {
     "phone": ("phone", "call", "tel", "mobile", "fax"),
     "iban": ("iban", "account", "bank"),
     "ssn": ("ssn", "social security", "taxpayer"),
-    "secret": ("token", "secret", "key", "password", "passwd", "credential"),
+    "secret": ("token", "secret", "key", "password", "passwd", "credential", "bearer", "authorization"),
+    "key": ("token", "secret", "key", "password", "passwd", "credential", "bearer", "authorization"),
 }
 AGAINST = ("order", "version", "example", "invoice", "isbn", "part no")
 _FOR = {k: re.compile(r"(?<![a-z])(?:" + "|".join(map(re.escape, v)) + ")") for k, v in FOR.items()}
@@ -135,6 +141,8 @@ def _plain(text: str, digits: bool) -> Iterator[tuple[str, int, int]]:
         yield "ssn", *m.span()
     for m in _SECRET.finditer(text):
         yield "secret", *m.span()
+    for m in _KEY.finditer(text):
+        yield "key", *m.span()
 
 
 def spans(text: str, digits: bool = True) -> list[tuple[str, int, int, float]]:
