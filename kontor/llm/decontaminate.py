@@ -10,14 +10,18 @@ and the mask that keeps them gives both windows the same hash: no overlap is los
 Test and training hashes are joined, and the words around each hit are compared.
 Items shorter than ``SPAN`` words match where all their words occur in a row.
 
-The benchmark is usually small: up to ``HELD`` distinct hashes (its size is
-counted first) travel to the readers, which drop all other windows before the
-join.  A larger benchmark takes the same join without that shortcut, shuffled by
-hash; a passage that many documents share is then a key that Spark splits.
+Items of equal text are one class, compared once and reported under each id.  A text's
+equal windows are one, found where the first begins.
+
+The benchmark is usually small: up to ``HELD`` windows (they are counted first)
+travel to the readers, which drop all other windows before the join.  A larger
+benchmark takes the same join without that shortcut, shuffled by hash; a passage that
+many documents share is then a key that Spark splits.
 
 Defined results: null and empty texts, and items without words, overlap with
 nothing; texts are read whole; repeated rows and items with equal text are
-reported under each id; an empty table on either side gives an empty result.
+reported under each id; items without an id are left out; an empty table on either side gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -34,8 +38,8 @@ from .flat import NOT_ALNUM, Words, chunks, mix, seeded, signed
 from .shared import settled, without
 
 SPAN, MISS = 13, 2
-#: The most benchmark hashes that are sent to the readers.
-HELD = 1 << 20
+#: The most benchmark windows (rows of a hash and ``SPAN`` words) that are sent to the readers.
+HELD = 1 << 18
 
 U = np.uint64
 
@@ -81,6 +85,19 @@ def whole(words: Words, span: int) -> tuple[np.ndarray, np.ndarray]:
     return at, mix(total)
 
 
+def _once(words: Words, at: np.ndarray, h: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each text's windows with the same words and the same hash."""
+    with np.errstate(over="ignore"):
+        full = np.full(len(at), _SALTS[0])
+        for p in range(span):
+            full += words.hash[at + p] * _FACTORS[p]
+    order = np.lexsort((at, full, h, words.text[at]))
+    names = np.stack((words.text[at].astype(U), h, full))[:, order]
+    first = np.ones(len(at), bool)
+    first[1:] = (names[:, 1:] != names[:, :-1]).any(0)
+    return at[order[first]], h[order[first]]
+
+
 def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for chunk in chunks(batch):
@@ -123,6 +140,7 @@ def _hits(spans: list[int], held: np.ndarray | None):
                         at, h = at[hit], h[hit]
                     if not len(at):
                         continue
+                    at, h = _once(words, at, h, span)
                     table = words.hash[at[:, None] + np.arange(span)].reshape(-1)
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -144,31 +162,31 @@ def overlaps(docs: DataFrame, items: DataFrame, held: int = HELD) -> DataFrame:
     document), least_misses.
     """
     kind, item = docs.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
-    tests = items.select("item", F.col("text").cast("string").alias("text")).mapInArrow(
-        _items, f"item {item}, hash long, item_at int, item_words array<long>"
-    )
-    sizes = tests.agg(F.approx_count_distinct("hash").alias("n"), F.collect_set(F.size("item_words")).alias("spans")).first()
+    given = items.select("item", F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
+    own = given.groupBy("text").agg(F.min("item").alias("item"))
+    members = given.join(own.withColumnRenamed("item", "rep"), "text").select("rep", "item").distinct()
+    tests = own.select("item", "text").mapInArrow(_items, f"item {item}, hash long, item_at int, item_words array<long>")
+    sizes = tests.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.size("item_words")).alias("spans")).first()
     spans = sorted(s for s in sizes.spans if s < SPAN)
     keep = None
-    if sizes.n <= held * 0.9:
-        found = tests.select("hash").distinct().limit(2 * held).toPandas()["hash"].to_numpy(np.int64)
-        keep = np.sort(found.view(U))
-    if keep is not None and not len(keep):
-        keep = np.zeros(1, U)
+    if sizes.n <= held:
+        found = tests.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64)
+        keep = np.sort(found.view(U)) if len(found) else np.zeros(1, U)
     mine = docs.select("id", F.col("text").cast("string").alias("text")).mapInArrow(
         _hits(spans, keep), f"id {kind}, hash long, at int, words array<long>"
     )
-    tests = F.broadcast(tests) if keep is not None else tests
+    tests = F.broadcast(tests) if keep is not None else tests  # `held` rows at most
     pairs = mine.join(tests, "hash").where(F.size("words") == F.size("item_words"))
     misses = F.aggregate(
         F.zip_with("words", "item_words", lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, b: a + b
     )
     pairs = pairs.withColumn("misses", misses).where(F.col("misses") <= F.when(F.size("words") < SPAN, 0).otherwise(MISS))
-    return pairs.groupBy("id", "item").agg(
+    found = pairs.groupBy("id", F.col("item").alias("rep")).agg(
         F.count_distinct("item_at").alias("n_windows"),
         F.min("at").cast("long").alias("first_word"),
         F.min("misses").alias("least_misses"),
     )
+    return found.join(members, "rep").select("id", "item", "n_windows", "first_word", "least_misses")
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
