@@ -19,7 +19,8 @@ would send each of them to one task.  So:
 
 Defined results: a null text is an empty text; empty texts equal each other and
 white-space-only texts; rows that repeat an id count as rows of their own with
-that id; an empty table gives an empty result; other columns are ignored.
+that id, all kept where it is the one that stays; a row without an id stays only if its
+whole group has none of that length; ids may be of any type that can be ordered; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,22 +55,22 @@ def exact_dedup(
 ) -> DataFrame:
     """One row per row of ``docs``: id, keep_id, group_size, kept, text_sha256."""
     rows = settled(digests(docs, id_col, text_col))
-    best = F.struct(F.col("length").alias("length"), (-F.col("id")).alias("order"))
+    best = F.struct((-F.col("length")).alias("shorter"), F.col("id").isNull().alias("nameless"), F.col("id").alias("keep_id"))
     named = frequent(rows, tracked, winners)
     heavy = (
         rows.join(F.broadcast(named), "digest", "left_semi")
         .groupBy("digest")
-        .agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
+        .agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
         .where("group_size > 1")
     )
-    heavy = settled(heavy.select("digest", (-F.col("best.order")).alias("keep_id"), "group_size"))
+    heavy = settled(heavy.select("digest", "best.keep_id", "group_size"))
     of_heavy = rows.join(F.broadcast(heavy), "digest")
     per_digest = Window.partitionBy("digest")
     others = (
         rows.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
-        .withColumn("best", F.max(best).over(per_digest))
+        .withColumn("best", F.min(best).over(per_digest))
         .withColumn("group_size", F.count(F.lit(1)).over(per_digest))
-        .withColumn("keep_id", -F.col("best.order"))
+        .withColumn("keep_id", F.col("best.keep_id"))
     )
     columns = [
         F.col("id").alias(id_col),
