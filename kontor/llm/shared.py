@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Make sure checkpoints have a home: the cluster's shared folder, or a fresh one where none is set (tests)."""
+    """Make sure checkpoints have a home: the cluster's shared folder; a fresh one where none is set and all runs on one machine."""
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
@@ -25,28 +27,36 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
-#: Bits of a sieve.  Its table has SIEVE_BITS / 64 rows at most, whatever the input, so it can be broadcast.
-SIEVE_BITS = 1 << 22
+#: Bits of a sieve for each id, and bits at most: its table has MOST_BITS / 64 rows then and can still be broadcast.
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 26
 
 
-def _slot(column):
-    return F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def _bits(ids: DataFrame) -> DataFrame:
-    """The bitmap of hashed ids as (_word, _bits)."""
-    (name,) = ids.columns
-    hashed = ids.select(_slot(F.col(name)).alias("_slot"))
-    return hashed.groupBy(F.shiftright("_slot", 6).alias("_word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(_slot & 63 as int))")).alias("_bits")
-    )
-
+def _sifted(df: DataFrame, id_col: str, ids: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` with a column, named by the second value: whether the row's id may be among ``ids``.
 
-def _sifted(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """``df`` with ``_hit``: whether the row's id may be among ``ids``."""
-    own = df.withColumn("_slot", _slot(F.col(id_col))).withColumn("_word", F.shiftright("_slot", 6))
-    hit = F.coalesce(F.expr("(shiftrightunsigned(_bits, cast(_slot & 63 as int)) & 1L) = 1L"), F.lit(False))
-    return own.join(F.broadcast(_bits(ids)), "_word", "left").select(*df.columns, hit.alias("_hit"))
+    The bitmap of hashed ids has about BITS_PER_ID bits for each id; from MOST_BITS on it gets denser and lets
+    more rows through, which costs time and changes nothing else.
+    """
+    (name,) = ids.columns
+    bits = LEAST_BITS
+    wanted = min(MOST_BITS, BITS_PER_ID * ids.count())
+    while bits < wanted:
+        bits *= 2
+    slot, word, held, hit = (_free(df, n) for n in ("slot", "word", "held", "hit"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    hashed = ids.select(place(F.col(name)).alias(slot))
+    table = hashed.groupBy(F.shiftright(slot, 6).alias(word)).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias(held))
+    own = df.withColumn(slot, place(F.col(id_col))).withColumn(word, F.shiftright(slot, 6))
+    may = F.coalesce(F.expr(f"(shiftrightunsigned({held}, cast({slot} & 63 as int)) & 1L) = 1L"), F.lit(False))
+    return own.join(F.broadcast(table), word, "left").select(*(F.col(f"`{c}`") for c in df.columns), may.alias(hit)), hit
 
 
 def sieve(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
@@ -54,15 +64,17 @@ def sieve(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
 
     It keeps every wanted row and drops most others before a shuffle; an exact join must follow.
     """
-    return _sifted(df, id_col, ids).where("_hit").drop("_hit")
+    sifted, hit = _sifted(df, id_col, ids)
+    return sifted.where(hit).drop(hit)
 
 
 def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     """The rows of ``df`` whose id is not among ``ids`` (one column); only rows that the sieve keeps are shuffled."""
     (name,) = ids.columns
-    sifted = _sifted(df, id_col, ids)
-    doubtful = sifted.where("_hit").drop("_hit").join(ids.select(F.col(name).alias(id_col)), id_col, "left_anti")
-    return sifted.where("not _hit").drop("_hit").unionByName(doubtful.select(*df.columns))
+    sifted, hit = _sifted(df, id_col, ids)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    doubtful = sifted.where(hit).drop(hit).join(ids.select(F.col(name).alias(id_col)), id_col, "left_anti")
+    return sifted.where(~F.col(hit)).drop(hit).unionByName(doubtful.select(*columns))
 
 
 def components(links: DataFrame) -> DataFrame:
