@@ -19,39 +19,45 @@ DROP_ORDER = ("set_name", "rarity", "gem_mint", "year", "number")
 
 
 def eligibility(df: DataFrame, min_parse: float = 0.85, min_ai: float = 0.85, min_image: float = 0.9, min_profit: str = "1500", min_margin: str = "15", high_value: str = "200") -> DataFrame:  # noqa: E501
-    """Adds ``blockers`` (code, severity), ``eligible`` and ``manual_review``.  A rule is a row of the table below."""
+    """Adds ``blockers`` (code, severity), ``eligible`` and ``manual_review``.  A rule is a row of the table below.
+
+    A fact that is not known blocks: each rule holds unless its column says that it does not.  Only the confidences of
+    image and text, which not every listing has, and the lists may be null.
+    """
     c = F.col
-    false = F.lit(False)
-    warned = lambda w: F.exists("profit_warnings", lambda x: x.rlike(w))
+    warned = lambda w: F.coalesce(F.exists("profit_warnings", lambda x: x.rlike(w)), F.lit(False))
+    holds = lambda x: F.coalesce(x, F.lit(True))
+    shown = F.coalesce(c("has_images"), F.lit(False))
+    # Codes and severities of the rules.
     rules = (
-        ("NOT_PSA10", "BLOCKING", c("verdict") == "REJECTED"),
+        ("NOT_PSA10", "BLOCKING", holds(c("verdict") == "REJECTED")),
         ("PSA_UNCONFIRMED", "REVIEW", c("verdict") == "REVIEW"),
-        ("LOW_PARSE_CONFIDENCE", "BLOCKING", c("parse_confidence") < min_parse),
+        ("LOW_PARSE_CONFIDENCE", "BLOCKING", holds(c("parse_confidence") < min_parse)),
         ("MISSING_CARD_NAME_EN", "BLOCKING", F.coalesce(c("card_name_en"), F.lit("")) == ""),
         ("MISSING_CARD_NUMBER", "REVIEW", F.coalesce(c("card_number"), F.lit("")) == ""),
         ("UNKNOWN_LANGUAGE", "BLOCKING", F.coalesce(c("language"), F.lit("")) == ""),
-        ("NO_IMAGES", "BLOCKING", ~c("has_images")),
-        ("IMAGE_NOT_APPROVED", "BLOCKING", c("has_images") & ~c("image_approved")),
-        ("LOW_IMAGE_CONFIDENCE", "BLOCKING", c("has_images") & (c("image_confidence") < min_image)),
-        ("REPRESENTATIVE_IMAGE", "REVIEW", c("representative_image")),
-        ("OUT_OF_STOCK", "BLOCKING", c("available") <= 0),
-        ("ZERO_QUANTITY", "BLOCKING", c("quantity") <= 0),
+        ("NO_IMAGES", "BLOCKING", ~shown),
+        ("IMAGE_NOT_APPROVED", "BLOCKING", shown & holds(~c("image_approved"))),
+        ("LOW_IMAGE_CONFIDENCE", "BLOCKING", shown & F.coalesce(c("image_confidence") < min_image, F.lit(False))),
+        ("REPRESENTATIVE_IMAGE", "REVIEW", holds(c("representative_image"))),
+        ("OUT_OF_STOCK", "BLOCKING", holds(c("available") <= 0)),
+        ("ZERO_QUANTITY", "BLOCKING", holds(c("quantity") <= 0)),
         ("MISSING_TITLE", "BLOCKING", F.coalesce(c("title"), F.lit("")) == ""),
-        ("TITLE_TOO_LONG", "BLOCKING", F.length("title") > TITLE_MAX),
-        ("MISSING_REQUIRED_ASPECTS", "BLOCKING", F.size("missing_aspects") > 0),
-        ("CONDITION_DESCRIPTORS_UNRESOLVED", "BLOCKING", ~c("descriptors_resolved")),
-        ("LOW_AI_CONFIDENCE", "BLOCKING", c("ai_confidence") < min_ai),
-        ("AI_WARNINGS", "REVIEW", F.size("ai_warnings") > 0),
-        ("BELOW_MIN_PROFIT", "BLOCKING", c("base_profit_jpy") < F.lit(min_profit).cast("decimal(20,6)")),
-        ("BELOW_MIN_MARGIN", "BLOCKING", c("base_margin") < F.lit(min_margin).cast("decimal(8,5)")),
-        ("PESSIMISTIC_LOSS", "BLOCKING", c("pessimistic_profit") <= 0),
+        ("TITLE_TOO_LONG", "BLOCKING", F.coalesce(F.length("title") > TITLE_MAX, F.lit(False))),
+        ("MISSING_REQUIRED_ASPECTS", "BLOCKING", F.coalesce(F.array_size("missing_aspects"), F.lit(0)) > 0),
+        ("CONDITION_DESCRIPTORS_UNRESOLVED", "BLOCKING", holds(~c("descriptors_resolved"))),
+        ("LOW_AI_CONFIDENCE", "BLOCKING", F.coalesce(c("ai_confidence") < min_ai, F.lit(False))),
+        ("AI_WARNINGS", "REVIEW", F.coalesce(F.array_size("ai_warnings"), F.lit(0)) > 0),
+        ("BELOW_MIN_PROFIT", "BLOCKING", holds(c("base_profit_jpy") < F.lit(min_profit).cast("decimal(20,6)"))),
+        ("BELOW_MIN_MARGIN", "BLOCKING", holds(c("base_margin") < F.lit(min_margin).cast("decimal(8,5)"))),
+        ("PESSIMISTIC_LOSS", "BLOCKING", holds(c("pessimistic_profit") <= 0)),
         ("CUSTOMS_UNDETERMINED", "REVIEW", warned("carrier quote|manual review")),
-        ("INVALID_PRICE", "BLOCKING", warned("purchase price is zero|selling price is zero") | (c("selling_price") <= 0)),
-        ("INSUFFICIENT_MARKET_DATA", "REVIEW", ~c("market_sufficient")),
-        ("HIGH_VALUE", "REVIEW", c("selling_price") >= F.lit(high_value).cast("decimal(20,6)")),
-        ("DUPLICATE_LISTING", "BLOCKING", c("duplicate_listing")),
+        ("INVALID_PRICE", "BLOCKING", warned("purchase price is zero|selling price is zero") | holds(c("selling_price") <= 0)),
+        ("INSUFFICIENT_MARKET_DATA", "REVIEW", holds(~c("market_sufficient"))),
+        ("HIGH_VALUE", "REVIEW", F.coalesce(c("selling_price") >= F.lit(high_value).cast("decimal(20,6)"), F.lit(False))),
+        ("DUPLICATE_LISTING", "BLOCKING", holds(c("duplicate_listing"))),
     )
-    made = F.array(*(F.when(F.coalesce(hit, false), F.struct(F.lit(n).alias("code"), F.lit(s).alias("severity"))) for n, s, hit in rules))
+    made = F.array(*(F.when(hit, F.struct(F.lit(n).alias("code"), F.lit(s).alias("severity"))) for n, s, hit in rules))
     df = df.withColumn("blockers", F.filter(made, lambda x: x.isNotNull()))
     blocking = F.exists("blockers", lambda x: x["severity"] == "BLOCKING")
     return df.withColumns({"eligible": F.size("blockers") == 0, "manual_review": (F.size("blockers") > 0) & ~blocking})
@@ -167,18 +173,26 @@ def resolve_descriptors(listings: DataFrame, policies: DataFrame) -> DataFrame:
 
 
 def split_aspects(items: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(accepted with their canonical names, rejected) from (listing_id, specifics map) and allowed names (category aspects)."""
-    given = items.select("listing_id", F.explode("specifics").alias("name", "value")).withColumn("_k", F.lower(F.trim("name")))
-    canonical = allowed.select(F.col("name").alias("canonical")).distinct().withColumn("_k", F.lower(F.trim("canonical")))
-    both = given.join(F.broadcast(canonical), "_k", "left")
-    return both.where("canonical is not null").select("listing_id", "canonical", "value"), both.where("canonical is null").select("listing_id", "name")
+    """(accepted with their canonical names, rejected): items (listing_id, category_id, specifics map) against the aspects
+    of their category, ``allowed`` (category_id, name).
+
+    Names agree without regard to case and outer blanks; of several spellings of one name a category's greatest is its
+    own, and of several values for one aspect the one under the greatest given name stays.
+    """
+    key = lambda c: F.lower(F.trim(c))
+    given = items.select("listing_id", "category_id", F.explode("specifics").alias("name", "value")).withColumn("_k", key(F.col("name")))
+    canonical = allowed.groupBy("category_id", key(F.col("name")).alias("_k")).agg(F.max("name").alias("canonical"))
+    both = given.join(canonical, ["category_id", "_k"], "left")
+    accepted = both.where("canonical is not null").groupBy("listing_id", "canonical").agg(F.max_by("value", "name").alias("value"))
+    return accepted, both.where("canonical is null").select("listing_id", "name")
 
 
 def missing_aspects(items: DataFrame, required: DataFrame) -> DataFrame:
-    """Required names that a listing does not provide, as an array for each listing."""
-    names = required.where("required").agg(F.array_sort(F.collect_set(F.lower("name"))).alias("_need"))  # one row
+    """Names that a listing's category requires and the listing does not provide, as an array for each listing."""
+    names = required.where("required").groupBy("category_id").agg(F.array_sort(F.collect_set(F.lower(F.trim("name")))).alias("_need"))
     have = F.transform(F.map_keys(F.map_filter("specifics", lambda k, v: F.coalesce(v, F.lit("")) != "")), lambda k: F.lower(F.trim(k)))
-    return items.crossJoin(F.broadcast(names)).select("listing_id", F.array_except("_need", have).alias("missing"))
+    need = F.coalesce("_need", F.array().cast("array<string>"))
+    return items.join(names, "category_id", "left").select("listing_id", F.array_except(need, have).alias("missing"))
 
 
 def approved_batch(listings: DataFrame, approvals: DataFrame, environment: str, dry_run: bool = True, allow_production: bool = False, cap: int = 5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import attributes, matching, names, publishing
 from ..sources import metadata
-from ..sources.listings import load_settings
+from ..sources.listings import is_configured, load_name_catalog, load_settings
 from .stand_ins import IDENTITY_SQL, identities, table
 
 
@@ -168,11 +168,12 @@ def eligibility(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     k = F.col("p_partkey")
     none = F.array().cast("array<string>")
+    unless = lambda n, c: F.when(k % n != 0, c)  # a fact that is not known for every n-th part
     df = p.select(
-        k.alias("listing_id"), F.when(k % 5 == 0, "REVIEW").when(k % 11 == 0, "REJECTED").otherwise("CONFIRMED").alias("verdict"), (k % 20 / 100 + 0.8).alias("parse_confidence"),
-        F.col("p_name").alias("card_name_en"), F.when(k % 4 != 0, F.lit("1/2")).alias("card_number"), F.lit("JAPANESE").alias("language"), (k % 9 != 0).alias("has_images"),
-        (k % 8 != 0).alias("image_approved"), (k % 10 / 50 + 0.8).alias("image_confidence"), (k % 13 == 0).alias("representative_image"), (F.col("p_size") - 3).alias("available"),
-        F.lit(1).alias("quantity"), F.col("p_name").alias("title"), F.when(k % 6 == 0, F.array(F.lit("Grade"))).otherwise(none).alias("missing_aspects"), F.lit(True).alias("descriptors_resolved"),
+        k.alias("listing_id"), F.when(k % 47 == 0, None).when(k % 5 == 0, "REVIEW").when(k % 11 == 0, "REJECTED").otherwise("CONFIRMED").alias("verdict"), unless(37, k % 20 / 100 + 0.8).alias("parse_confidence"),
+        F.col("p_name").alias("card_name_en"), F.when(k % 4 != 0, F.lit("1/2")).alias("card_number"), F.lit("JAPANESE").alias("language"), unless(23, k % 9 != 0).alias("has_images"),
+        unless(29, k % 8 != 0).alias("image_approved"), (k % 10 / 50 + 0.8).alias("image_confidence"), (k % 13 == 0).alias("representative_image"), unless(31, F.col("p_size") - 3).alias("available"),
+        unless(43, F.lit(1)).alias("quantity"), F.col("p_name").alias("title"), F.when(k % 6 == 0, F.array(F.lit("Grade"))).otherwise(none).alias("missing_aspects"), unless(41, F.lit(True)).alias("descriptors_resolved"),
         F.lit(None).cast("double").alias("ai_confidence"), none.alias("ai_warnings"), F.round(F.col("p_retailprice") * 2, 2).cast("decimal(20,6)").alias("base_profit_jpy"),
         (k % 30).cast("decimal(12,4)").alias("base_margin"), (k % 40 - 2).cast("decimal(20,6)").alias("pessimistic_profit"), none.alias("profit_warnings"),
         F.round(F.col("p_retailprice") / 8, 2).cast("decimal(20,6)").alias("selling_price"), (k % 3 != 0).alias("market_sufficient"), (k % 17 == 0).alias("duplicate_listing"),
@@ -216,8 +217,10 @@ def resolve_descriptors(spark, sf_dir):
 def split_aspects(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     given = F.create_map(F.lit(" type "), F.col("p_type"), F.concat(F.lit("X"), (F.col("p_partkey") % 3).cast("string")), F.col("p_brand"), F.lit("SIZE"), F.when(F.col("p_size") > 5, F.col("p_size").cast("string")))
-    items = p.select(F.col("p_partkey").alias("listing_id"), given.alias("specifics"))
-    allowed = spark.createDataFrame([("Type", True), ("Size", True), ("Year", False)], "name string, required boolean")
+    items = p.select(F.col("p_partkey").alias("listing_id"), F.col("p_brand").alias("category_id"), given.alias("specifics"))
+    # every brand offers a type and, not required, a year; brands that end in an odd digit a size, too
+    own = F.array(F.struct(F.lit("Type").alias("name"), F.lit(True).alias("required")), F.struct(F.lit("Year").alias("name"), F.lit(False).alias("required")), F.struct(F.when(F.ascii(F.right("p_brand", F.lit(1))) % 2 == 1, "Size").alias("name"), F.lit(True).alias("required")))
+    allowed = p.select("p_brand").distinct().select(F.col("p_brand").alias("category_id"), F.inline(own)).where("name is not null")
     good, bad = publishing.split_aspects(items, allowed)
     missing = publishing.missing_aspects(items, allowed)
     n = good.groupBy("listing_id").agg(F.count(F.lit(1)).alias("n_accepted"))
@@ -233,7 +236,24 @@ def settings(spark, sf_dir):
     return load_settings(kv, {"max_publish_per_run": "7"}).select("dry_run", "max_publish_per_run", "sync_interval_minutes", "stock_check_minutes")
 
 
+def name_catalog(spark, sf_dir):
+    columns = {"name_ja": "p_name", "name_en": "p_brand", "set_code": "p_type", "card_number": "cast(p_size as string)", "source": "'import'", "verified": "p_partkey % 2 = 0"}
+    return load_name_catalog(spark, f"{sf_dir}/part.parquet", columns).groupBy("name_en", "verified").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("name_key").alias("n_keys"))
+
+
+def configured(spark, sf_dir):
+    k = F.col("s_suppkey")
+    none = F.create_map().cast("map<string,string>")
+    s = table(spark, sf_dir, "supplier").select(k, F.when(k % 3 == 0, none).when(k % 3 == 2, F.create_map(F.lit("name"), F.col("s_name"))).alias("selectors"))
+    return is_configured(s).select("s_suppkey", "skip_reason")
+
+
 QUERIES = {
+    "src5_name_catalog": (
+        name_catalog,
+        "SELECT p_brand AS name_en, p_partkey % 2 = 0 AS verified, count(*) AS n, count(DISTINCT replace(lower(p_name), ' ', '')) AS n_keys FROM part GROUP BY 1, 2",
+    ),
+    "f8_is_configured": (configured, "SELECT s_suppkey, CASE WHEN s_suppkey % 3 <> 2 THEN 'no selectors' END AS skip_reason FROM supplier"),
     "j9_a16_resolve_names": (
         resolve_names,
         """WITH d AS (SELECT replace(lower(p_name), ' ', '') AS k, lower(p_type) AS s, p_size AS n, p_brand AS en, p_partkey % 2 = 0 AS v FROM part WHERE p_partkey % 4 <> 0),
@@ -319,10 +339,10 @@ QUERIES = {
     "b12_eligibility": (
         eligibility,
         """WITH d AS (SELECT *, p_partkey AS k FROM part), b AS (SELECT k, list_filter([
-             CASE WHEN k % 5 <> 0 AND k % 11 = 0 THEN 'NOT_PSA10' END, CASE WHEN k % 5 = 0 THEN 'PSA_UNCONFIRMED' END, CASE WHEN k % 20 / 100 + 0.8 < 0.85 THEN 'LOW_PARSE_CONFIDENCE' END,
-             CASE WHEN k % 4 = 0 THEN 'MISSING_CARD_NUMBER' END, CASE WHEN k % 9 = 0 THEN 'NO_IMAGES' END, CASE WHEN k % 9 <> 0 AND k % 8 = 0 THEN 'IMAGE_NOT_APPROVED' END,
-             CASE WHEN k % 9 <> 0 AND k % 10 / 50 + 0.8 < 0.9 THEN 'LOW_IMAGE_CONFIDENCE' END, CASE WHEN k % 13 = 0 THEN 'REPRESENTATIVE_IMAGE' END, CASE WHEN p_size <= 3 THEN 'OUT_OF_STOCK' END,
-             CASE WHEN k % 6 = 0 THEN 'MISSING_REQUIRED_ASPECTS' END, CASE WHEN round(p_retailprice * 2, 2) < 1500 THEN 'BELOW_MIN_PROFIT' END, CASE WHEN k % 30 < 15 THEN 'BELOW_MIN_MARGIN' END,
+             CASE WHEN k % 47 = 0 OR (k % 5 <> 0 AND k % 11 = 0) THEN 'NOT_PSA10' END, CASE WHEN k % 47 <> 0 AND k % 5 = 0 THEN 'PSA_UNCONFIRMED' END, CASE WHEN k % 37 = 0 OR k % 20 / 100 + 0.8 < 0.85 THEN 'LOW_PARSE_CONFIDENCE' END,
+             CASE WHEN k % 4 = 0 THEN 'MISSING_CARD_NUMBER' END, CASE WHEN k % 23 = 0 OR k % 9 = 0 THEN 'NO_IMAGES' END, CASE WHEN k % 23 <> 0 AND k % 9 <> 0 AND (k % 29 = 0 OR k % 8 = 0) THEN 'IMAGE_NOT_APPROVED' END,
+             CASE WHEN k % 23 <> 0 AND k % 9 <> 0 AND k % 10 / 50 + 0.8 < 0.9 THEN 'LOW_IMAGE_CONFIDENCE' END, CASE WHEN k % 13 = 0 THEN 'REPRESENTATIVE_IMAGE' END, CASE WHEN k % 31 = 0 OR p_size <= 3 THEN 'OUT_OF_STOCK' END, CASE WHEN k % 43 = 0 THEN 'ZERO_QUANTITY' END,
+             CASE WHEN k % 6 = 0 THEN 'MISSING_REQUIRED_ASPECTS' END, CASE WHEN k % 41 = 0 THEN 'CONDITION_DESCRIPTORS_UNRESOLVED' END, CASE WHEN round(p_retailprice * 2, 2) < 1500 THEN 'BELOW_MIN_PROFIT' END, CASE WHEN k % 30 < 15 THEN 'BELOW_MIN_MARGIN' END,
              CASE WHEN k % 40 <= 2 THEN 'PESSIMISTIC_LOSS' END, CASE WHEN k % 3 = 0 THEN 'INSUFFICIENT_MARKET_DATA' END, CASE WHEN round(p_retailprice / 8, 2) >= 200 THEN 'HIGH_VALUE' END,
              CASE WHEN k % 17 = 0 THEN 'DUPLICATE_LISTING' END], lambda x: x IS NOT NULL) AS c FROM d)
            SELECT k AS listing_id, len(c) = 0 AS eligible, len(c) > 0 AND len(list_filter(c, lambda x: x NOT IN ('PSA_UNCONFIRMED', 'MISSING_CARD_NUMBER', 'REPRESENTATIVE_IMAGE', 'INSUFFICIENT_MARKET_DATA', 'HIGH_VALUE'))) = 0 AS manual_review,
@@ -344,7 +364,8 @@ QUERIES = {
     ),
     "set3_set4_aspects": (
         split_aspects,
-        "SELECT p_partkey AS listing_id, 2 AS n_accepted, 'X' || (p_partkey % 3) AS rejected, CASE WHEN p_size > 5 THEN '' ELSE 'size' END AS missing FROM part",
+        """WITH d AS (SELECT *, ascii(right(p_brand, 1)) % 2 = 1 AS sized FROM part) SELECT p_partkey AS listing_id, 1 + sized::INT AS n_accepted, CASE WHEN sized THEN 'X' || (p_partkey % 3) ELSE 'SIZE' END AS rejected,
+           CASE WHEN sized AND p_size <= 5 THEN 'size' ELSE '' END AS missing FROM d""",
     ),
     "src6_settings": (
         settings,

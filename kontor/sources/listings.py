@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import comparison_key
+
 LISTING = (
     "supplier_code string, source_product_id string, canonical_url string, raw_title string, price_incl_tax decimal(20,6), "
     "currency string, stock_qty int, stock_status string, image_urls array<string>, raw_payload string, content_hash string, "
@@ -26,6 +28,16 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode(F.split("value", r"\r?\n"))).select((F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
 
 
+# Columns of the dictionary of names, and where each comes from by default.
+NAMES = {"name_ja": "name_ja", "name_en": "name_en", "set_code": "set_code", "card_number": "card_number", "source": "source", "verified": "is_verified"}
+
+
+def load_name_catalog(spark: SparkSession, path: str, columns: dict[str, str] = NAMES, kind: str = "parquet") -> DataFrame:
+    """The dictionary of names in one read, ready for ``names.resolve_names``: its columns from SQL expressions, and ``name_key``."""
+    rows = spark.read.format(kind).load(path).selectExpr(*(f"{expression} AS {name}" for name, expression in columns.items()))
+    return rows.withColumn("name_key", comparison_key(F.col("name_ja")))
+
+
 # Names of the settings, their types and defaults; how the environment may tighten them.
 SETTINGS = {
     "dry_run": ("boolean", "true", "or"),
