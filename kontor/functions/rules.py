@@ -125,7 +125,7 @@ def grade_claims(df: DataFrame) -> DataFrame:
     game = F.lit(False)
     for p in GAME:
         game = game | every.rlike(p)
-    told = F.col("structured_company").isNotNull() & F.col("structured_grade").isNotNull()
+    told = (F.coalesce("structured_company", empty) != "") & F.col("structured_grade").isNotNull()
     ten = F.lower(F.trim("structured_company")).eqNullSafe("psa") & F.col("structured_grade").eqNullSafe(F.lit(10))
     in_title = title.rlike(CLAIM)
     category = crumbs.rlike("(?i)PSA") | F.coalesce("source_category_url", empty).rlike("(?i)psa")

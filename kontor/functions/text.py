@@ -70,7 +70,11 @@ def price(c: Column) -> Column:
 
 def similarity(a: Column, b: Column) -> Column:
     """1 - edit distance / longer length, over comparison keys; 0 if one side is empty."""
-    x, y = comparison_key(a), comparison_key(b)
+    return key_similarity(comparison_key(a), comparison_key(b))
+
+
+def key_similarity(x: Column, y: Column) -> Column:
+    """``similarity`` of what are comparison keys already."""
     longest = F.greatest(F.length(x), F.length(y))
     return (
         F.when(x == y, F.lit(1.0))

@@ -14,17 +14,39 @@ def part(url: Column, number: int) -> Column:
     return F.regexp_extract(url, URL, number)
 
 
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def without_dots(path: Column) -> Column:
+    """The path with ``.`` and ``..`` segments resolved."""
+    none = F.array().cast("array<string>")
+    end = F.element_at(F.split(path, "/"), -1).isin(".", "..")
+    left = F.aggregate(
+        F.split(F.substring(path, F.lit(2), F.length(path)), "/"), none,
+        lambda a, s: F.when(s == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).when(s == ".", a).otherwise(F.concat(a, F.array(s))),
+    )
+    return F.when(path == "", path).otherwise(F.concat(F.lit("/"), F.array_join(left, "/"), F.when(end, "/").otherwise("")))
+
+
 def canonical(url: Column, force_host: str | None = None, keep: tuple[str, ...] = ()) -> Column:
-    """https, lower host, no port or fragment, no tracking parameters, sorted parameters, single slashes, none at the end."""
+    """https, lower host, no port or fragment, no tracking parameters, parameters in order of their names, no dot segments, single slashes, none at the end."""
     host = F.lit(force_host.lower()) if force_host else F.lower(part(url, 3))
-    path = F.regexp_replace(part(url, 5), "/{2,}", "/")
+    path = F.regexp_replace(without_dots(part(url, 5)), "/{2,}", "/")
     path = F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/$", ""))
     kept = F.filter(
         F.split(part(url, 6), "&"),
         lambda p: (p != "") & (~F.split_part(p, F.lit("="), F.lit(1)).rlike(TRACKING) | F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*keep)),
     )
-    kept = F.array_sort(F.transform(kept, lambda p: F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("=")))))
-    query = F.array_join(kept, "&")
+    # by name without regard to case, small letters before capitals, else in the given order
+    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
+    placed = F.transform(
+        kept,
+        lambda p, i: F.struct(
+            F.lower(name(p)).alias("k"), F.translate(name(p), LETTERS + LETTERS.lower(), LETTERS.lower() + LETTERS).alias("c"), i.alias("i"),
+            F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p"),
+        ),
+    )
+    query = F.array_join(F.transform(F.array_sort(placed), lambda s: s["p"]), "&")
     built = F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     return F.when(url.rlike(URL), built)
 

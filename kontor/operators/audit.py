@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule, reasons
 from ..functions.text import BEGIN, END
+from ..sources.checkpoints import settled
 
 # Numbers that prove nothing, fields whose text is invented by design, what looks like a year.
 HARMLESS = tuple(str(n) for n in range(11)) + ("100",)
-GENERATIVE = ("description", "marketingCopy", "suggestedPrice", "confidence")
+GENERATIVE = ("descriptionEn", "warnings", "confidence")
 YEAR = rf"{BEGIN}(19[89][0-9]|20[0-4][0-9]){END}"
 
 
@@ -28,13 +27,6 @@ def numbers(c: Column) -> Column:
 STEP = 4
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def leaves(df: DataFrame, keep: list[str], json: str = "output") -> DataFrame:
     """One row per scalar of a JSON document, however deeply nested: path and value."""
     level = df.select(*keep, F.lit("").alias("path"), F.try_parse_json(F.col(json).cast("string")).alias("v"))
@@ -56,7 +48,7 @@ def leaves(df: DataFrame, keep: list[str], json: str = "output") -> DataFrame:
         level = below.select(*keep, path.alias("path"), F.col("below").alias("v"))
         depth += 1
         if depth % STEP == 0:
-            level = _settled(level)
+            level = settled(level)
 
 
 def audit_generated_text(rows: DataFrame, id_col: str = "target_id", generative: tuple[str, ...] = GENERATIVE) -> DataFrame:
@@ -80,16 +72,62 @@ def unsupported_numbers(rows: DataFrame, source: str, output: str) -> Column:
     return F.array_except(numbers(F.col(output)), numbers(F.col(source)))
 
 
-def validate_generated(rows: DataFrame) -> DataFrame:
-    """Adds ``issues`` of parsed output (title, description, confidence): required fields, lengths and ranges."""
-    c = F.col
+# Fields of the two kinds of output and their limits.
+COPY_LENGTH, SPECIFIC_MAX, MESSAGE_MAX = (20, 4000), 65, 500
+NAME_MAX = {"cardNameEn": 120, "setNameEn": 120, "characterEn": 80}
+WARNING = "array<struct<field: string, message: string>>"
+
+
+def _common(v: Column, kinds: dict[str, str]) -> list[Rule]:
+    """Rules of both kinds: the output is an object whose fields have their JSON types, a confidence, and well-formed warnings."""
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
+    number = kind("$.confidence").rlike("^(BIGINT|DOUBLE|DECIMAL)")
+    value = F.try_variant_get(v, "$.confidence", "double")
+    warnings = F.try_variant_get(v, "$.warnings", WARNING)
+    given = kind("$.warnings")
+    formed = F.forall(warnings, lambda w: w["field"].isNotNull() & w["message"].isNotNull() & (F.char_length(w["message"]) <= MESSAGE_MAX))
+    return [
+        Rule("(root)", F.schema_of_variant(v).rlike("^OBJECT")),
+        *(Rule(n, kind(f"$.{n}").rlike(want)) for n, want in kinds.items()),
+        Rule("confidence", number & value.between(0, 1)),
+        Rule("warnings", given.isNull() | (F.coalesce(given, F.lit("")).rlike("^ARRAY") & F.coalesce(formed, F.lit(False)))),
+    ]
+
+
+def validate_copy(rows: DataFrame, output: str = "output") -> DataFrame:
+    """Adds ``issues``: the fields of a listing's copy (JSON text) that break its schema; ``(root)`` where it does not parse.
+
+    descriptionEn has 20 to 4000 characters, itemSpecifics maps names to values of at most 65, confidence lies in 0 to 1,
+    warnings (optional) are field and message of at most 500.
+    """
+    v = F.try_parse_json(F.col(output))
+    text = F.try_variant_get(v, "$.descriptionEn", "string")
+    specifics = F.try_variant_get(v, "$.itemSpecifics", "map<string, variant>")
+    fits = lambda k, x: (F.char_length(k) <= SPECIFIC_MAX) & F.schema_of_variant(x).eqNullSafe("STRING") & (F.char_length(F.try_variant_get(x, "$", "string")) <= SPECIFIC_MAX)
     rules = [
-        Rule("title_required", F.trim(F.coalesce("title", F.lit(""))) != ""),
-        Rule("title_length", F.length("title") <= 80),
-        Rule("description_required", F.trim(F.coalesce("description", F.lit(""))) != ""),
-        Rule("confidence_range", c("confidence").between(0, 1)),
+        *_common(v, {"descriptionEn": "^STRING$", "itemSpecifics": "^OBJECT"}),
+        Rule("descriptionEn", F.char_length(text).between(*COPY_LENGTH)),
+        Rule("itemSpecifics", F.forall(F.map_entries(specifics), lambda e: fits(e["key"], e["value"]))),
     ]
-    return rows.withColumn("issues", reasons(rules))
+    return _with_issues(rows, rules)
+
+
+def validate_translation(rows: DataFrame, output: str = "output") -> DataFrame:
+    """Adds ``issues`` of a translation (JSON text): each name is present, null or 1 to 120 (character: 80) characters."""
+    v = F.try_parse_json(F.col(output))
+    size = lambda n: F.char_length(F.try_variant_get(v, f"$.{n}", "string"))
+    rules = [
+        *_common(v, {n: "^(STRING|VOID)$" for n in NAME_MAX}),
+        *(Rule(n, F.is_variant_null(F.try_variant_get(v, f"$.{n}", "variant")) | size(n).between(1, most)) for n, most in NAME_MAX.items()),
+    ]
+    return _with_issues(rows, rules)
+
+
+def _with_issues(rows: DataFrame, rules: list[Rule]) -> DataFrame:
+    """A document that is no object has one issue, any other each field once."""
+    found = F.array_distinct(reasons(rules))
+    root = F.array(F.lit("(root)"))
+    return rows.withColumn("issues", F.when(F.array_contains(found, "(root)"), root).otherwise(found))
 
 
 def needs_review(rows: DataFrame, floor: float = 0.85) -> DataFrame:

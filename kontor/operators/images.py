@@ -62,7 +62,7 @@ def consensus_regions(regions: DataFrame, agreement: float = 0.3) -> DataFrame:
     )
 
 
-def mask_safety(regions: DataFrame, images: DataFrame, generation: str = "CURRENT", most_percent: float = 12.0, least_confidence: float = 0.7) -> DataFrame:
+def mask_safety(regions: DataFrame, images: DataFrame, generation: str = "CURRENT", most_percent: float = 8.0, least_confidence: float = 0.7) -> DataFrame:
     """Per image (image_id, image_width, image_height, slab_x, slab_y, slab_width, slab_height): why masks are not safe."""
     share = LABEL[generation]
     own = images.withColumns(

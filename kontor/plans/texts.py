@@ -113,8 +113,39 @@ def adapter_health(spark, sf_dir):
     return health.select("host", "n_cards", "hits_name", "healthy")
 
 
+def _shop(spark, sf_dir):
+    """Parts as a shop's pages of 40: a card and a structured-data block for each."""
+    k = F.col("p_partkey")
+    card = F.concat(F.lit('<div class="item c'), k % 3, F.lit('"><p><a href="/p/'), k, F.lit('" data-id="'), k, F.lit('">'), "p_name", F.lit('</a></p><b class="price">¥'), F.col("p_size"), F.lit(",000</b></div>"))
+    node = F.concat(F.lit('{"@type": "Product", "sku": "'), k, F.lit('"}'))
+    block = F.when(k % 3 == 0, F.concat(F.lit('[{"@type": "Offer"}, '), node, F.lit("]"))).when(k % 3 == 1, node).otherwise("{oops")
+    line = F.concat(card, F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))
+    p = table(spark, sf_dir, "part").groupBy(F.expr("p_partkey div 40").alias("page_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), line.alias("line")))), lambda x: x["line"]), "").alias("lines"))
+    return p.select("page_id", F.concat(F.lit("https://shop.example.com/c?page="), "page_id").alias("url"), F.concat(F.lit("<main>"), "lines", F.lit("</main>")).alias("html"))
+
+
 def card_classes(spark, sf_dir):
-    return src.discover_card_classes(table(spark, sf_dir, "pages"), least=1).select("page_id", "class", "n", "rank")
+    return src.discover_card_classes(_shop(spark, sf_dir)).select("page_id", "class", "n", "rank")
+
+
+def json_ld_nodes(spark, sf_dir):
+    b = src.extract_json_ld(_shop(spark, sf_dir))
+    return b.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if("parses").alias("n_parse"), F.sum(F.size("types")).alias("n_types"), F.min("type").alias("first_type"))
+
+
+def card_fields(spark, sf_dir):
+    """Fields by nested selectors, an attribute, a pattern, and a required field that some cards lack."""
+    config = src.CardConfig(
+        src.Selector(css="main > div.item"),
+        {"name": src.Selector(css="p > a"), "sku": src.Selector(css="a[href]", attribute="data-id"), "thousands": src.Selector("b", "price", regex="¥([0-9]{2,}),", required=True)},
+    )
+    cards = src.source_ids(src.extract_listing_cards(_shop(spark, sf_dir), config), [("query", "id"), ("attribute", "sku")])
+    return cards.select("source_id", "name", "thousands", F.array_join("missing_required", ",").alias("missing"))
+
+
+def json_ld_ids(spark, sf_dir):
+    b = src.extract_json_ld(_shop(spark, sf_dir))
+    return src.source_ids(b.withColumn("url", F.lit("https://shop.example.com/")), [("path", "/p/([0-9]+)"), ("json_ld", "sku"), ("json_ld", "$[1].sku")]).select("source_id")
 
 
 def json_ld(spark, sf_dir):
@@ -142,15 +173,29 @@ def audit_numbers(spark, sf_dir):
 def audit_text(spark, sf_dir):
     """URLs as generated output, nested in JSON, against the page."""
     p = table(spark, sf_dir, "pages")
-    doc = F.to_json(F.struct(F.struct(F.col("url").alias("link")).alias("item"), F.lit("1999").alias("description")))
+    deep = F.col("url").alias("v")
+    for name in "edcba":
+        deep = F.struct(deep).alias(name)
+    doc = F.to_json(F.struct(F.struct(F.col("url").alias("link")).alias("item"), F.lit("1999").alias("descriptionEn"), deep))
     flags = audit.audit_generated_text(p.select(F.col("page_id").alias("target_id"), F.col("html").alias("source_text"), doc.alias("output")))
     return flags.groupBy("target_id").agg(F.count(F.lit(1)).alias("n_flags"), F.min("field").alias("field"))
 
 
 def validate(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    df = c.select("conv_id", "turn", F.substring("text", 1, 100).alias("title"), F.col("text").alias("description"), (F.col("turn") / 4).alias("confidence"))
-    return audit.validate_generated(df).select("conv_id", "turn", F.array_join("issues", ",").alias("issues"))
+    specifics = F.create_map(F.lit("Role"), F.col("role"), F.when(F.col("turn") % 3 == 0, F.concat(F.lit("x"), F.col("text"))).otherwise("Language"), F.lit("en"))
+    warnings = F.when(F.col("conv_id") % 5 == 0, F.array(F.struct(F.lit("text").alias("field"), F.col("text").alias("message"))))
+    doc = F.to_json(F.struct(F.col("text").alias("descriptionEn"), specifics.alias("itemSpecifics"), (F.col("turn") / 4).alias("confidence"), warnings.alias("warnings")))
+    doc = F.when(F.col("conv_id") % 7 == 0, F.concat(F.lit("oops "), doc)).otherwise(doc)
+    df = audit.validate_copy(c.select("conv_id", "turn", doc.alias("output")))
+    return df.select("conv_id", "turn", F.array_join(F.array_sort("issues"), ",").alias("issues"))
+
+
+def validate_translation(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    fields = F.struct(F.col("text").alias("cardNameEn"), F.lit(None).cast("string").alias("setNameEn"), F.col("role").alias("characterEn"), (F.col("turn") / 4).alias("confidence"))
+    df = audit.validate_translation(c.select("conv_id", "turn", F.to_json(fields, {"ignoreNullFields": "false"}).alias("output")))
+    return df.select("conv_id", "turn", F.array_join(F.array_sort("issues"), ",").alias("issues"))
 
 
 def quality(spark, sf_dir):
@@ -192,7 +237,7 @@ def consensus(spark, sf_dir):
 
 
 def mask_safety(spark, sf_dir):
-    r = _regions(spark, sf_dir).where("position % 10 = 1")
+    r = _regions(spark, sf_dir)
     own = table(spark, sf_dir, "events").select(F.col("user_id").alias("image_id")).distinct()
     size = {"image_width": 200.0, "image_height": 380.0, "slab_x": 0.0, "slab_y": 0.0, "slab_width": 200.0, "slab_height": 380.0}
     df = images.mask_safety(r, own.withColumns({k: F.lit(v) for k, v in size.items()}), most_percent=50.0)
@@ -236,7 +281,7 @@ QUERIES = {
     "t12_canonical_urls": (
         canonical_urls,
         f"""WITH u AS (SELECT page_id, {HOST} AS h, regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+', '/', 'g') AS p, regexp_extract(url, '\\?([^#]*)', 1) AS q FROM pages),
-            k AS (SELECT *, array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|yclid|msclkid|_ga|ref|referrer|from|sort|order|view|display|limit|per_page|page|session[^=]*|sid)(=|$)'))), '&') AS kept FROM u)
+            k AS (SELECT *, array_to_string(list_transform(list_sort(list_transform(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_[^=]*|gclid|fbclid|yclid|msclkid|_ga|ref|referrer|from|sort|order|view|display|limit|per_page|page|session[^=]*|sid)(=|$)')), lambda x, i: {{'k': lower(split_part(x, '=', 1)), 'i': i, 'x': x}})), lambda s: s.x), '&') AS kept FROM u)
             SELECT page_id, 'https://' || h || CASE WHEN p IN ('', '/') THEN '/' ELSE rtrim(p, '/') END || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END AS canonical FROM k""",
     ),
     "t13_url_policy_audit": (
@@ -249,8 +294,27 @@ QUERIES = {
         """WITH c AS (SELECT page_id, regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>') AS items FROM pages)
            SELECT page_id, unnest(range(len(items))) AS position, trim(regexp_extract(unnest(items), '>([^<]*)</a>', 1)) AS name, regexp_extract(unnest(items), 'href="([^"]*)"', 1) AS link FROM c""",
     ),
-    "a10_adapter_health": (adapter_health, None),
-    "a11_card_classes": (card_classes, None),
+    "a10_adapter_health": (
+        adapter_health,
+        f"""WITH c AS (SELECT {HOST} AS host, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS item FROM pages),
+            x AS (SELECT host, nullif(trim(regexp_extract(item, '>([^<]*)</a>', 1)), '') AS name, nullif(regexp_extract(item, 'href="([^"]*)"', 1), '') AS link FROM c)
+            SELECT host, count(*) AS n_cards, count(name) AS hits_name, count(name) > 0 AND count(link) > 0 AND count(*) FILTER (regexp_matches(name, '[0-9]')) > 0 AS healthy FROM x GROUP BY 1""",
+    ),
+    "a11_card_classes": (
+        card_classes,
+        """WITH c AS (SELECT p_partkey // 40 AS page_id, unnest(['item', 'c' || (p_partkey % 3)]) AS class FROM part), n AS (SELECT page_id, class, count(*) AS n FROM c GROUP BY 1, 2 HAVING count(*) BETWEEN 4 AND 200)
+           SELECT page_id, class, n, row_number() OVER (PARTITION BY page_id ORDER BY least(n / 10, 1) DESC, class) AS rank FROM n""",
+    ),
+    "src3_json_ld_nodes": (
+        json_ld_nodes,
+        """SELECT p_partkey // 40 AS page_id, count(*) AS n_blocks, count(*) FILTER (p_partkey % 3 <> 2) AS n_parse, sum(2 - p_partkey % 3)::BIGINT AS n_types, CASE WHEN count(*) FILTER (p_partkey % 3 = 0) > 0 THEN 'Offer' WHEN count(*) FILTER (p_partkey % 3 = 1) > 0 THEN 'Product' END AS first_type
+           FROM part GROUP BY 1""",
+    ),
+    "src2_t11_card_fields": (
+        card_fields,
+        "SELECT p_partkey::VARCHAR AS source_id, trim(p_name) AS name, CASE WHEN p_size >= 10 THEN p_size::VARCHAR END AS thousands, CASE WHEN p_size >= 10 THEN '' ELSE 'thousands' END AS missing FROM part",
+    ),
+    "t11_json_ld_ids": (json_ld_ids, "SELECT p_partkey::VARCHAR AS source_id FROM part WHERE p_partkey % 3 <> 2"),
     "src3_json_ld": (json_ld, "SELECT page_id, len(regexp_extract_all(html, 'application/ld\\+json')) AS n_blocks FROM pages"),
     "a12_page_structure": (
         page_structure,
@@ -271,12 +335,17 @@ QUERIES = {
         audit_text,
         """WITH n AS (SELECT page_id, list_distinct(regexp_extract_all(url, '[0-9]+')) AS o, regexp_extract_all(html, '[0-9]+') AS s FROM pages),
            f AS (SELECT page_id, list_filter(o, lambda x: NOT list_contains(s, x) AND x NOT IN ('0','1','2','3','4','5','6','7','8','9','10','100')) AS u FROM n)
-           SELECT page_id AS target_id, len(u) AS n_flags, 'item.link' AS field FROM f WHERE len(u) > 0""",
+           SELECT page_id AS target_id, 2 * len(u) AS n_flags, 'a.b.c.d.e.v' AS field FROM f WHERE len(u) > 0""",
     ),
     "b16_validate_generated": (
         validate,
-        """SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN trim(text[1:100]) = '' THEN 'title_required' END, CASE WHEN length(text[1:100]) > 80 THEN 'title_length' END,
-           CASE WHEN trim(text) = '' THEN 'description_required' END, CASE WHEN turn / 4 > 1 THEN 'confidence_range' END], lambda x: x IS NOT NULL), ',') AS issues FROM conversations""",
+        """SELECT conv_id, turn, CASE WHEN conv_id % 7 = 0 THEN '(root)' ELSE array_to_string(list_filter([CASE WHEN turn / 4 > 1 THEN 'confidence' END, CASE WHEN length(text) NOT BETWEEN 20 AND 4000 THEN 'descriptionEn' END,
+           CASE WHEN turn % 3 = 0 AND length(text) > 64 THEN 'itemSpecifics' END, CASE WHEN conv_id % 5 = 0 AND length(text) > 500 THEN 'warnings' END], lambda x: x IS NOT NULL), ',') END AS issues FROM conversations""",
+    ),
+    "b16_validate_translation": (
+        validate_translation,
+        """SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN length(text) NOT BETWEEN 1 AND 120 THEN 'cardNameEn' END, CASE WHEN length(role) > 80 THEN 'characterEn' END,
+           CASE WHEN turn / 4 > 1 THEN 'confidence' END], lambda x: x IS NOT NULL), ',') AS issues FROM conversations""",
     ),
     "a18_b17_generation_quality": (
         quality,
@@ -308,7 +377,7 @@ QUERIES = {
     ),
     "a15_mask_safety": (
         mask_safety,
-        """WITH r AS (SELECT user_id AS image_id, (event_id % 30)::DOUBLE AS y, event_id % 90 / 100 AS c FROM events WHERE event_id % 10 = 1),
+        """WITH r AS (SELECT user_id AS image_id, (event_id % 30)::DOUBLE AS y, event_id % 90 / 100 AS c FROM events),
            s AS (SELECT user_id AS image_id FROM events GROUP BY 1),
            g AS (SELECT s.image_id, count(r.image_id) AS n, count(r.image_id) * 1000 * 100 / (200.0 * 380) AS pct, min(c) AS low, count(*) FILTER (y + 25 > 380 * 0.21) AS over FROM s LEFT JOIN r USING (image_id) GROUP BY 1)
            SELECT image_id, round(pct, 4)::DOUBLE AS masked_percent, over + (pct > 50)::INT + (n = 0)::INT + (coalesce(low, 1) < 0.7)::INT = 0 AS safe, over + (pct > 50)::INT + (n = 0)::INT + (coalesce(low, 1) < 0.7)::INT AS n_failures FROM g""",

@@ -20,11 +20,18 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 
 @dataclass(frozen=True)
 class Selector:
-    """An element by tag and class, and what is read from it: its text, or an attribute."""
+    """An element and what is read from it: its text, or an attribute, or the first group of a pattern in either.
+
+    An element is named by tag and class, or by ``css``: steps of tag, ``#id``, ``.class`` and ``[attribute=value]``,
+    where a blank stands for any depth and ``>`` for a child.  A card that lacks a ``required`` field is a failure.
+    """
 
     tag: str | None = None
     cls: str | None = None
     attribute: str | None = None
+    css: str | None = None
+    regex: str | None = None
+    required: bool = False
 
 
 @dataclass(frozen=True)
@@ -36,7 +43,7 @@ class CardConfig:
 
 
 class _Tree(HTMLParser):
-    """Elements in order: tag, classes, attributes, parent, text (of the element and all below it)."""
+    """Elements in order: tag, classes, attributes, parent, text (of the element and all below it), number of the element after its subtree."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -44,17 +51,23 @@ class _Tree(HTMLParser):
         self.open: list[int] = []
         self.feed(html)
         self.close()
+        self._ended(0)
+
+    def _ended(self, depth: int) -> None:
+        for i in self.open[depth:]:
+            self.rows[i][5] = len(self.rows)
+        del self.open[depth:]
 
     def handle_starttag(self, tag, attrs):
         given = {k: v or "" for k, v in attrs}
-        self.rows.append([tag, given.get("class", "").split(), given, self.open[-1] if self.open else -1, []])
+        self.rows.append([tag, given.get("class", "").split(), given, self.open[-1] if self.open else -1, [], len(self.rows) + 1])
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 
     def handle_endtag(self, tag):
         for depth in range(len(self.open) - 1, -1, -1):
             if self.rows[self.open[depth]][0] == tag:
-                del self.open[depth:]
+                self._ended(depth)
                 return
 
     def handle_data(self, data):
@@ -64,38 +77,83 @@ class _Tree(HTMLParser):
             self.rows[i][4].append(data)
 
 
-def _fits(row: list, s: Selector) -> bool:
-    return (s.tag is None or row[0] == s.tag) and (s.cls is None or s.cls in row[1])
+STEP = re.compile(r"([a-zA-Z][\w-]*|\*)|#([\w-]+)|\.([\w-]+)|\[([\w-]+)(?:=[\"']?([^\"'\]]*)[\"']?)?\]")
+
+
+def _steps(s: Selector) -> list[tuple[bool, str | None, list[str], dict[str, str | None]]]:
+    """(child of the step before, tag, classes, attributes), outermost first."""
+    if s.css is None:
+        return [(False, s.tag, [s.cls] if s.cls else [], {})]
+    out, child = [], False
+    for word in re.sub(r"\s*>\s*", " > ", s.css).split():
+        if word == ">":
+            child = True
+            continue
+        tag, classes, given, at = None, [], {}, 0
+        while at < len(word):
+            m = STEP.match(word, at)
+            if m is None:
+                raise ValueError(f"unknown selector {s.css!r}")
+            at = m.end()
+            if m[1]:
+                tag = None if m[1] == "*" else m[1].lower()
+            elif m[2]:
+                given["id"] = m[2]
+            elif m[3]:
+                classes.append(m[3])
+            else:
+                given[m[4]] = m[5]
+        out.append((child, tag, classes, given))
+        child = False
+    return out
+
+
+def _fits(rows: list[list], i: int, steps: list, top: int = -1) -> bool:
+    """Whether element ``i`` is what the steps name; ancestors are looked for below ``top``."""
+    child, tag, classes, given = steps[-1]
+    row = rows[i]
+    if tag is not None and row[0] != tag or not all(c in row[1] for c in classes):
+        return False
+    if not all(k in row[2] and v in (None, row[2][k]) for k, v in given.items()):
+        return False
+    if len(steps) == 1:
+        return True
+    up = row[3]
+    while up > top:
+        if _fits(rows, up, steps[:-1], top):
+            return True
+        if child:
+            return False
+        up = rows[up][3]
+    return False
 
 
 def _read(row: list, s: Selector) -> str | None:
-    if s.attribute:
-        return row[2].get(s.attribute)
-    return " ".join("".join(row[4]).split()) or None
+    value = row[2].get(s.attribute) if s.attribute else " ".join("".join(row[4]).split()) or None
+    if value is None or s.regex is None:
+        return value
+    found = re.search(s.regex, value)
+    return found[1] if found else None
 
 
 def extract_listing_cards(pages: DataFrame, config: CardConfig) -> DataFrame:
-    """One row per card of each page (page_id, url, html): page_id, position, the configured fields, price as a decimal."""
+    """One row per card of each page (page_id, url, html): page_id, position, the configured fields, the required ones that it lacks, price as a decimal."""
     names = list(config.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        card, fields = _steps(config.card), [(n, s, _steps(s)) for n, s in config.fields.items()]
         for frame in frames:
             out = []
             for page, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
                 rows = _Tree(html or "").rows
-                cards = [i for i, r in enumerate(rows) if _fits(r, config.card)]
+                cards = [i for i in range(len(rows)) if _fits(rows, i, card)]
                 for position, i in enumerate(cards):
-                    inside = {i}
-                    own = [i]
-                    for j in range(i + 1, len(rows)):
-                        if rows[j][3] in inside:
-                            inside.add(j)
-                            own.append(j)
-                    found = [next((v for j in own if _fits(rows[j], s) and (v := _read(rows[j], s))), None) for s in config.fields.values()]
-                    out.append([page, url, position, *found])
-            yield pd.DataFrame(out, columns=["page_id", "url", "position", *names])
-
-    schema = "page_id long, url string, position int, " + ", ".join(f"{n} string" for n in names)
+                    found = [next((v for j in range(i, rows[i][5]) if _fits(rows, j, steps, i - 1) and (v := _read(rows[j], s))), None) for _, s, steps in fields]
+                    lacks = [n for (n, s, _), v in zip(fields, found, strict=True) if s.required and v is None]
+                    out.append([page, url, position, *found, lacks])
+            yield pd.DataFrame(out, columns=["page_id", "url", "position", *names, "missing_required"])
+
+    schema = "page_id long, url string, position int, " + ", ".join(f"{n} string" for n in names) + ", missing_required array<string>"
     cards = pages.select("page_id", "url", "html").mapInPandas(run, schema)
     return cards.withColumn("price_value", price(F.col("price"))) if "price" in names else cards
 
@@ -136,25 +194,36 @@ LD = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>"
 
 
 def extract_json_ld(pages: DataFrame) -> DataFrame:
-    """One row per structured-data block: page_id, position, type, whether it parses."""
+    """One row per structured-data block: page_id, position, types of all its nodes (of an array, or of ``@graph``), the first of them, whether it parses."""
     blocks = pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(LD), F.lit(1))).alias("position", "block"))
-    value = F.try_parse_json("block")
-    kind = F.coalesce(F.try_variant_get(value, "$['@type']", "string"), F.try_variant_get(value, "$['@graph'][0]['@type']", "string"))
-    return blocks.select("page_id", "position", kind.alias("type"), value.isNotNull().alias("parses"), "block")
+    blocks = blocks.where(F.trim("block") != "").withColumn("value", F.try_parse_json("block"))
+    none = F.array().cast("array<variant>")
+    inner = lambda path: F.coalesce(F.try_variant_get("value", path, "array<variant>"), none)
+    own = F.when(F.schema_of_variant("value").rlike("^OBJECT"), F.array("value")).otherwise(none)
+    kinds = F.transform(F.concat(own, inner("$"), inner("$['@graph']")), lambda n: F.try_variant_get(n, "$['@type']", "string"))
+    types = F.filter(kinds, lambda k: k.isNotNull())
+    return blocks.select("page_id", "position", types.alias("types"), F.get(types, F.lit(0)).alias("type"), F.col("value").isNotNull().alias("parses"), "block")
+
 
+def source_ids(df: DataFrame, strategies: list[tuple[str, str]], url: str = "url", json: str = "block") -> DataFrame:
+    """Adds source_id by ordered strategies; rows without one are dropped.
 
-def source_ids(df: DataFrame, strategies: list[tuple[str, str]], url: str = "url") -> DataFrame:
-    """Adds source_id by ordered strategies: ("path", regex), ("query", name), ("column", name); rows without one are dropped."""
+    ("path", regex) and ("query", name) read the URL, ("attribute", column) a field that was read from an attribute,
+    ("column", name) any column, ("json_ld", path) the structured-data block in the column ``json``.
+    """
     found: list[Column] = []
     for kind, what in strategies:
         if kind == "path":
-            found.append(F.nullif(F.regexp_extract(part(F.col(url), 5), what, 1), F.lit("")))
+            value = F.regexp_extract(part(F.col(url), 5), what, 1)
         elif kind == "query":
-            found.append(F.nullif(F.regexp_extract(part(F.col(url), 6), f"(?:^|&){what}=([^&]*)", 1), F.lit("")))
-        elif kind == "column":
-            found.append(F.nullif(F.col(what).cast("string"), F.lit("")))
+            value = F.regexp_extract(part(F.col(url), 6), f"(?:^|&){what}=([^&]*)", 1)
+        elif kind in ("column", "attribute"):
+            value = F.col(what).cast("string")
+        elif kind == "json_ld":
+            value = F.try_variant_get(F.try_parse_json(json), what if what.startswith("$") else f"$.{what}", "string")
         else:
             raise ValueError(f"unknown strategy {kind}")
+        found.append(F.nullif(value, F.lit("")))
     return df.withColumn("source_id", F.coalesce(*found)).where("source_id is not null")
 
 
