@@ -15,16 +15,26 @@ def content_hash(*parts: Column, length: int = 32) -> Column:
     return F.substring(F.sha2(F.concat_ws("\u0001", *(F.coalesce(p.cast("string"), F.lit("\u0000")) for p in parts)), 256), 1, length)
 
 
+def one_per_key(df: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
+    """The last delivered row of each key: by ``fetched_at`` where there is one, then by the other columns, so that it is the same row every time."""
+    rest = [c for c in df.columns if c not in key]
+    return latest(df, list(key), sorted(rest, key=lambda c: (c != "fetched_at", c)))
+
+
 def diff_listings(current: DataFrame, incoming: DataFrame, key: tuple[str, ...] = KEY) -> DataFrame:
     """One row per key of either side: status and change flags; prices compare as decimals.
 
-    Columns read on both sides: the key, content_hash, price, stock_status, stock_qty.
+    Columns read on both sides: the key, content_hash, price, stock_status, stock_qty; of the incoming side also
+    fetched_at and verdict where it has them.  A rejected listing is ``skipped``: seen, but nothing about it changes.
     """
-    old = current.select(*key, *(F.col(c).alias(f"old_{c}") for c in ("content_hash", "price", "stock_status", "stock_qty")), F.lit(True).alias("_old"))
-    new = incoming.select(*key, "content_hash", "price", "stock_status", "stock_qty", F.lit(True).alias("_new"))
+    compared = ("content_hash", "price", "stock_status", "stock_qty")
+    old = current.select(*key, *(F.col(c).alias(f"old_{c}") for c in compared), F.lit(True).alias("_old"))
+    verdict = F.col("verdict") if "verdict" in incoming.columns else F.lit(None).cast("string").alias("verdict")
+    new = one_per_key(incoming, key).select(*key, *compared, verdict, F.lit(True).alias("_new"))
     df = old.join(new, list(key), "full_outer")
     status = (
         F.when(F.col("_new").isNull(), "unseen")
+        .when(F.col("verdict") == "REJECTED", "skipped")
         .when(F.col("_old").isNull(), "created")
         .when(F.col("content_hash").eqNullSafe(F.col("old_content_hash")), "unchanged")
         .otherwise("updated")
@@ -44,29 +54,34 @@ def vanished(current: DataFrame, incoming: DataFrame, key: tuple[str, ...] = KEY
 
 
 def sync_stats(diff: DataFrame, by: str = KEY[0]) -> DataFrame:
-    """Counts of a synchronisation for each supplier."""
-    n = F.count_if
+    """Counts of a synchronisation for each supplier; a new listing brings a first price and a first stock."""
+    n, is_ = F.count_if, lambda s: F.col("status") == s
+    seen = F.col("status") != "unseen"
     return diff.groupBy(by).agg(
-        n(F.col("status") != "unseen").alias("seen"),
-        *(n(F.col("status") == s).alias(s) for s in ("created", "updated", "unchanged", "unseen")),
-        n(F.col("price_changed")).alias("price_changes"),
-        n(F.col("stock_changed")).alias("stock_changes"),
+        n(seen).alias("seen"),
+        *(n(is_(s)).alias(s) for s in ("created", "updated", "unchanged", "unseen", "skipped")),
+        *(n(seen & (F.col("verdict") == v)).alias(v.lower()) for v in ("CONFIRMED", "REVIEW", "REJECTED")),
+        n(is_("created") | F.col("price_changed")).alias("price_changes"),
+        n(is_("created") | F.col("stock_changed")).alias("stock_changes"),
     )
 
 
 def upsert_listings(current: DataFrame, incoming: DataFrame, at: Column, key: tuple[str, ...] = KEY) -> DataFrame:
     """The next snapshot: incoming rows replace or join current ones and are live again; vanished ones are marked once.
 
-    Running it again with the same incoming rows changes nothing.
+    Of several rows of a key the last one counts (``one_per_key``); a rejected row is not stored, but what is known
+    under its key has not vanished.  Running it again with the same incoming rows changes nothing.
     """
-    incoming = incoming.dropDuplicates(list(key))
+    incoming = one_per_key(incoming, key)
+    stored = F.coalesce(F.col("verdict") != "REJECTED", F.lit(True)) if "verdict" in incoming.columns else F.lit(True)
     fields = [c for c in incoming.columns if c not in key]
-    new = incoming.select(*key, *(F.col(c).alias(f"_n_{c}") for c in fields), F.lit(True).alias("_new"))
+    new = incoming.select(*key, *(F.col(c).alias(f"_n_{c}") for c in fields), stored.alias("_stored"))
     delivered = incoming.select(key[0]).distinct().withColumn("_delivered", F.lit(True))
     df = current.withColumn("_old", F.lit(True)).join(new, list(key), "full_outer").join(delivered, key[0], "left")
-    gone = F.col("_new").isNull() & F.coalesce("_delivered", F.lit(False))
-    out = {c: F.when(F.col("_new"), F.col(f"_n_{c}")).otherwise(F.col(c)) for c in fields}
-    out["disappeared_at"] = F.when(F.col("_new"), None).when(gone, F.coalesce("disappeared_at", at)).otherwise(F.col("disappeared_at"))
+    df = df.where(F.col("_old") | F.col("_stored"))
+    gone = F.col("_stored").isNull() & F.coalesce("_delivered", F.lit(False))
+    out = {c: F.when(F.col("_stored"), F.col(f"_n_{c}")).otherwise(F.col(c)) for c in fields if c in current.columns}
+    out["disappeared_at"] = F.when(F.col("_stored"), None).when(gone, F.coalesce("disappeared_at", at)).otherwise(F.col("disappeared_at"))
     out["stock_status"] = F.when(gone & F.col("disappeared_at").isNull(), "OUT_OF_STOCK").otherwise(out["stock_status"])
     return df.select(*key, *(out.get(c, F.col(c)).alias(c) for c in current.columns if c not in key))
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, PERCENT, RATE, WIDE, dec, percent, to_sale, total
@@ -65,6 +66,20 @@ def customs_cost(price: Column, terms: Terms) -> tuple[Column, Column, Column]:
     return duty, F.when(exempt, zero).otherwise(taxed), none
 
 
+def cost_columns(revenue: Column, rate: Column, shipping: Column, returns: Column, duty: Column, tax: Column, terms: Terms) -> tuple[Column, ...]:
+    """The costs of a row in the sale currency, in the order of ``COSTS``."""
+    return (
+        to_sale(F.col("purchase_price"), rate), to_sale(F.col("domestic_shipping_jpy"), rate), to_sale(F.col("handling_jpy"), rate),
+        to_sale(shipping, rate), to_sale(dec(terms.packaging), rate),
+        percent(revenue, dec(terms.category_fee, PERCENT)), dec(terms.fixed_fee).cast(WIDE),
+        percent(revenue, dec(terms.international_fee, PERCENT)), percent(revenue, dec(terms.ad_rate, PERCENT)),
+        percent(revenue, dec(terms.fx_spread, PERCENT)), percent(revenue, dec(terms.fx_buffer, PERCENT)),
+        (percent(revenue, dec(terms.return_reserve, PERCENT)).cast("decimal(28,11)") * returns).cast(WIDE),
+        to_sale(dec(terms.insurance), rate), to_sale(dec(terms.signature), rate), duty, tax,
+        to_sale(dec(terms.brokerage), rate), to_sale(dec(terms.surcharge), rate), to_sale(dec(terms.other), rate),
+    )
+
+
 def profit_scenarios(offers: DataFrame, terms: Terms = Terms(), only: tuple[str, ...] = ()) -> DataFrame:
     """One row for each offer and scenario: costs, profit in both currencies, margin, warnings.
 
@@ -83,16 +98,7 @@ def profit_scenarios(offers: DataFrame, terms: Terms = Terms(), only: tuple[str,
     shipping = dec(terms.shipping)
     dearer = (shipping + shipping * F.col("dearer") * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY)
     duty, tax, warning = customs_cost(price, terms)
-    costs = (
-        to_sale(F.col("purchase_price"), rate), to_sale(F.col("domestic_shipping_jpy"), rate), to_sale(F.col("handling_jpy"), rate),
-        to_sale(dearer, rate), to_sale(dec(terms.packaging), rate),
-        percent(revenue, dec(terms.category_fee, PERCENT)), dec(terms.fixed_fee).cast(WIDE),
-        percent(revenue, dec(terms.international_fee, PERCENT)), percent(revenue, dec(terms.ad_rate, PERCENT)),
-        percent(revenue, dec(terms.fx_spread, PERCENT)), percent(revenue, dec(terms.fx_buffer, PERCENT)),
-        (percent(revenue, dec(terms.return_reserve, PERCENT)).cast("decimal(28,11)") * F.col("returns")).cast(WIDE),
-        to_sale(dec(terms.insurance), rate), to_sale(dec(terms.signature), rate), duty, tax,
-        to_sale(dec(terms.brokerage), rate), to_sale(dec(terms.surcharge), rate), to_sale(dec(terms.other), rate),
-    )
+    costs = cost_columns(revenue, rate, dearer, F.col("returns"), duty, tax, terms)
     df = df.withColumns({f"cost_{n}": c for n, c in zip(COSTS, costs, strict=True)})
     df = df.withColumn("total_cost", total([F.col(f"cost_{n}") for n in COSTS]))
     df = df.withColumn("profit", (revenue.cast(WIDE) - F.col("total_cost")).cast(WIDE))
@@ -113,22 +119,22 @@ def in_band(value: Column, low: Column, high: Column) -> Column:
     return (value >= low) & (high.isNull() | (value < high))
 
 
-def best_band(facts: DataFrame, bands: DataFrame, key: str, matches: Column, order: list[Column]) -> DataFrame:
-    """Joins each fact with the first band in ``order`` that ``matches``; facts without one stay, with nulls.
+def best_band(facts: DataFrame, bands: DataFrame, matches: Callable[[Column], Column], order: list[Column]) -> DataFrame:
+    """Adds the columns of the first band in ``order`` (ascending) that ``matches``; facts without one stay, with nulls.
 
-    ``bands`` is a rule table of tens of rows, so it is broadcast.  ``key`` names one fact.
+    ``bands`` is a rule table of tens of rows: sorted into one array it goes to every task, and each fact takes its
+    first match there, so facts are neither multiplied nor shuffled.
     """
-    joined = facts.join(F.broadcast(bands), matches, "left")
-    first = Window.partitionBy(key).orderBy(*order)
-    return joined.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
+    ranked = bands.select(F.struct(*(o.alias(f"k{i}") for i, o in enumerate(order))).alias("rank"), F.struct(*bands.columns).alias("band"))
+    table = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "band"))), lambda x: x["band"]).alias("_bands"))  # one row
+    found = facts.crossJoin(F.broadcast(table)).withColumn("_band", F.get(F.filter("_bands", matches), F.lit(0)))
+    return found.select(*facts.columns, "_band.*")
 
 
-def profile_as_of(facts: DataFrame, profiles: DataFrame, key: str, at: str) -> DataFrame:
+def profile_as_of(facts: DataFrame, profiles: DataFrame, at: str) -> DataFrame:
     """The active profile with the latest ``effective_from`` that is not after ``at``."""
     active = profiles.where("is_active")
-    return best_band(
-        facts, active, key, F.col("effective_from") <= F.col(at), [F.desc_nulls_last("effective_from"), F.asc("profile_id")]
-    )
+    return best_band(facts, active, lambda p: p["effective_from"] <= F.col(at), [-F.unix_micros("effective_from"), F.col("profile_id")])
 
 
 def price_floor(
@@ -138,51 +144,53 @@ def price_floor(
     """The lowest price, to the cent, that meets both floors; null and the binding constraint where none does.
 
     Profit is linear in the price below and from the customs exemption on, so each segment has a closed form: profit
-    at two prices gives slope and constant.  The cent-rounded answer is verified with ``profit_scenarios``.
+    at two prices gives slope and constant.  The cent-rounded answer is verified with the exact decimals.  All of it
+    is arithmetic within a row.
     """
-    given, case = offers.columns, dict(terms.__dict__)
-
-    def line(free: bool) -> DataFrame:
-        own = Terms(**(case | {"de_minimis": max_price if free else None}))
-        at = offers.withColumn("_p", F.explode(F.array(dec(0), dec(1000)))).withColumn("selling_price", F.col("_p"))
-        out = profit_scenarios(at, own, (scenario,))
-        return out.groupBy("offer_id").agg(
-            F.max(F.when(F.col("_p") == 0, F.col("profit"))).alias("base"),
-            F.max(F.when(F.col("_p") == 1000, F.col("profit"))).alias("far"),
-            F.first("rate").alias("rate"),
-        )
-
-    step = terms.mode == "SELLER_PAID" and terms.de_minimis is not None
-    buyer = float(terms.buyer_shipping)
-
-    def lowest(df: DataFrame, low: float, high: float) -> DataFrame:
-        slope, base = (F.col("far") - F.col("base")).cast("double") / 1000, F.col("base").cast("double")
-        by_profit = (float(min_profit_jpy) / F.col("rate").cast("double") - base) / slope
-        part = slope - float(min_margin) / 100
-        by_margin = F.when(part > 0, (float(min_margin) / 100 * buyer - base) / part)
+    _, adverse, dearer, returned = next(s for s in SCENARIOS if s[0] == scenario)
+    cent = F.lit("0.01").cast("decimal(3,2)")
+    fx = F.col("fx_rate").cast(RATE)
+    shipping = dec(terms.shipping)
+    shipping = (shipping + shipping * dec(dearer, PERCENT) * cent).cast(MONEY)
+    rate = F.col("_rate")
+
+    def gain(price: Column, own: Terms) -> tuple[Column, Column]:
+        """Profit and revenue at a price."""
+        revenue = (price + dec(own.buyer_shipping)).cast("decimal(22,6)")
+        duty, tax, _ = customs_cost(price, own)
+        costs = cost_columns(revenue, rate, shipping, dec(returned, "decimal(4,2)"), duty, tax, own)
+        return (revenue.cast(WIDE) - total(list(costs))).cast(WIDE), revenue
+
+    edge, upper = terms.de_minimis if terms.mode == "SELLER_PAID" else None, float(max_price)
+    segments = [(None, 0.01, upper)] if edge is None else [(max_price, 0.01, float(edge) - 0.01), (None, float(edge), upper)]
+    df = offers.drop("selling_price").withColumn("_rate", (fx - fx * dec(adverse, PERCENT) * cent).cast(RATE))
+    for i, (exempt, _, _) in enumerate(segments):
+        own = replace(terms, de_minimis=exempt)
+        df = df.withColumns({f"_base{i}": gain(dec(0), own)[0], f"_far{i}": gain(dec(1000), own)[0]})
+    found, binding = [], []
+    floor, share, buyer = float(min_profit_jpy), float(min_margin) / 100, float(terms.buyer_shipping)
+    for i, (_, low, high) in enumerate(segments):
+        base = F.col(f"_base{i}").cast("double")
+        slope = (F.col(f"_far{i}") - F.col(f"_base{i}")).cast("double") / 1000
+        by_profit = (floor / rate.cast("double") - base) / slope
+        by_margin = F.when(slope - share > 0, (share * buyer - base) / (slope - share))
         need = F.when((slope > 0) & by_margin.isNotNull(), F.greatest(by_profit, by_margin, F.lit(low)))
         cents = F.ceil(F.round(need * 100, 6)) / 100
-        return df.select(
-            "offer_id",
-            F.when((cents <= high) & (cents > 0), cents).alias("found"),
-            F.when(by_margin.isNull() | (by_margin > by_profit), F.lit("MARGIN_FLOOR")).otherwise("PROFIT_FLOOR").alias("binding"),
-        )
-
-    upper = float(max_price)
-    if step:
-        edge = float(terms.de_minimis)
-        parts = lowest(line(True), 0.01, edge - 0.01).unionByName(lowest(line(False), edge, upper))
-    else:
-        parts = lowest(line(False), 0.01, upper)
-    best = parts.groupBy("offer_id").agg(
-        F.min("found").cast(MONEY).alias("minimum_price"), F.min_by("binding", F.coalesce("found", F.lit(upper * 2))).alias("binding")
-    )
-    priced = offers.drop("selling_price").join(best, "offer_id").withColumn("selling_price", F.col("minimum_price"))
-    checked = profit_scenarios(priced.where("minimum_price is not null"), terms, (scenario,))
-    met = (F.col("profit_jpy") >= dec(min_profit_jpy)) & (F.col("margin_percent") >= dec(min_margin))
-    checked = checked.select("offer_id", met.alias("verified"))
-    keep = [c for c in given if c not in ("selling_price",)]
-    return priced.select(*keep, "minimum_price", "binding").join(checked, "offer_id", "left")
+        found.append(F.when((cents <= high) & (cents > 0), cents))
+        binding.append(F.when(by_margin.isNull() | (by_margin > by_profit), F.lit("MARGIN_FLOOR")).otherwise("PROFIT_FLOOR"))
+    df = df.withColumns({f"_found{i}": f for i, f in enumerate(found)})
+    bound = binding[-1]
+    if len(found) == 2:
+        bound = F.when(F.col("_found0") <= F.coalesce("_found1", F.lit(upper)), binding[0]).otherwise(binding[1])
+    best = F.least("_found0", "_found1") if len(found) == 2 else F.col("_found0")
+    df = df.withColumns({"minimum_price": best.cast(MONEY), "binding": bound})
+    profit, revenue = gain(F.col("minimum_price"), terms)
+    df = df.withColumns({"_profit": profit, "_revenue": revenue})
+    in_jpy = (F.col("_profit").cast("decimal(24,11)") * rate.cast("decimal(14,7)")).cast(WIDE)
+    margin = F.round(F.try_divide(F.col("_profit") * 100, F.col("_revenue")), 4)
+    met = (in_jpy >= dec(min_profit_jpy)) & (F.coalesce(margin, F.lit(0)) >= dec(min_margin))
+    keep = [c for c in offers.columns if c != "selling_price"]
+    return df.select(*keep, "minimum_price", "binding", F.when(F.col("minimum_price").isNotNull(), met).alias("verified"))
 
 
 def profit_snapshots(results: DataFrame, terms: Terms, key: list[str]) -> DataFrame:

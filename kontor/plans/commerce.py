@@ -83,15 +83,15 @@ def shipping_band(spark, sf_dir):
     bands = spark.createDataFrame(rows, "band_id int, region int, low int, high int, cost int")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").join(F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
     facts = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    match = (F.col("region").isNull() | (F.col("region") == F.col("n_regionkey"))) & profit.in_band(F.col("o_totalprice"), F.col("low"), F.col("high"))
-    return profit.best_band(facts, bands, "o_orderkey", match, [F.asc_nulls_last("region"), F.asc("band_id")]).select("o_orderkey", "band_id", "cost")
+    match = lambda b: (b["region"].isNull() | (b["region"] == F.col("n_regionkey"))) & profit.in_band(F.col("o_totalprice"), b["low"], b["high"])
+    return profit.best_band(facts, bands, match, [F.col("region").isNull(), F.col("region"), F.col("band_id")]).select("o_orderkey", "band_id", "cost")
 
 
 def customs_band(spark, sf_dir):
     rows = [(0, 50000, 0), (50000, 150000, 5), (150000, None, 10)]
     bands = spark.createDataFrame(rows, "low int, high int, rate int")
     facts = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
-    return profit.best_band(facts, bands, "o_orderkey", profit.in_band(F.col("o_totalprice"), F.col("low"), F.col("high")), [F.asc("low")]).select("o_orderkey", "rate")
+    return profit.best_band(facts, bands, lambda b: profit.in_band(F.col("o_totalprice"), b["low"], b["high"]), [F.col("low")]).select("o_orderkey", "rate")
 
 
 def cost_profile(spark, sf_dir):
@@ -99,7 +99,7 @@ def cost_profile(spark, sf_dir):
     rows = [(1, "1990-01-01", True, 10), (2, "1996-06-01", True, 11), (3, "1998-01-01", False, 12), (4, "1999-03-01", True, 13)]
     profiles = spark.createDataFrame(rows, "profile_id int, d string, is_active boolean, fee int").withColumn("effective_from", F.to_timestamp("d")).drop("d")
     facts = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate")
-    return profit.profile_as_of(facts, profiles, "o_orderkey", "o_orderdate").select("o_orderkey", "profile_id", "fee")
+    return profit.profile_as_of(facts, profiles, "o_orderdate").select("o_orderkey", "profile_id", "fee")
 
 
 def _asks(spark, sf_dir):

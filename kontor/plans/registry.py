@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import catalogue, commerce, reports, snapshots, texts
+from . import catalogue, commerce, reports, snapshots, streams, texts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -14,8 +14,8 @@ flagship = commerce.best_source_profit
 
 
 def queries() -> dict[str, Query]:
-    return {n: q for part in (commerce, snapshots, reports, catalogue, texts) for n, (q, _) in part.QUERIES.items()}
+    return {n: q for part in (commerce, snapshots, reports, catalogue, texts, streams) for n, (q, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {n: sql for part in (commerce, snapshots, reports, catalogue, texts) for n, (_, sql) in part.QUERIES.items() if sql}
+    return {n: sql for part in (commerce, snapshots, reports, catalogue, texts, streams) for n, (_, sql) in part.QUERIES.items() if sql}

@@ -44,7 +44,10 @@ def vanished(spark, sf_dir):
 def upsert(spark, sf_dir):
     current, incoming = snapshots(spark, sf_dir)
     current = current.withColumn("disappeared_at", F.lit(None).cast("timestamp"))
-    out = ops.upsert_listings(current, incoming, _at())
+    return shown(ops.upsert_listings(current, incoming, _at()))
+
+
+def shown(out):
     return out.select(*KEY, F.round(F.col("price").cast("double"), 2).alias("price"), "stock_status", "stock_qty", F.col("disappeared_at").isNotNull().alias("gone"))
 
 
@@ -134,26 +137,27 @@ def event_silence(spark, sf_dir):
     return last.crossJoin(F.broadcast(end)).where(F.col("last_seen") < F.col("end") - F.expr("interval 2 days")).select("user_id", "last_seen")
 
 
+UPSERT_SQL = f"""WITH {SNAPSHOT_SQL} SELECT coalesce(i.supplier_id, c.supplier_id) AS supplier_id, coalesce(i.p, c.p) AS source_product_id, round(coalesce(i.price, c.price)::DOUBLE, 2) AS price,
+CASE WHEN seen.p IS NULL AND c.supplier_id IN (SELECT supplier_id FROM inc) THEN 'OUT_OF_STOCK' ELSE coalesce(i.stock_status, c.stock_status) END AS stock_status,
+coalesce(i.stock_qty, c.stock_qty) AS stock_qty, seen.p IS NULL AND c.supplier_id IN (SELECT supplier_id FROM inc) AS gone
+FROM cur AS c FULL OUTER JOIN (SELECT * FROM inc WHERE verdict <> 'REJECTED') AS i ON c.p = i.p AND c.supplier_id = i.supplier_id
+LEFT JOIN inc AS seen ON seen.p = coalesce(i.p, c.p)"""
 QUERIES = {
     "src1_read_listings": (read_listings, "SELECT l_suppkey, count(*) AS n, max(l_shipdate) AS newest FROM lineitem GROUP BY 1"),
     "j11_diff_listings": (diff_listings, f"WITH {SNAPSHOT_SQL} SELECT supplier_id, p AS source_product_id, status, price_changed, stock_changed FROM diff"),
     "a8_sync_stats": (
         sync_stats,
         f"""WITH {SNAPSHOT_SQL} SELECT supplier_id, count(*) FILTER (status <> 'unseen') AS seen, count(*) FILTER (status = 'created') AS created, count(*) FILTER (status = 'updated') AS updated,
-            count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'unseen') AS unseen, count(*) FILTER (price_changed) AS price_changes, count(*) FILTER (stock_changed) AS stock_changes
+            count(*) FILTER (status = 'unchanged') AS unchanged, count(*) FILTER (status = 'unseen') AS unseen, count(*) FILTER (status = 'skipped') AS skipped,
+            count(*) FILTER (verdict = 'CONFIRMED') AS confirmed, count(*) FILTER (verdict = 'REVIEW') AS review, count(*) FILTER (verdict = 'REJECTED') AS rejected,
+            count(*) FILTER (price_changed OR status = 'created') AS price_changes, count(*) FILTER (stock_changed OR status = 'created') AS stock_changes
             FROM diff GROUP BY 1""",
     ),
     "j12_set1_vanished": (
         vanished,
         f"WITH {SNAPSHOT_SQL} SELECT supplier_id, p AS source_product_id FROM cur WHERE supplier_id IN (SELECT supplier_id FROM inc) AND NOT EXISTS (SELECT 1 FROM inc WHERE inc.p = cur.p AND inc.supplier_id = cur.supplier_id)",
     ),
-    "snk1_upsert_listings": (
-        upsert,
-        f"""WITH {SNAPSHOT_SQL} SELECT coalesce(i.supplier_id, c.supplier_id) AS supplier_id, coalesce(i.p, c.p) AS source_product_id, round(coalesce(i.price, c.price)::DOUBLE, 2) AS price,
-            CASE WHEN i.p IS NULL AND coalesce(i.supplier_id, c.supplier_id) IN (SELECT supplier_id FROM inc) THEN 'OUT_OF_STOCK' ELSE coalesce(i.stock_status, c.stock_status) END AS stock_status,
-            coalesce(i.stock_qty, c.stock_qty) AS stock_qty, i.p IS NULL AND c.supplier_id IN (SELECT supplier_id FROM inc) AS gone
-            FROM cur AS c FULL OUTER JOIN inc AS i ON c.p = i.p AND c.supplier_id = i.supplier_id""",
-    ),
+    "snk1_upsert_listings": (upsert, UPSERT_SQL),
     "snk2_price_history": (
         _history(0),
         f"WITH {SNAPSHOT_SQL} SELECT supplier_id, p AS source_product_id, round(price::DOUBLE, 2) AS price, '2024-01-01' AS obs_date FROM diff WHERE status = 'created' OR price_changed",

@@ -89,20 +89,36 @@ SELECT *, revenue - total_cost AS profit FROM (
 """
 
 
-def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(current, incoming) listings from orders: some are new, some vanish, some change price, stock, or nothing."""
-    o = table(spark, sf_dir, "orders")
+def listing_rows(o: DataFrame) -> DataFrame:
+    """Orders, of a table or a stream, as listings."""
     k = F.col("o_orderkey")
-    base = o.select(
+    return o.select(
         (F.col("o_custkey") % 50).alias("supplier_id"), k.alias("source_product_id"), F.round("o_totalprice", 2).cast("decimal(20,6)").alias("price"),
         F.when(F.col("o_orderstatus") == "F", "OUT_OF_STOCK").otherwise("IN_STOCK").alias("stock_status"), (k % 9).cast("int").alias("stock_qty"),
     )
+
+
+def _hashed(df: DataFrame) -> DataFrame:
+    return df.withColumn("content_hash", F.sha2(F.concat_ws("|", F.col("price").cast("string"), "stock_status", F.col("stock_qty").cast("string")), 256))
+
+
+def delivered(base: DataFrame) -> DataFrame:
+    """What is delivered next of ``listing_rows``: some are gone, some changed, some are rejected."""
     p = F.col("source_product_id")
-    hashed = F.concat_ws("|", F.col("price").cast("string"), "stock_status", F.col("stock_qty").cast("string"))
-    current = base.where(p % 7 != 0).withColumn("content_hash", F.sha2(hashed, 256))
     new = base.where(p % 11 != 0).withColumn("price", F.when(p % 5 == 0, F.col("price") + 10).otherwise(F.col("price")).cast("decimal(20,6)"))
-    new = new.withColumn("stock_qty", F.when(p % 6 == 0, F.col("stock_qty") + 1).otherwise(F.col("stock_qty")).cast("int"))
-    return current, new.withColumn("content_hash", F.sha2(hashed, 256))
+    new = _hashed(new.withColumn("stock_qty", F.when(p % 6 == 0, F.col("stock_qty") + 1).otherwise(F.col("stock_qty")).cast("int")))
+    new = new.withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-01 06:00:00")))
+    return new.withColumn("verdict", F.when(p % 13 == 0, "REJECTED").when(p % 17 == 0, "REVIEW").otherwise("CONFIRMED"))
+
+
+def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(current, incoming) listings from orders: some are new, some vanish, some change price, stock, or nothing; some
+    are rejected, and some were delivered twice, an hour before with another price."""
+    base = listing_rows(table(spark, sf_dir, "orders"))
+    p = F.col("source_product_id")
+    new = delivered(base)
+    early = new.where(p % 19 == 0).withColumn("price", (F.col("price") + 99).cast("decimal(20,6)")).withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-01 05:00:00")))
+    return _hashed(base.where(p % 7 != 0)), new.unionByName(early)
 
 
 SNAPSHOT_SQL = """
@@ -110,12 +126,13 @@ base AS (SELECT o_custkey % 50 AS supplier_id, o_orderkey AS p, CAST(round(o_tot
            CASE WHEN o_orderstatus = 'F' THEN 'OUT_OF_STOCK' ELSE 'IN_STOCK' END AS stock_status, o_orderkey % 9 AS stock_qty FROM orders),
 cur AS (SELECT * FROM base WHERE p % 7 <> 0),
 inc AS (SELECT supplier_id, p, CASE WHEN p % 5 = 0 THEN price + 10 ELSE price END AS price, stock_status,
-          CASE WHEN p % 6 = 0 THEN stock_qty + 1 ELSE stock_qty END AS stock_qty FROM base WHERE p % 11 <> 0),
-diff AS (SELECT coalesce(c.supplier_id, i.supplier_id) AS supplier_id, coalesce(c.p, i.p) AS p, i.price, i.stock_status, i.stock_qty,
-           CASE WHEN i.p IS NULL THEN 'unseen' WHEN c.p IS NULL THEN 'created'
+          CASE WHEN p % 6 = 0 THEN stock_qty + 1 ELSE stock_qty END AS stock_qty,
+          CASE WHEN p % 13 = 0 THEN 'REJECTED' WHEN p % 17 = 0 THEN 'REVIEW' ELSE 'CONFIRMED' END AS verdict FROM base WHERE p % 11 <> 0),
+diff AS (SELECT coalesce(c.supplier_id, i.supplier_id) AS supplier_id, coalesce(c.p, i.p) AS p, i.price, i.stock_status, i.stock_qty, i.verdict,
+           CASE WHEN i.p IS NULL THEN 'unseen' WHEN i.verdict = 'REJECTED' THEN 'skipped' WHEN c.p IS NULL THEN 'created'
                 WHEN c.price = i.price AND c.stock_status = i.stock_status AND c.stock_qty = i.stock_qty THEN 'unchanged' ELSE 'updated' END AS status,
-           c.p IS NOT NULL AND i.p IS NOT NULL AND c.price <> i.price AS price_changed,
-           c.p IS NOT NULL AND i.p IS NOT NULL AND (c.stock_status <> i.stock_status OR c.stock_qty <> i.stock_qty) AS stock_changed
+           coalesce(i.verdict <> 'REJECTED' AND c.price <> i.price, false) AS price_changed,
+           coalesce(i.verdict <> 'REJECTED', false) AND c.p IS NOT NULL AND (c.stock_status <> i.stock_status OR c.stock_qty <> i.stock_qty) AS stock_changed
          FROM cur AS c FULL OUTER JOIN inc AS i ON c.supplier_id = i.supplier_id AND c.p = i.p)
 """
 

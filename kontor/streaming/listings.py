@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
 
-from ..operators.listings import upsert_listings
+from ..operators.listings import KEY, upsert_listings
 
 
 def stream_listings(spark: SparkSession, path: str, schema: str, kind: str = "parquet", files: int = 100) -> DataFrame:
@@ -72,7 +72,7 @@ def stream_vanished(df: DataFrame, key: Column, at: str, silence_ms: int, delay:
         else:
             last = state.get[0] if state.exists else 0
             for f in frames:
-                last = max(last, int(f["at"].astype("int64").max() // 1_000_000))
+                last = max(last, int(f["at"].astype("datetime64[ms]").astype("int64").max()))
             state.update((last,))
             state.setTimeoutTimestamp(max(last + silence_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["key", "last_seen"])
@@ -83,12 +83,22 @@ def stream_vanished(df: DataFrame, key: Column, at: str, silence_ms: int, delay:
 
 
 def stream_upsert(df: DataFrame, path: str, at: Column, schema: str, checkpoint: str) -> StreamingQuery:
-    """Each batch makes a snapshot of its own from the one before it; a batch that runs again writes the same one."""
+    """Keeps the table at ``path``, partitioned by supplier: a batch reads and rewrites the suppliers that it delivers, no others.
+
+    The new rows are staged under ``path`` + "_staged" first, as a table cannot be overwritten while it is read; a
+    batch that runs again finds its own result and writes the same.
+    """
+    by = KEY[0]
+    spark = df.sparkSession
+    spark.createDataFrame([], schema).write.mode("ignore").partitionBy(by).parquet(path)
 
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        before = spark.read.parquet(f"{path}/{number - 1}") if number else spark.createDataFrame([], schema)
-        upsert_listings(before, batch, at).write.mode("overwrite").parquet(f"{path}/{number}")
+        spark, staged = batch.sparkSession, f"{path}_staged/{number}"
+        before = spark.read.schema(schema).parquet(path).join(batch.select(by).distinct(), by, "left_semi")
+        after = upsert_listings(before, batch, at)
+        after.write.mode("overwrite").parquet(staged)
+        rows = spark.read.schema(after.schema).parquet(staged)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
     return df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -118,6 +118,37 @@ def test_titles_and_skus(spark):
     assert r.x == r.y != r.z and r.x.startswith("CB-SV2A-201165-JP-PSA10-") and len(r.x) <= 40
 
 
+KNOWN = dict(
+    verdict="CONFIRMED", parse_confidence=0.9, card_name_en="Mew", card_number="1/1", language="JAPANESE", has_images=True, image_approved=True, image_confidence=0.95,
+    representative_image=False, available=1, quantity=1, title="Mew", missing_aspects=[], descriptors_resolved=True, ai_confidence=0.9, ai_warnings=[], base_profit_jpy=Decimal(2000),
+    base_margin=Decimal(20), pessimistic_profit=Decimal(1), profit_warnings=[], selling_price=Decimal(100), market_sufficient=True, duplicate_listing=False,
+)
+GATE = (
+    "verdict string, parse_confidence double, card_name_en string, card_number string, language string, has_images boolean, image_approved boolean, image_confidence double, representative_image boolean, "
+    "available int, quantity int, title string, missing_aspects array<string>, descriptors_resolved boolean, ai_confidence double, ai_warnings array<string>, base_profit_jpy decimal(20,6), "
+    "base_margin decimal(12,4), pessimistic_profit decimal(20,6), profit_warnings array<string>, selling_price decimal(20,6), market_sufficient boolean, duplicate_listing boolean"
+)
+
+
+def test_what_is_not_known_blocks(spark):
+    names = list(KNOWN)
+    rows = [tuple(KNOWN.values())] + [tuple((KNOWN | {n: None}).values()) for n in names]
+    got = publishing.eligibility(spark.createDataFrame(rows, GATE).coalesce(1)).select("eligible", "manual_review", "blockers.code").collect()
+    assert got[0].eligible and got[0].code == []
+    free = {n for n, r in zip(names, got[1:], strict=True) if r.eligible}
+    assert free == {"image_confidence", "missing_aspects", "ai_confidence", "ai_warnings", "profit_warnings"}
+    assert {n for n, r in zip(names, got[1:], strict=True) if r.manual_review} == {"card_number", "representative_image", "market_sufficient"}
+
+
+def test_aspects_belong_to_categories(spark):
+    items = spark.createDataFrame([(1, "a", {" game ": "P", "Year": "1999", "GAME": "Q"}), (2, "b", {"game": "P"}), (3, "c", {"x": "y"})], "listing_id int, category_id string, specifics map<string,string>")
+    allowed = spark.createDataFrame([("a", "Game", True), ("a", "game", False), ("b", "Year", True)], "category_id string, name string, required boolean")
+    good, bad = publishing.split_aspects(items, allowed)
+    assert [tuple(r) for r in good.collect()] == [(1, "game", "Q")]
+    assert sorted(tuple(r) for r in bad.collect()) == [(1, "Year"), (2, "game"), (3, "x")]
+    assert {r.listing_id: r.missing for r in publishing.missing_aspects(items, allowed).collect()} == {1: [], 2: ["year"], 3: []}
+
+
 REGION = "image_id string, kind string, source string, x double, y double, width double, height double, confidence double, position int"
 
 

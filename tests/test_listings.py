@@ -27,11 +27,25 @@ def test_diff_vanished_and_stats(spark):
     gone = {(r.supplier_id, r.source_product_id) for r in ops.vanished(current, incoming).collect()}
     assert gone == {(1, "c")}  # a supplier that delivered nothing loses nothing
     s = {r.supplier_id: r for r in ops.sync_stats(diff).collect()}
-    assert (s[1].seen, s[1].created, s[1].updated, s[1].unchanged, s[1].price_changes) == (3, 1, 1, 1, 1)
+    assert (s[1].seen, s[1].created, s[1].updated, s[1].unchanged, s[1].price_changes) == (3, 1, 1, 1, 2)  # a new listing brings a price
     prices, stocks = ops.history_rows(diff, F.to_timestamp(F.lit("2024-01-01")))
     assert {r.source_product_id for r in prices.collect()} == {"b", "d"} and {r.source_product_id for r in stocks.collect()} == {"d"}
 
 
+def test_rejected_and_repeated_rows(spark):
+    current, incoming = two(spark)
+    at = lambda h: F.to_timestamp(F.lit(f"2024-01-01 0{h}:00:00"))
+    rows = incoming.withColumns({"verdict": F.when(F.col("source_product_id").isin("a", "d"), "REJECTED").otherwise("CONFIRMED"), "fetched_at": at(6)})
+    rows = rows.unionByName(rows.where("source_product_id = 'b'").withColumns({"price": F.lit(99).cast("decimal(20,6)"), "fetched_at": at(5)}))
+    diff = ops.diff_listings(current, rows)
+    got = {r.source_product_id: (r.status, r.price) for r in diff.collect()}
+    assert got["a"][0] == got["d"][0] == "skipped" and got["b"] == ("updated", 21) and len(got) == 5
+    s = {r.supplier_id: r for r in ops.sync_stats(diff).collect()}[1]
+    assert (s.seen, s.skipped, s.confirmed, s.review, s.rejected, s.created, s.price_changes) == (3, 2, 1, 0, 2, 0, 1)
+    after = {r.source_product_id: r for r in ops.upsert_listings(current, rows, at(7)).collect()}
+    assert set(after) == {"a", "b", "c", "z"} and after["a"].disappeared_at is None and after["b"].price == 21 and after["c"].stock_status == "OUT_OF_STOCK"
+
+
 def test_upsert_is_idempotent(spark):
     current, incoming = two(spark)
     at = F.to_timestamp(F.lit("2024-01-01"))

@@ -76,12 +76,53 @@ def test_policies(spark):
 
 
 def test_generated_text_is_held_against_its_source(spark):
-    out = {"title": "Card 201/165 from 1999", "items": [{"note": "price 5"}, {"note": "qty 77"}], "description": "2031 and 4242", "grade": 10}
+    out = {"title": "Card 201/165 from 1999", "items": [{"note": "price 5"}, {"note": "qty 77"}], "descriptionEn": "2031 and 4242", "warnings": ["77 1998"], "grade": 10}
     df = spark.createDataFrame([("t", "no. 201 of 165, year 1996", json.dumps(out))], "target_id string, source_text string, output string")
     flags = {(r.field, r.kind, r.number) for r in audit.audit_generated_text(df).collect()}
     assert flags == {("title", "year", "1999"), ("items[1].note", "number", "77")}
 
 
+def issues(spark, check, *outputs):
+    df = spark.createDataFrame([(i, o if isinstance(o, str) or o is None else json.dumps(o)) for i, o in enumerate(outputs)], "id int, output string")
+    return [sorted(r.issues) for r in check(df).orderBy("id").collect()]
+
+
+def test_output_schemas(spark):
+    copy = {"descriptionEn": "d" * 20, "itemSpecifics": {"Game": "Pokemon"}, "confidence": 0.9, "warnings": [{"field": "x", "message": "m"}]}
+    without = lambda n: {k: v for k, v in copy.items() if k != n}
+    assert issues(
+        spark, audit.validate_copy, copy, without("warnings"), without("confidence"), copy | {"descriptionEn": "short"}, copy | {"descriptionEn": 5}, copy | {"itemSpecifics": {"a" * 66: "b"}},
+        copy | {"itemSpecifics": {"a": 5}}, copy | {"itemSpecifics": {}}, copy | {"confidence": 1.5}, copy | {"confidence": "1"}, copy | {"warnings": [{"field": "x", "message": "m" * 501}]},
+        copy | {"warnings": None}, "{oops", [copy], None,
+    ) == [
+        [], [], ["confidence"], ["descriptionEn"], ["descriptionEn"], ["itemSpecifics"], ["itemSpecifics"], [], ["confidence"], ["confidence"], ["warnings"], ["warnings"], ["(root)"], ["(root)"], ["(root)"],
+    ]
+    name = {"cardNameEn": "Mew", "setNameEn": None, "characterEn": "Mew", "confidence": 1}
+    assert issues(spark, audit.validate_translation, name, name | {"cardNameEn": ""}, name | {"characterEn": "x" * 81}, {k: v for k, v in name.items() if k != "setNameEn"}) == [
+        [], ["cardNameEn"], ["characterEn"], ["setNameEn"],
+    ]
+
+
+def test_nested_selectors_and_blocks(spark):
+    html = '<div id="list"><ul class="a b"><li data-k="7"><p><em>no</em></p><em>yes 12 </em></li><li></li></ul></div><ul><li>x</li></ul>'
+    html += '<script type="application/ld+json">[{"@type": "A"}, {"@type": "B"}]</script><script type="application/ld+json">{"@graph": [{"@type": "C"}], "sku": "s9"}</script>'
+    df = spark.createDataFrame([(1, "https://s.jp/", html)], "page_id long, url string, html string")
+    s = pages.Selector
+    config = pages.CardConfig(s(css="#list ul.a.b > li"), {"direct": s(css="li > em", regex="([0-9]+)", required=True), "any": s(css="li em"), "key": s(css="li[data-k='7']", attribute="data-k")})
+    got = [(r.direct, r.any, r.key, r.missing_required) for r in pages.extract_listing_cards(df, config).orderBy("position").collect()]
+    assert got == [("12", "no", "7", []), (None, None, None, ["direct"])]
+    blocks = pages.extract_json_ld(df).orderBy("position")
+    assert [(r.types, r.type) for r in blocks.collect()] == [(["A", "B"], "A"), (["C"], "C")]
+    ids = pages.source_ids(blocks.withColumns({"url": F.lit("https://s.jp/"), "k": F.lit("")}), [("attribute", "k"), ("json_ld", "sku")])
+    assert [r.source_id for r in ids.collect()] == ["s9"]
+
+
+def test_vanished_stream(spark, arriving, tmp_path):
+    got = run(streams.stream_vanished(arriving(), F.col("user_id"), "ts", 86_400_000, "400 days"), tmp_path, spark)
+    want = {r.user_id for r in spark.read.parquet(f"{SF}/events.parquet").select("user_id").distinct().collect()}
+    assert {int(r.key) for r in got.collect()} - {-1} == want
+
+
 def run(df, folder, spark):
     """The whole stream, file by file, into a table."""
     query = df.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/cp").outputMode("append").trigger(availableNow=True).start()
@@ -130,7 +171,7 @@ def test_upsert_stream_keeps_snapshots(spark, tmp_path):
         query = streams.stream_upsert(df, str(tmp_path / "snap"), F.to_timestamp(F.lit("2024-01-01")), schema, str(tmp_path / "cp"))
         query.awaitTermination(60)
         assert query.exception() is None
-    last = {r.source_product_id: (r.price, r.stock_status) for r in spark.read.parquet(str(tmp_path / "snap" / "1")).collect()}
+    last = {r.source_product_id: (r.price, r.stock_status) for r in spark.read.parquet(str(tmp_path / "snap")).collect()}
     assert last == {"a": (3.0, "IN_STOCK"), "b": (2.0, "OUT_OF_STOCK")}
 
 

@@ -76,6 +76,7 @@ CLAIMS = [
     ("PSA10 遊戯王", None, None, None, None, None, "REJECTED"),
     ("リザードン", None, "GEM MT", "psa", "PSA", 10, "CONFIRMED"),
     ("PSA10 リザードン", None, None, None, "BGS", 10, "REJECTED"),
+    ("PSA10 リザードン", None, None, None, "", 9, "REVIEW"),
     ("カードGXリザードン PSA10", None, "PSA 10", None, None, None, "CONFIRMED"),
 ]
 
@@ -91,6 +92,7 @@ def test_grade_claims(spark):
     "given, want",
     [
         ("HTTP://M.Shop.JP:80/a//b/?utm_source=x&b=2&a=1&page=3#top", "https://m.shop.jp/a/b?a=1&b=2"),
+        ("https://shop.jp/a/../b/./c/..?a=2&a=1&B=3&b=4", "https://shop.jp/b?a=2&a=1&b=4&B=3"), ("https://shop.jp/../x/%2F/.", "https://shop.jp/x/%2F"),
         ("https://shop.jp", "https://shop.jp/"), ("https://shop.jp/?ref=1", "https://shop.jp/"), ("nonsense", None), (None, None),
     ],
 )
