@@ -50,3 +50,14 @@ def test_odd_rows_pass_through(spark, odd):
         now = stage(spark, now, SF)
         assert now.columns == odd.columns
     assert {3, 4, 7, 8} <= {r.doc_id for r in now.collect()}
+
+
+def test_run_takes_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, repeated ones and clashing columns through all stages."""
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(4, 1, 0), (99, 0, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "ids").collect()}
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    texts = {r.doc_id: r.text for r in odd.collect()}
+    assert got == {i: library.encode(texts[i], add_eos=True) for i in (2, 3, 4, 7, 8, 9, 10)}
