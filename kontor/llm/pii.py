@@ -195,7 +195,7 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Counts, digest of the base spans and all spans as text, from ``find_personal_data``."""
+    """Counts by base kind and of all spans, digest of the base spans and all spans as text, from ``find_personal_data``."""
 
     def joined(only_base: bool):
         kept = F.filter("spans", lambda s: s["kind"].isin(*BASE)) if only_base else F.col("spans")
@@ -210,4 +210,5 @@ def digest_columns(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.sha2(joined(True), 256).alias("base_sha256"),
         joined(False).alias("spans"),
         F.array_join(F.transform("spans", lambda s: F.format_string("%.2f", s["score"])), ",").alias("scores"),
+        F.size("spans").cast("long").alias("n_spans"),
     )
