@@ -67,16 +67,19 @@ def customs_cost(price: Column, terms: Terms) -> tuple[Column, Column, Column]:
 
 
 def cost_columns(revenue: Column, rate: Column, shipping: Column, returns: Column, duty: Column, tax: Column, terms: Terms) -> tuple[Column, ...]:
-    """The costs of a row in the sale currency, in the order of ``COSTS``."""
+    """The costs of a row in the sale currency, in the order of ``COSTS``; a term of zero yen needs no division."""
+
+    def term(jpy: str) -> Column:
+        return to_sale(dec(jpy), rate) if float(jpy) else F.lit(0).cast(WIDE)
+
     return (
         to_sale(F.col("purchase_price"), rate), to_sale(F.col("domestic_shipping_jpy"), rate), to_sale(F.col("handling_jpy"), rate),
-        to_sale(shipping, rate), to_sale(dec(terms.packaging), rate),
+        to_sale(shipping, rate), term(terms.packaging),
         percent(revenue, dec(terms.category_fee, PERCENT)), dec(terms.fixed_fee).cast(WIDE),
         percent(revenue, dec(terms.international_fee, PERCENT)), percent(revenue, dec(terms.ad_rate, PERCENT)),
         percent(revenue, dec(terms.fx_spread, PERCENT)), percent(revenue, dec(terms.fx_buffer, PERCENT)),
         (percent(revenue, dec(terms.return_reserve, PERCENT)).cast("decimal(28,11)") * returns).cast(WIDE),
-        to_sale(dec(terms.insurance), rate), to_sale(dec(terms.signature), rate), duty, tax,
-        to_sale(dec(terms.brokerage), rate), to_sale(dec(terms.surcharge), rate), to_sale(dec(terms.other), rate),
+        term(terms.insurance), term(terms.signature), duty, tax, term(terms.brokerage), term(terms.surcharge), term(terms.other),
     )
 
 
