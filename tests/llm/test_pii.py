@@ -62,6 +62,7 @@ def test_query_agrees_with_brute_force(spark):
         want = brute(text or "")
         assert [got[doc_id][f"n_{k}"] for k in BASE] == [sum(s[0] == k for s in want) for k in BASE]
         joined = ",".join(f"{k}:{a}:{b}" for k, a, b in want)
+        assert got[doc_id].n_spans == len(spans(text or ""))
         assert got[doc_id].base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
     assert sum(r.n_email + r.n_ip + r.n_card + r.n_phone for r in got.values()) > 0
 
