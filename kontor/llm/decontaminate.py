@@ -190,6 +190,9 @@ def overlaps(docs: DataFrame, items: DataFrame, held: int = HELD) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that overlap with an item; the columns stay.  ``items`` is (item, text)."""
+    """``docs`` without the rows that overlap with an item; the columns stay.  ``items`` is (item, text).
+
+    Rows of one id go together.
+    """
     found = overlaps(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), items)
     return without(docs, id_col, settled(found.select(F.col("id").alias(id_col)).distinct()))

@@ -25,7 +25,7 @@ whole group has none of that length; ids may be of any type that can be ordered;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import settled, without
@@ -35,13 +35,16 @@ TRACKED = 8192
 WINNERS = 2048
 
 
+def digest(text_col: str) -> Column:
+    """SHA-256 of the text without white space."""
+    bare = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), r"[\x20\x09-\x0D]+", "")
+    return F.unhex(F.sha2(bare, 256))
+
+
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, length): SHA-256 of the text without white space, code points of the text as it is."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    bare = F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")
-    return docs.select(
-        F.col(id_col).alias("id"), F.unhex(F.sha2(bare, 256)).alias("digest"), F.length(text).alias("length")
-    )
+    """(id, digest, length), the last in code points of the text as it is."""
+    length = F.length(F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col).alias("id"), digest(text_col).alias("digest"), length.alias("length"))
 
 
 def frequent(rows: DataFrame, tracked: int, winners: int) -> DataFrame:
@@ -83,6 +86,10 @@ def exact_dedup(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` drops; the columns stay."""
-    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(id_col).distinct()
-    return without(docs, id_col, settled(gone))
+    """``docs`` without the rows that ``exact_dedup`` drops; the columns stay.
+
+    Of rows with one id and different texts only those go whose text stays under another id.
+    """
+    gone = exact_dedup(docs, id_col, text_col).where(~F.col("kept"))
+    gone = gone.select(F.col(id_col).alias("id"), F.unhex("text_sha256").alias("digest")).distinct()
+    return without(docs, id_col, settled(gone), digest=digest(text_col))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -68,12 +68,19 @@ def sieve(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
     return sifted.where(hit).drop(hit)
 
 
-def without(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """The rows of ``df`` whose id is not among ``ids`` (one column); only rows that the sieve keeps are shuffled."""
-    (name,) = ids.columns
-    sifted, hit = _sifted(df, id_col, ids)
+def without(df: DataFrame, id_col: str, ids: DataFrame, **same: Column) -> DataFrame:
+    """The rows of ``df`` whose id is not among ``ids``; only rows that the sieve keeps are shuffled.
+
+    ``ids`` has the id as its first column.  Where an id may stand for several rows, of which not all go, its other
+    columns tell them apart: ``same`` has the expression over ``df`` that each of them must equal.
+    """
+    name = ids.columns[0]
+    sifted, hit = _sifted(df, id_col, ids.select(name))
     columns = [F.col(f"`{c}`") for c in df.columns]
-    doubtful = sifted.where(hit).drop(hit).join(ids.select(F.col(name).alias(id_col)), id_col, "left_anti")
+    free = {c: _free(df, c) for c in same}
+    doubtful = sifted.where(hit).select(*columns, *(same[c].alias(free[c]) for c in same))
+    gone = ids.select(F.col(name).alias(id_col), *(F.col(c).alias(free[c]) for c in same))
+    doubtful = doubtful.join(gone, [id_col, *free.values()], "left_anti")
     return sifted.where(~F.col(hit)).drop(hit).unionByName(doubtful.select(*columns))
 
 

@@ -378,6 +378,6 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows that ``toxicity`` rejects; the columns stay."""
+    """``docs`` without the rows that ``toxicity`` rejects; the columns stay.  Rows of one id go together."""
     gone = toxicity(docs, labels).where("predicted = 1").select("doc_id").distinct()
     return without(docs, "doc_id", settled(gone))
