@@ -11,6 +11,7 @@ from . import decontaminate, language, pieces, pii, toxicity
 from .exact_dedup import exact_dedup
 from .hmm import language_model
 from .near_dedup import near_dedup
+from .negatives import hard_negatives
 from .shared import documents
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -64,6 +65,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        F.col("vec_id").alias("id"), label.alias("label"), F.col("embedding").alias("vector"), (F.col("vec_id") % 100 == 0).alias("anchor")
+    )
+    return hard_negatives(vectors)
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -115,6 +124,29 @@ FROM w LEFT JOIN left_over USING (doc_id)
 """
 
 
+OP11_SQL = r"""
+WITH e AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+         CAST(coalesce(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])), 0) AS BIGINT) AS score
+  FROM e AS a JOIN e AS b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT anchor_id, positive_id,
+       CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+       other_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY rank <= 10
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -127,9 +159,10 @@ def queries() -> dict[str, Query]:
         "op8_language": op8_language,
         "op9_decontaminate": op9_decontaminate,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_hard_negatives": op11_hard_negatives,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; the others are tested against brute force, round trips or held-out rows."""
-    return {"op5_substrings": OP5_SQL, "op7_minhash": OP7_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op5_substrings": OP5_SQL, "op7_minhash": OP7_SQL, "op10_exact_dedup": OP10_SQL, "op11_hard_negatives": OP11_SQL}
