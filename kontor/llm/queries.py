@@ -12,6 +12,7 @@ from .exact_dedup import exact_dedup
 from .hmm import language_model
 from .near_dedup import near_dedup
 from .negatives import hard_negatives
+from .quality_rules import quality_rules
 from .ranked_search import ranked_search
 from .shared import documents
 from .substring_dedup import substring_dedup
@@ -79,6 +80,11 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), "text"))
 
 
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality_rules(documents(spark, sf_dir, "doc_id", "text"), labels)
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -188,6 +194,7 @@ def queries() -> dict[str, Query]:
         "op10_exact_dedup": op10_exact_dedup,
         "op11_hard_negatives": op11_hard_negatives,
         "op12_ranked_search": op12_ranked_search,
+        "op13_quality_rules": op13_quality_rules,
     }
 
 
