@@ -98,7 +98,7 @@ def listing_rows(o: DataFrame) -> DataFrame:
     )
 
 
-def _hashed(df: DataFrame) -> DataFrame:
+def hashed(df: DataFrame) -> DataFrame:
     return df.withColumn("content_hash", F.sha2(F.concat_ws("|", F.col("price").cast("string"), "stock_status", F.col("stock_qty").cast("string")), 256))
 
 
@@ -106,7 +106,7 @@ def delivered(base: DataFrame) -> DataFrame:
     """What is delivered next of ``listing_rows``: some are gone, some changed, some are rejected."""
     p = F.col("source_product_id")
     new = base.where(p % 11 != 0).withColumn("price", F.when(p % 5 == 0, F.col("price") + 10).otherwise(F.col("price")).cast("decimal(20,6)"))
-    new = _hashed(new.withColumn("stock_qty", F.when(p % 6 == 0, F.col("stock_qty") + 1).otherwise(F.col("stock_qty")).cast("int")))
+    new = hashed(new.withColumn("stock_qty", F.when(p % 6 == 0, F.col("stock_qty") + 1).otherwise(F.col("stock_qty")).cast("int")))
     new = new.withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-01 06:00:00")))
     return new.withColumn("verdict", F.when(p % 13 == 0, "REJECTED").when(p % 17 == 0, "REVIEW").otherwise("CONFIRMED"))
 
@@ -118,7 +118,7 @@ def snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = F.col("source_product_id")
     new = delivered(base)
     early = new.where(p % 19 == 0).withColumn("price", (F.col("price") + 99).cast("decimal(20,6)")).withColumn("fetched_at", F.to_timestamp(F.lit("2024-01-01 05:00:00")))
-    return _hashed(base.where(p % 7 != 0)), new.unionByName(early)
+    return hashed(base.where(p % 7 != 0)), new.unionByName(early)
 
 
 SNAPSHOT_SQL = """

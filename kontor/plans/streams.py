@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.checkpoints import shared_folder
+from ..streaming import deliveries
 from ..streaming import listings as streams
 from . import snapshots
-from .stand_ins import delivered, listing_rows, table
+from .stand_ins import delivered, hashed, listing_rows, table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -65,7 +66,84 @@ def upsert(spark, sf_dir):
     return snapshots.shown(spark.read.schema(schema).parquet(f"{folder}/table"))
 
 
+def _loads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """Deliveries of all orders as listings, in four loads of mixed order, then a sign of life.
+
+    Supplier s ends its run well, but for s % 10 = 3 (fails) and s % 10 = 7 (falls silent); every fifth supplier
+    delivers again later, without products of p % 3 = 0 and dearer by 5 for p % 4 = 0.
+    """
+    rows = delivered(listing_rows(table(spark, sf_dir, "orders"))).where("verdict <> 'REJECTED'").drop("verdict", "fetched_at")
+    s, p, hour = F.col("supplier_id"), F.col("source_product_id"), lambda h: F.to_timestamp(F.lit(f"2024-01-01 {h}:00:00"))
+    dearer = F.when(p % 4 == 0, F.col("price") + 5).otherwise(F.col("price")).cast("decimal(20,6)")
+    again = hashed(rows.where((s % 5 == 0) & (p % 3 != 0)).withColumn("price", dearer))
+    listed = rows.withColumns({"run_id": F.lit(1), "kind": F.lit(deliveries.ROW), "at": hour("06")}).unionByName(
+        again.withColumns({"run_id": F.lit(2), "kind": F.lit(deliveries.ROW), "at": hour("12")})
+    )
+    kind = F.when(s % 10 == 3, deliveries.FAILED).otherwise(deliveries.END)
+    ends = rows.select(s).distinct().where(s % 10 != 7)
+    marks = ends.select("*", F.lit(1).alias("run_id"), kind.alias("kind"), hour("07").alias("at"))
+    marks = marks.unionByName(ends.where(s % 5 == 0).select("*", F.lit(2).alias("run_id"), F.lit(deliveries.END).alias("kind"), hour("13").alias("at")))
+    tick = spark.range(1).select(F.lit(deliveries.TICK).alias("kind"), F.to_timestamp(F.lit("2024-02-01 00:00:00")).alias("at"))
+    parts = [listed.where(p % 4 == k) for k in range(4)]
+    parts[1] = parts[1].unionByName(marks, allowMissingColumns=True)  # before some of the rows
+    return [*parts, tick.select(*(F.col(c) if c in tick.columns else F.lit(None).cast(listed.schema[c].dataType).alias(c) for c in listed.columns))]
+
+
+def _delivered(spark: SparkSession, sf_dir: str, times: int = 1) -> deliveries.Sink:
+    """The table after all loads have arrived one by one; each batch is applied ``times`` times."""
+    folder = _folder(spark)
+    current, _ = snapshots.snapshots(spark, sf_dir)
+    current = current.withColumn("disappeared_at", F.lit(None).cast("timestamp"))
+    schema = ", ".join(f"{n} {t}" for n, t in current.dtypes)
+    sink = deliveries.Sink(f"{folder}/table", schema)
+    current.write.partitionBy("supplier_id").parquet(f"{sink.path}/listings")
+    sink.create(spark)
+    name = deliveries.stream_name(f"{folder}/state")
+
+    def apply(batch: DataFrame, number: int) -> None:
+        for _ in range(times):
+            sink.apply(batch, number, name)
+
+    for load in _loads(spark, sf_dir):
+        load.write.mode("append").parquet(f"{folder}/in")
+        arriving = streams.stream_listings(spark, f"{folder}/in", ", ".join(f"{n} {t}" for n, t in load.dtypes), files=10**6)
+        deliveries.stream_deliveries(arriving, sink, f"{folder}/state", "at", "1 day", apply=apply).awaitTermination()
+    return sink
+
+
+def whole_runs(spark, sf_dir):
+    """The listings after deliveries in pieces; failed and silent runs change nothing, vanished is judged run by run."""
+    return snapshots.shown(_delivered(spark, sf_dir).read(spark))
+
+
+def replayed_history(spark, sf_dir):
+    """Price history of the same deliveries, each batch applied twice: a second time appends nothing."""
+    prices = _delivered(spark, sf_dir, 2).read(spark, "prices")
+    return prices.groupBy("supplier_id", "source_product_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max_by("price", "observed_at").cast("double"), 2).alias("last"))
+
+
+# the runs that count, and the listings that each leaves
+RUNS_SQL = f"""{snapshots.SNAPSHOT_SQL}, one AS (SELECT * FROM inc WHERE verdict <> 'REJECTED' AND supplier_id % 10 NOT IN (3, 7)),
+two AS (SELECT supplier_id, p, CASE WHEN p % 4 = 0 THEN price + 5 ELSE price END AS price, stock_status, stock_qty FROM one WHERE supplier_id % 5 = 0 AND p % 3 <> 0)"""
+
 QUERIES = {
+    "st5_whole_runs": (
+        whole_runs,
+        f"""WITH {RUNS_SQL}, k AS (SELECT supplier_id, p FROM cur UNION SELECT supplier_id, p FROM one)
+            SELECT k.supplier_id, k.p AS source_product_id, round(coalesce(t.price, o.price, c.price)::DOUBLE, 2) AS price,
+              CASE WHEN k.supplier_id IN (SELECT supplier_id FROM one) AND (CASE WHEN k.supplier_id IN (SELECT supplier_id FROM two) THEN t.p ELSE o.p END) IS NULL THEN 'OUT_OF_STOCK'
+                   ELSE coalesce(t.stock_status, o.stock_status, c.stock_status) END AS stock_status,
+              coalesce(t.stock_qty, o.stock_qty, c.stock_qty) AS stock_qty,
+              k.supplier_id IN (SELECT supplier_id FROM one) AND (CASE WHEN k.supplier_id IN (SELECT supplier_id FROM two) THEN t.p ELSE o.p END) IS NULL AS gone
+            FROM k LEFT JOIN cur AS c USING (supplier_id, p) LEFT JOIN one AS o USING (supplier_id, p) LEFT JOIN two AS t USING (supplier_id, p)""",
+    ),
+    "st5_snk2_replayed_history": (
+        replayed_history,
+        f"""WITH {RUNS_SQL}, h AS (
+              SELECT o.supplier_id, o.p, o.price, 1 AS run FROM one AS o LEFT JOIN cur AS c USING (supplier_id, p) WHERE c.p IS NULL OR c.price <> o.price
+              UNION ALL SELECT t.supplier_id, t.p, t.price, 2 FROM two AS t JOIN one AS o USING (supplier_id, p) WHERE t.price <> o.price)
+            SELECT supplier_id, p AS source_product_id, count(*) AS n, round(max_by(price, run)::DOUBLE, 2) AS last FROM h GROUP BY ALL""",
+    ),
     "st1_stream_read": (read, "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1"),
     "st2_stream_dedup": (dedup, "SELECT DISTINCT user_id, event_type, props FROM events"),
     "st3_stream_changes": (
