@@ -122,6 +122,51 @@ def replayed_history(spark, sf_dir):
     return prices.groupBy("supplier_id", "source_product_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.max_by("price", "observed_at").cast("double"), 2).alias("last"))
 
 
+def _late(spark: SparkSession, sf_dir: str, counts) -> tuple[DataFrame, int]:
+    """(counts over all events, dropped rows) when the events come in four loads and some of them a load or more behind."""
+    folder, e = _folder(spark), table(spark, sf_dir, "events", "event_id", "ts", "user_id", "value")
+    e = e.withColumn("ts", F.col("ts").cast("timestamp"))
+    span = e.agg(F.min(F.unix_micros("ts")).alias("low"), F.max(F.unix_micros("ts")).alias("high")).first()
+    behind = F.when(F.col("event_id") % 17 == 0, 4).when(F.col("event_id") % 10 == 0, 1).otherwise(0)
+    quarter = F.expr(f"(unix_micros(ts) - {span.low}L) * 4 div {span.high - span.low + 1}L")
+    e = e.withColumn("load", F.least(F.lit(3).cast("long"), quarter + behind))
+    tick = spark.range(1).select(F.lit(-1).cast("long").alias("event_id"), F.timestamp_micros(F.lit(span.high + 10**6 * 86_400 * 30)).alias("ts"))
+    tick = tick.select(*tick.columns, F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("double").alias("value"))
+    ran = []
+    for load in (*(e.where(F.col("load") == k).drop("load") for k in range(4)), tick):
+        load.write.mode("append").parquet(f"{folder}/in")
+        arriving = streams.stream_listings(spark, f"{folder}/in", ", ".join(f"{n} {t}" for n, t in load.dtypes), files=10**6)
+        out = streams.counted(arriving, "ts", "6 hours", counts, F.col("event_id") < 0)
+        query = out.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+        ran.append(query)
+    return spark.read.schema(out.schema).parquet(f"{folder}/out"), streams.late_rows(ran)["late"]
+
+
+def late_windows(spark, sf_dir):
+    """Hourly counts of events that came in time, and in a row without an hour how many did not."""
+    out, late = _late(spark, sf_dir, lambda df: streams.changes_per_window(df, "ts", "1 hour"))
+    rows = out.select(F.col("window_start").cast("string").alias("window_start"), "n")
+    return rows.unionByName(spark.range(1).select(F.lit(None).cast("string").alias("window_start"), F.lit(late).cast("long").alias("n")))
+
+
+def late_sessions(spark, sf_dir):
+    """Each user's events that came in time for a session, and in a row without a user how many did not."""
+    out, late = _late(spark, sf_dir, lambda df: streams.sessions(df, "ts", "6 hours", "user_id"))
+    rows = out.groupBy("user_id").agg(F.sum("n").alias("n"))
+    return rows.unionByName(spark.range(1).select(F.lit(None).cast("long").alias("user_id"), F.lit(late).cast("long").alias("n")))
+
+
+def _late_sql(name: str, value: str, ends: str) -> str:
+    """A load's watermark is the newest event of the loads before, less the delay; what ends at or before it is late."""
+    return f"""WITH e AS (SELECT *, epoch_us(ts) AS us FROM events), s AS (SELECT min(us) AS low, max(us) AS high FROM e),
+      b AS (SELECT e.*, least(3, (us - low) * 4 // (high - low + 1) + CASE WHEN event_id % 17 = 0 THEN 4 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END) AS load FROM e, s),
+      m AS (SELECT load, max(us) AS top FROM b GROUP BY 1),
+      k AS (SELECT b.*, coalesce((SELECT max(top) FROM m WHERE m.load < b.load) // 1000 * 1000 - 6 * 3600000000, 0) AS mark FROM b),
+      f AS (SELECT {value} AS {name}, {ends} <= mark AS late FROM k)
+      SELECT {name}, count(*) AS n FROM f WHERE NOT late GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM f WHERE late"""
+
+
 # the runs that count, and the listings that each leaves
 RUNS_SQL = f"""{snapshots.SNAPSHOT_SQL}, one AS (SELECT * FROM inc WHERE verdict <> 'REJECTED' AND supplier_id % 10 NOT IN (3, 7)),
 two AS (SELECT supplier_id, p, CASE WHEN p % 4 = 0 THEN price + 5 ELSE price END AS price, stock_status, stock_qty FROM one WHERE supplier_id % 5 = 0 AND p % 3 <> 0)"""
@@ -144,6 +189,8 @@ QUERIES = {
               UNION ALL SELECT t.supplier_id, t.p, t.price, 2 FROM two AS t JOIN one AS o USING (supplier_id, p) WHERE t.price <> o.price)
             SELECT supplier_id, p AS source_product_id, count(*) AS n, round(max_by(price, run)::DOUBLE, 2) AS last FROM h GROUP BY ALL""",
     ),
+    "st6_late_windows": (late_windows, _late_sql("window_start", "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')", "us // 3600000000 * 3600000000 + 3600000000")),
+    "st6_late_sessions": (late_sessions, _late_sql("user_id", "user_id", "us + 6 * 3600000000")),
     "st1_stream_read": (read, "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1"),
     "st2_stream_dedup": (dedup, "SELECT DISTINCT user_id, event_type, props FROM events"),
     "st3_stream_changes": (

@@ -172,23 +172,27 @@ class Sink:
         if "applied" in done:
             return
         if "staged" not in done:
-            self.stage(batch, staged)
+            if not self.stage(batch, staged):
+                _delete(spark, staged)  # no run was released
+                return
             self._note(spark, stream, number, "staged")
         self.publish(spark, staged, stream, number)
         self._note(spark, stream, number, "applied")
         _delete(spark, staged)
 
-    def stage(self, batch: DataFrame, staged: str) -> None:
-        """What the batch's runs make of the table, run after run of a supplier, beside the table."""
+    def stage(self, batch: DataFrame, staged: str) -> bool:
+        """What the batch's runs make of the table, run after run of a supplier, beside the table; False if it has no run."""
         spark = batch.sparkSession
         batch.write.mode("overwrite").parquet(f"{staged}/rows")
         rows = spark.read.schema(batch.schema).parquet(f"{staged}/rows")
+        if rows.isEmpty():
+            return False
         runs = rows.groupBy(SUPPLIER, "run_id").agg(F.max("ended").alias("ended"))
         runs = runs.withColumn("turn", F.row_number().over(Window.partitionBy(SUPPLIER).orderBy("ended", "run_id")))
         runs.write.mode("overwrite").parquet(f"{staged}/runs")
         runs = spark.read.parquet(f"{staged}/runs")
-        before = self._of(spark, runs)
         turns = runs.agg(F.max("turn")).first()[0] or 0
+        before = self._of(spark, runs)
         for turn in range(1, turns + 1):
             now = F.broadcast(runs.where(F.col("turn") == turn).select(SUPPLIER, "run_id", F.col("ended").alias("_ended")))  # a row for each supplier
             incoming = rows.join(now, [SUPPLIER, "run_id"]).drop("run_id", "ended", "_ended")
@@ -199,6 +203,7 @@ class Sink:
             after = upsert_listings(before.join(when, SUPPLIER, "left"), incoming, F.col("_ended")).drop("_ended")
             after.write.mode("overwrite").parquet(f"{staged}/listings/turn={turn}")
             before = spark.read.schema(self.schema).parquet(f"{staged}/listings/turn={turn}")
+        return True
 
     def _of(self, spark: SparkSession, runs: DataFrame) -> DataFrame:
         """The listings of the suppliers in ``runs``, their partitions alone."""
@@ -210,9 +215,7 @@ class Sink:
 
     def publish(self, spark: SparkSession, staged: str, stream: str, number: int) -> None:
         """Put the staged rows in their places; what is there already is replaced by the same."""
-        turns = spark.read.parquet(f"{staged}/runs").agg(F.max("turn")).first()[0] or 0
-        if not turns:
-            return
+        turns = spark.read.parquet(f"{staged}/runs").agg(F.max("turn")).first()[0]
         self._replace(spark.read.schema(self.schema).parquet(f"{staged}/listings/turn={turns}"), "listings")
         for name in ("prices", "stocks"):
             rows = spark.read.parquet(*(f"{staged}/{name}/turn={t}" for t in range(1, turns + 1)))

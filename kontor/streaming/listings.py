@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -111,6 +111,37 @@ def changes_per_window(df: DataFrame, at: str, width: str, slide: str | None = N
     return out.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), *by, "n", "total")
 
 
+#: Names of the counts that a stream carries through ``counted``.
+ARRIVED, KEPT = "arrived", "kept"
+
+
+def counted(df: DataFrame, at: str, delay: str, counts: Callable[[DataFrame], DataFrame], tick: Column | None = None) -> DataFrame:
+    """``counts`` (windows or sessions with a column ``n``) of a stream, with what arrived and what was kept observed on the way.
+
+    Spark drops rows whose window has closed and its metric counts groups, not rows; the two observations tell the rows
+    (``late_rows``).  ``tick`` names rows that only move the watermark; they are not counted.
+    """
+    df = df.withWatermark(at, delay)
+    if tick is not None:
+        df = df.where(F.when(~tick, F.col(at)).isNotNull())  # it reads the event time, so it stays above the watermark
+    return counts(df.observe(ARRIVED, F.count(F.lit(1)).alias("n"))).observe(KEPT, F.sum("n").alias("n"))
+
+
+def late_rows(queries: Iterable[StreamingQuery]) -> dict[str, int]:
+    """arrived, kept and late rows of the runs of one stream; rows of windows that are still open are among the late ones
+    until these close, so ask when a stream has ended or take the difference between two watermarks."""
+    total = {ARRIVED: 0, KEPT: 0}
+    for query in queries:
+        progress = query.recentProgress
+        if progress and progress[-1].batchId - progress[0].batchId + 1 > len({p.batchId for p in progress}):
+            raise ValueError("progress of some batches is no longer held; raise spark.sql.streaming.numRecentProgressUpdates")
+        for p in progress:
+            for name in total:
+                row = p.observedMetrics.get(name)
+                total[name] += (row.n or 0) if row is not None else 0
+    return total | {"late": total[ARRIVED] - total[KEPT]}
+
+
 def sessions(df: DataFrame, at: str, gap: str, by: str, delay: str | None = None) -> DataFrame:
     """Bursts of events of one key with no gap as long as ``gap``."""
     df = df.withWatermark(at, delay) if delay else df

@@ -89,15 +89,15 @@ def released(spark, runs):
     return spark.createDataFrame(rows, f"supplier_id int, run_id int, ended timestamp, {LISTING}")
 
 
-@pytest.fixture
+@pytest.fixture(scope="module")
 def batches(spark):
     third = [row(1, 3, 8, "c", 31), row(1, 3, 8, "a", 11)]
     return [released(spark, [(FIRST, 3)]), released(spark, [(SECOND[:2], 6), (third, 9)])]
 
 
-@pytest.fixture
-def want(spark, batches, tmp_path):
-    sink = d.Sink(f"{tmp_path}/want", TABLE)
+@pytest.fixture(scope="module")
+def want(spark, batches, tmp_path_factory):
+    sink = d.Sink(str(tmp_path_factory.mktemp("want")), TABLE)
     sink.create(spark)
     for number, batch in enumerate(batches):
         sink.apply(batch, number, "s")
@@ -130,8 +130,9 @@ def test_a_crash_anywhere_is_made_good(spark, batches, want, where, monkeypatch,
         note(self, spark, stream, number, step)
 
     def staging(self, batch, staged):
-        stage(self, batch, staged)
+        whole = stage(self, batch, staged)
         once("staging", int(staged[-1]))
+        return whole
 
     for name, f in (("_replace", replacing), ("_note", noting), ("stage", staging)):
         monkeypatch.setattr(d.Sink, name, f)
