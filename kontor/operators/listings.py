@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule, reasons
+from .ordered import previous_value
 
 KEY = ("supplier_id", "source_product_id")
 
@@ -95,10 +96,17 @@ def history_rows(diff: DataFrame, at: Column, key: tuple[str, ...] = KEY) -> tup
     return prices, stocks
 
 
-def price_moves(history: DataFrame, key: str, at: list[str], price: str) -> DataFrame:
-    """Rows of a history at which the price differs from the one before."""
-    before = F.lag(price).over(Window.partitionBy(key).orderBy(*at))
-    return history.withColumn("previous", before).where(~F.col(price).eqNullSafe(F.col("previous")) & F.col("previous").isNotNull())
+def price_moves(history: DataFrame, key: str, at: list[str], price: str, spread: bool = False) -> DataFrame:
+    """Rows of a history at which the price differs from the one before.
+
+    A window sorts a key in one task.  ``spread`` deals the rows by ranges of key and time instead, for histories in which
+    a key may hold a large share of all rows; ``at`` must then tell a key's rows apart.
+    """
+    if spread:
+        rows = previous_value(history, [key], at, price, "previous")
+    else:
+        rows = history.withColumn("previous", F.lag(price).over(Window.partitionBy(key).orderBy(*at)))
+    return rows.where(~F.col(price).eqNullSafe(F.col("previous")) & F.col("previous").isNotNull())
 
 
 def recent_history(history: DataFrame, key: str, order: list[Column], n: int = 20) -> DataFrame:

@@ -9,6 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, PERCENT, RATE, WIDE, dec, percent, to_sale, total
+from .ordered import as_of_join
+
+#: Rules that go to every task as one array; more are joined (``bands.band_join``, ``ordered.as_of_join``).
+FEW = 1000
 
 # Scenario, adverse exchange rate %, dearer shipping %, factor of the return reserve.
 SCENARIOS = (("OPTIMISTIC", "0", "0", "0.5"), ("BASE", "0", "0", "1"), ("PESSIMISTIC", "5", "15", "2"))
@@ -125,8 +129,8 @@ def in_band(value: Column, low: Column, high: Column) -> Column:
 def best_band(facts: DataFrame, bands: DataFrame, matches: Callable[[Column], Column], order: list[Column]) -> DataFrame:
     """Adds the columns of the first band in ``order`` (ascending) that ``matches``; facts without one stay, with nulls.
 
-    ``bands`` is a rule table of tens of rows: sorted into one array it goes to every task, and each fact takes its
-    first match there, so facts are neither multiplied nor shuffled.
+    ``bands`` is a rule table of ``FEW`` rows at most (callers count it): sorted into one array it goes to every task, and
+    each fact takes its first match there, so facts are neither multiplied nor shuffled.
     """
     ranked = bands.select(F.struct(*(o.alias(f"k{i}") for i, o in enumerate(order))).alias("rank"), F.struct(*bands.columns).alias("band"))
     table = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "band"))), lambda x: x["band"]).alias("_bands"))  # one row
@@ -137,6 +141,8 @@ def best_band(facts: DataFrame, bands: DataFrame, matches: Callable[[Column], Co
 def profile_as_of(facts: DataFrame, profiles: DataFrame, at: str) -> DataFrame:
     """The active profile with the latest ``effective_from`` that is not after ``at``."""
     active = profiles.where("is_active")
+    if active.limit(FEW + 1).count() > FEW:
+        return as_of_join(facts, active, [], at, "effective_from", [F.col("profile_id")])
     return best_band(facts, active, lambda p: p["effective_from"] <= F.col(at), [-F.unix_micros("effective_from"), F.col("profile_id")])
 
 

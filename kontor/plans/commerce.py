@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import money
 from ..operators import market, profit, sourcing
+from ..operators.bands import band_join
+from ..operators.ordered import as_of_join
 from .stand_ins import COSTED_SQL, OFFERS_SQL, PROFIT_SQL, SALE_SQL, offers, sale_offers, table
 
 
@@ -83,15 +85,28 @@ def shipping_band(spark, sf_dir):
     bands = spark.createDataFrame(rows, "band_id int, region int, low int, high int, cost int")
     c = table(spark, sf_dir, "customer", "c_custkey", "c_nationkey").join(F.broadcast(table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")), F.col("c_nationkey") == F.col("n_nationkey"))
     facts = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").join(c, F.col("o_custkey") == F.col("c_custkey"))
-    match = lambda b: (b["region"].isNull() | (b["region"] == F.col("n_regionkey"))) & profit.in_band(F.col("o_totalprice"), b["low"], b["high"])
-    return profit.best_band(facts, bands, match, [F.col("region").isNull(), F.col("region"), F.col("band_id")]).select("o_orderkey", "band_id", "cost")
+    order = [F.col("region").isNull(), F.col("region"), F.col("band_id")]
+    return band_join(facts, bands, ["o_orderkey"], "o_totalprice", "low", "high", {"n_regionkey": "region"}, order).select("o_orderkey", "band_id", "cost")
+
+
+def many_bands(spark, sf_dir):
+    """Each order's most specific rule of as many as there are lines: of its priority before any, narrow before wide; every 50th has no end."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    low = F.round(F.col("l_extendedprice") * 3).cast("long")
+    bands = lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("band_id"), F.nullif(F.col("l_orderkey") % 7, F.lit(6)).alias("p"), low.alias("low"),
+        F.when(F.col("l_orderkey") % 50 == 0, None).when(F.col("l_orderkey") % 50 == 1, low + 20_000).otherwise(low + F.col("l_quantity").cast("long")).alias("high"),
+    )
+    facts = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").withColumn("own", F.col("o_custkey") % 6)
+    order = [F.col("p").isNull(), F.coalesce(F.col("high") - F.col("low"), F.lit(2**40)), F.col("band_id")]
+    return band_join(facts, bands, ["o_orderkey"], "o_totalprice", "low", "high", {"own": "p"}, order).select("o_orderkey", "band_id")
 
 
 def customs_band(spark, sf_dir):
     rows = [(0, 50000, 0), (50000, 150000, 5), (150000, None, 10)]
     bands = spark.createDataFrame(rows, "low int, high int, rate int")
     facts = table(spark, sf_dir, "orders", "o_orderkey", "o_totalprice")
-    return profit.best_band(facts, bands, lambda b: profit.in_band(F.col("o_totalprice"), b["low"], b["high"]), [F.col("low")]).select("o_orderkey", "rate")
+    return band_join(facts, bands, ["o_orderkey"], "o_totalprice", "low", "high", order=[F.col("low")]).select("o_orderkey", "rate")
 
 
 def cost_profile(spark, sf_dir):
@@ -102,6 +117,17 @@ def cost_profile(spark, sf_dir):
     return profit.profile_as_of(facts, profiles, "o_orderdate").select("o_orderkey", "profile_id", "fee")
 
 
+def supplier_profiles(spark, sf_dir):
+    """The profile of its supplier in force when each line was shipped; orders are the profiles, of the supplier of their first line."""
+    lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice")
+    first = lines.where("l_linenumber = 1").select("l_orderkey", F.col("l_suppkey").alias("supplier"))
+    o = table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate", "o_orderstatus").where("o_orderstatus <> 'P'")
+    profiles = o.join(first, F.col("o_orderkey") == F.col("l_orderkey")).select("supplier", F.col("o_orderkey").alias("profile_id"), F.col("o_orderdate").alias("effective_from"))
+    facts = lines.withColumnRenamed("l_suppkey", "supplier")
+    found = as_of_join(facts, profiles, ["supplier"], "l_shipdate", "effective_from", [F.col("profile_id")])
+    return found.select("l_orderkey", "l_linenumber", "l_extendedprice", "supplier", "profile_id")
+
+
 def _asks(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem", "l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
     currency = F.when(F.col("l_returnflag") == "N", "USD").when(F.col("l_returnflag") == "R", "EUR")
@@ -209,10 +235,24 @@ QUERIES = {
              LEFT JOIN b ON (region IS NULL OR region = n_regionkey) AND o_totalprice >= low AND (high IS NULL OR o_totalprice < high))
            SELECT o_orderkey, band_id, cost FROM m WHERE n = 1""",
     ),
+    "j14_j15_many_bands": (
+        many_bands,
+        """WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS band_id, nullif(l_orderkey % 7, 6) AS p, CAST(round(l_extendedprice * 3) AS BIGINT) AS low,
+             CASE WHEN l_orderkey % 50 = 0 THEN NULL WHEN l_orderkey % 50 = 1 THEN low + 20000 ELSE low + CAST(l_quantity AS BIGINT) END AS high FROM lineitem),
+           m AS (SELECT o_orderkey, band_id, p, high, low FROM orders JOIN b ON o_totalprice >= low AND o_totalprice < coalesce(high, 1e18) WHERE p IS NULL OR p = o_custkey % 6)
+           SELECT o_orderkey, best.band_id FROM orders LEFT JOIN (
+             SELECT o_orderkey, band_id FROM m QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY p IS NULL, coalesce(high - low, 1099511627776), band_id) = 1) AS best USING (o_orderkey)""",
+    ),
     "j15_customs_band": (
         customs_band,
         "SELECT o_orderkey, CASE WHEN o_totalprice < 50000 THEN 0 WHEN o_totalprice < 150000 THEN 5 ELSE 10 END AS rate FROM orders",
     ),
+    "j16_supplier_profiles": (
+        supplier_profiles,
+        """WITH f AS (SELECT l_orderkey, l_suppkey AS supplier FROM lineitem WHERE l_linenumber = 1),
+           p AS (SELECT supplier, o_orderdate AS since, min(o_orderkey) AS profile_id FROM orders JOIN f ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'P' GROUP BY 1, 2)
+           SELECT l_orderkey, l_linenumber, l_extendedprice, l_suppkey AS supplier, profile_id FROM lineitem ASOF LEFT JOIN p ON l_suppkey = supplier AND l_shipdate >= since""",
+    ),
     "j16_cost_profile": (
         cost_profile,
         """SELECT o_orderkey, CASE WHEN o_orderdate >= '1999-03-01' THEN 4 WHEN o_orderdate >= '1996-06-01' THEN 2 WHEN o_orderdate >= '1990-01-01' THEN 1 END AS profile_id,

@@ -67,6 +67,14 @@ def price_moves(spark, sf_dir):
     return moved.groupBy("l_partkey").agg(F.count(F.lit(1)).alias("n_moves"), (F.round(F.sum(F.col("l_discount") - F.col("previous")), 4) + 0.0).alias("net"))
 
 
+def hot_price_moves(spark, sf_dir):
+    """Changes of the discount along all lines of even parts as one key, and of each other part."""
+    h = table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice", "l_discount")
+    h = h.withColumn("key", F.when(F.col("l_partkey") % 2 == 0, 0).otherwise(F.col("l_partkey")))
+    moved = ops.price_moves(h, "key", ["l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice"], "l_discount", spread=True)
+    return moved.groupBy("key").agg(F.count(F.lit(1)).alias("n_moves"), (F.round(F.sum(F.abs(F.col("l_discount") - F.col("previous"))), 4)).alias("moved"))
+
+
 def recent_history(spark, sf_dir):
     h = table(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")
     order = [F.desc(c) for c in ("l_shipdate", "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice")]
@@ -171,6 +179,12 @@ QUERIES = {
         """WITH h AS (SELECT l_partkey, l_discount, lag(l_discount) OVER (PARTITION BY l_partkey ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS previous FROM lineitem)
            SELECT l_partkey, count(*) AS n_moves, round(sum(l_discount - previous), 4) + 0.0::DOUBLE AS net FROM h WHERE l_discount <> previous GROUP BY 1""",
     ),
+    "w5_hot_price_moves": (
+        hot_price_moves,
+        """WITH h AS (SELECT CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE l_partkey END AS key, l_discount,
+             lag(l_discount) OVER (PARTITION BY CASE WHEN l_partkey % 2 = 0 THEN 0 ELSE l_partkey END ORDER BY l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice) AS previous FROM lineitem)
+           SELECT key, count(*) AS n_moves, round(sum(abs(l_discount - previous)), 4) AS moved FROM h WHERE l_discount <> previous GROUP BY 1""",
+    ),
     "w4_recent_history": (
         recent_history,
         """SELECT l_partkey, l_orderkey, l_linenumber, n AS recency FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_suppkey DESC, l_extendedprice DESC) AS n FROM lineitem) WHERE n <= 20""",
