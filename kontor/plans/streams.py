@@ -7,10 +7,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import adapter
 from ..sources.checkpoints import shared_folder
 from ..streaming import deliveries
 from ..streaming import listings as streams
-from . import snapshots
+from . import snapshots, texts
 from .stand_ins import delivered, hashed, listing_rows, table
 
 
@@ -167,6 +168,20 @@ def _late_sql(name: str, value: str, ends: str) -> str:
       SELECT {name}, count(*) AS n FROM f WHERE NOT late GROUP BY 1 UNION ALL SELECT NULL, count(*) FROM f WHERE late"""
 
 
+def stream_pages(spark, sf_dir):
+    """Cards of each supplier when its pages are read as a stream, in two loads."""
+    adapter.register(spark)
+    first, folder = texts.saved_pages(spark, sf_dir), _folder(spark)
+    pages = spark.read.schema("page_id long, url string, html string, supplier string").parquet(first)
+    for k in range(2):
+        pages.where(F.col("page_id") % 2 == k).write.mode("append").partitionBy("supplier").parquet(f"{folder}/in")
+        arriving = texts.adapter_rows(spark.readStream.format(adapter.NAME).options(**texts.adapter_options(f"{folder}/in")).load())
+        query = arriving.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+    out = spark.read.schema(arriving.schema).parquet(f"{folder}/out")
+    return out.groupBy("supplier").agg(F.count(F.lit(1)).alias("n"), F.count("source_id").alias("n_ids"), F.count_if(F.col("missing") != "").alias("n_missing"))
+
+
 # the runs that count, and the listings that each leaves
 RUNS_SQL = f"""{snapshots.SNAPSHOT_SQL}, one AS (SELECT * FROM inc WHERE verdict <> 'REJECTED' AND supplier_id % 10 NOT IN (3, 7)),
 two AS (SELECT supplier_id, p, CASE WHEN p % 4 = 0 THEN price + 5 ELSE price END AS price, stock_status, stock_qty FROM one WHERE supplier_id % 5 = 0 AND p % 3 <> 0)"""
@@ -191,6 +206,10 @@ QUERIES = {
     ),
     "st6_late_windows": (late_windows, _late_sql("window_start", "strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S')", "us // 3600000000 * 3600000000 + 3600000000")),
     "st6_late_sessions": (late_sessions, _late_sql("user_id", "user_id", "us + 6 * 3600000000")),
+    "st1_stream_pages": (
+        stream_pages,
+        f"WITH {texts.ADAPTER_SQL} SELECT supplier, count(*) AS n, count(source_id) AS n_ids, count(*) FILTER (missing <> '') AS n_missing FROM both_ GROUP BY 1",
+    ),
     "st1_stream_read": (read, "SELECT event_type, count(*) AS n, max(event_id) AS last_id FROM events GROUP BY 1"),
     "st2_stream_dedup": (dedup, "SELECT DISTINCT user_id, event_type, props FROM events"),
     "st3_stream_changes": (

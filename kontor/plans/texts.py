@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import rules, text, urls
 from ..operators import attributes, audit, images
+from ..sources import adapter
 from ..sources import pages as src
+from ..sources.checkpoints import shared_folder
 from .stand_ins import table
 
 
@@ -124,6 +130,55 @@ def _shop(spark, sf_dir):
     return p.select("page_id", F.concat(F.lit("https://shop.example.com/c?page="), "page_id").alias("url"), F.concat(F.lit("<main>"), "lines", F.lit("</main>")).alias("html"))
 
 
+#: Two suppliers as configuration: entries of lists, and the shop's cards, of which sku is asked for before the path.
+SUPPLIERS = [
+    {"supplier": "lists", "card": {"tag": "li"}, "fields": {"name": {"tag": "a"}, "link": {"tag": "a", "attribute": "href"}}, "ids": [["query", "id"], ["path", "/([a-z0-9]+)$"]]},
+    {
+        "supplier": "shop/parts", "card": {"css": "main > div.item"}, "ids": [["field", "sku"], ["path", "/p/([0-9]+)"]],
+        "fields": {
+            "name": {"css": "p > a"}, "link": {"tag": "a", "attribute": "href"}, "sku": {"css": "div.c1 a[href]", "attribute": "data-id"},
+            "thousands": {"tag": "b", "cls": "price", "regex": "¥([0-9]{2,}),", "required": True},
+        },
+    },
+]
+
+
+def saved_pages(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the pages of both suppliers."""
+    folder = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    lists = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("supplier", F.lit("lists"))
+    shop = _shop(spark, sf_dir).withColumn("supplier", F.lit("shop/parts"))
+    lists.unionByName(shop).write.partitionBy("supplier").parquet(folder)
+    return folder
+
+
+def adapter_options(folder: str) -> dict[str, str]:
+    return {"path": folder, "suppliers": json.dumps(SUPPLIERS)}
+
+
+def adapter_rows(df: DataFrame) -> DataFrame:
+    name, short = F.element_at("fields", "name"), F.array_join("missing_required", ",")
+    return df.select("supplier", "page_id", "position", "source_id", name.alias("name"), short.alias("missing"))
+
+
+def supplier_pages(spark, sf_dir):
+    """The cards of both suppliers through the data source."""
+    adapter.register(spark)
+    return adapter_rows(spark.read.format(adapter.NAME).options(**adapter_options(saved_pages(spark, sf_dir))).load())
+
+
+ADAPTER_SQL = r"""
+lists AS (SELECT page_id, unnest(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')) AS item, unnest(range(len(regexp_extract_all(html, '<li><a href="[^"]*">[^<]*</a></li>')))) AS position FROM pages),
+both_ AS (
+  SELECT 'lists' AS supplier, page_id, CAST(position AS INTEGER) AS position,
+    coalesce(nullif(regexp_extract(item, '[?&]id=([^&"#]+)', 1), ''), nullif(regexp_extract(regexp_extract(item, 'href="([^"?#]*)', 1), '/([a-z0-9]+)$', 1), '')) AS source_id,
+    nullif(trim(regexp_replace(regexp_extract(item, '>([^<]*)</a>', 1), '\s+', ' ', 'g')), '') AS name, '' AS missing FROM lists
+  UNION ALL
+  SELECT 'shop/parts', p_partkey // 40, CAST(row_number() OVER (PARTITION BY p_partkey // 40 ORDER BY p_partkey) - 1 AS INTEGER), CAST(p_partkey AS VARCHAR), p_name,
+    CASE WHEN p_size < 10 THEN 'thousands' ELSE '' END FROM part)
+"""
+
+
 def card_classes(spark, sf_dir):
     return src.discover_card_classes(_shop(spark, sf_dir)).select("page_id", "class", "n", "rank")
 
@@ -315,6 +370,7 @@ QUERIES = {
         "SELECT p_partkey::VARCHAR AS source_id, trim(p_name) AS name, CASE WHEN p_size >= 10 THEN p_size::VARCHAR END AS thousands, CASE WHEN p_size >= 10 THEN '' ELSE 'thousands' END AS missing FROM part",
     ),
     "t11_json_ld_ids": (json_ld_ids, "SELECT p_partkey::VARCHAR AS source_id FROM part WHERE p_partkey % 3 <> 2"),
+    "src2_supplier_pages": (supplier_pages, f"WITH {ADAPTER_SQL} SELECT * FROM both_"),
     "src3_json_ld": (json_ld, "SELECT page_id, len(regexp_extract_all(html, 'application/ld\\+json')) AS n_blocks FROM pages"),
     "a12_page_structure": (
         page_structure,

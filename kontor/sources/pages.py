@@ -136,6 +136,15 @@ def _read(row: list, s: Selector) -> str | None:
     return found[1] if found else None
 
 
+def found_cards(html: str | None, card: list, fields: list[tuple[str, Selector, list]]) -> Iterator[tuple[list[str | None], list[str]]]:
+    """(values of the fields, names of the required ones that it lacks) of each card of a page."""
+    rows = _Tree(html or "").rows
+    for i in range(len(rows)):
+        if _fits(rows, i, card):
+            values = [next((v for j in range(i, rows[i][5]) if _fits(rows, j, steps, i - 1) and (v := _read(rows[j], s))), None) for _, s, steps in fields]
+            yield values, [n for (n, s, _), v in zip(fields, values, strict=True) if s.required and v is None]
+
+
 def extract_listing_cards(pages: DataFrame, config: CardConfig) -> DataFrame:
     """One row per card of each page (page_id, url, html): page_id, position, the configured fields, the required ones that it lacks, price as a decimal."""
     names = list(config.fields)
@@ -145,12 +154,7 @@ def extract_listing_cards(pages: DataFrame, config: CardConfig) -> DataFrame:
         for frame in frames:
             out = []
             for page, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
-                rows = _Tree(html or "").rows
-                cards = [i for i in range(len(rows)) if _fits(rows, i, card)]
-                for position, i in enumerate(cards):
-                    found = [next((v for j in range(i, rows[i][5]) if _fits(rows, j, steps, i - 1) and (v := _read(rows[j], s))), None) for _, s, steps in fields]
-                    lacks = [n for (n, s, _), v in zip(fields, found, strict=True) if s.required and v is None]
-                    out.append([page, url, position, *found, lacks])
+                out += [[page, url, position, *values, lacks] for position, (values, lacks) in enumerate(found_cards(html, card, fields))]
             yield pd.DataFrame(out, columns=["page_id", "url", "position", *names, "missing_required"])
 
     schema = "page_id long, url string, position int, " + ", ".join(f"{n} string" for n in names) + ", missing_required array<string>"
