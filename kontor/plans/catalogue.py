@@ -73,6 +73,13 @@ def _scored(spark, sf_dir):
     return matching.score_pairs(matching.candidate_pairs(*identities(spark, sf_dir))[0])
 
 
+def similar_candidates(spark, sf_dir):
+    """Candidates, by similar names, of listings whose number is unknown."""
+    pairs = matching.similar_pairs(*identities(spark, sf_dir), 0.75)
+    scored = matching.score_pairs(pairs)
+    return scored.select(F.col("a_listing_id").alias("listing_id"), F.col("b_product_id").alias("product_id"), F.round("score", 6).alias("score"), F.array_join("blockers", ",").alias("blockers"))
+
+
 def score_pairs(spark, sf_dir):
     return _scored(spark, sf_dir).select(F.col("a_listing_id").alias("listing_id"), F.col("b_product_id").alias("product_id"), F.round("score", 6).alias("score"), "decision", F.array_join("blockers", ",").alias("blockers"))
 
@@ -281,6 +288,17 @@ QUERIES = {
         f"WITH {IMPORT_SQL} SELECT (SELECT count(*) FROM l) AS valid, (SELECT count(*) FROM added) AS inserted, (SELECT count(*) FROM part WHERE p_partkey % 9 = 0) AS rejected, (SELECT count(*) FROM l) - (SELECT count(*) FROM added) AS duplicates",
     ),
     "j10_candidate_pairs": (candidate_pairs, f"WITH {IDENTITY_SQL} SELECT listing_id, count(*) AS n_candidates FROM pairs GROUP BY 1"),
+    "j10_similar_candidates": (
+        similar_candidates,
+        """WITH i AS (SELECT p_partkey AS id, replace(lower(p_name), ' ', '') AS x, CASE WHEN p_partkey % 17 <> 0 THEN p_size % 12 END AS num, CASE WHEN p_partkey % 5 <> 0 THEN upper(p_type[1:3]) END AS sc,
+             CASE WHEN p_partkey % 3 <> 0 THEN p_size % 2 END AS rar, p_size % 3 AS yr, p_brand AS co FROM part),
+           m AS (SELECT a.id AS listing_id, b.id AS product_id, 1 - levenshtein(a.x, b.x)::DOUBLE / greatest(length(a.x), length(b.x)) AS s, a.sc = b.sc AS same_set, a.rar = b.rar AS same_rar, a.yr = b.yr AS same_yr
+             FROM i AS a JOIN i AS b ON a.co = b.co AND a.id % 2 = 0 AND b.id % 2 = 1 AND a.num IS NULL)
+           SELECT listing_id, product_id, round((CASE WHEN same_set THEN 0.25 ELSE 0 END + 0.25 * s + CASE WHEN same_rar THEN 0.1 ELSE 0 END + CASE WHEN same_yr THEN 0.05 ELSE 0 END)
+               / (0.3 + CASE WHEN same_set IS NOT NULL THEN 0.25 ELSE 0 END + CASE WHEN same_rar IS NOT NULL THEN 0.1 ELSE 0 END), 6) AS score,
+             array_to_string(list_filter([CASE WHEN NOT same_set THEN 'set_code' END, CASE WHEN NOT same_yr THEN 'release_year' END], lambda z: z IS NOT NULL), ',') AS blockers
+           FROM m WHERE s >= 0.75 - 1e-9""",
+    ),
     "b1_b2_b3_score_pairs": (
         score_pairs,
         f"""WITH {IDENTITY_SQL} SELECT listing_id, product_id, round(score, 6) AS score, decision,
