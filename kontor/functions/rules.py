@@ -6,9 +6,11 @@ rules becomes one projection, so rules cost no join and no Python per row.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,9 +31,10 @@ def reasons(rules: list[Rule]) -> Column:
 
 
 def valid(pattern: str) -> bool:
+    """Whether Spark's pattern language, in which it will run, knows the pattern."""
     try:
-        re.compile(pattern)
-    except re.error:
+        SparkContext._active_spark_context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, PySparkException):
         return False
     return True
 

@@ -28,22 +28,44 @@ def without_dots(path: Column) -> Column:
     return F.when(path == "", path).otherwise(F.concat(F.lit("/"), F.array_join(left, "/"), F.when(end, "/").otherwise("")))
 
 
-def canonical(url: Column, force_host: str | None = None, keep: tuple[str, ...] = ()) -> Column:
-    """https, lower host, no port or fragment, no tracking parameters, parameters in order of their names, no dot segments, single slashes, none at the end."""
-    host = F.lit(force_host.lower()) if force_host else F.lower(part(url, 3))
-    path = F.regexp_replace(without_dots(part(url, 5)), "/{2,}", "/")
-    path = F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/$", ""))
-    kept = F.filter(
-        F.split(part(url, 6), "&"),
-        lambda p: (p != "") & (~F.split_part(p, F.lit("="), F.lit(1)).rlike(TRACKING) | F.lower(F.split_part(p, F.lit("="), F.lit(1))).isin(*keep)),
+#: Characters that a path holds only percent-encoded; what is encoded already stays as it is.
+UNSAFE = r"[\x00-\x20\x22\x3C\x3E\x60\x7B\x7D\x7F]|[^\x00-\x7F]"
+
+
+def encoded_path(path: Column) -> Column:
+    each = F.transform(
+        F.regexp_extract_all(path, F.lit("(?s)(.)"), F.lit(1)),
+        lambda c: F.when(c.rlike(UNSAFE), F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))).otherwise(c),
     )
+    return F.when(path.rlike(UNSAFE), F.array_join(each, "")).otherwise(path)
+
+
+def decoded(word: Column) -> Column:
+    """A name or value of a query as text: ``+`` is a blank; a stray percent sign stays."""
+    stray = F.regexp_replace(word, "%(?![0-9A-Fa-f]{2})", "%25")
+    return F.try_url_decode(stray)
+
+
+def canonical(url: Column, force_host: str | None = None, keep: tuple[str, ...] = (), keep_slash: bool = False) -> Column:
+    """One spelling for each page: https, lower host, no port or fragment, no tracking parameters, parameters in order of
+    their names, one percent-encoding, no dot segments, single slashes, none at the end unless ``keep_slash``."""
+    host = F.lit(force_host.lower()) if force_host else F.lower(part(url, 3))
+    path = F.regexp_replace(encoded_path(without_dots(part(url, 5))), "/{2,}", "/")
+    path = F.when(path.isin("", "/"), F.lit("/")).otherwise(path if keep_slash else F.regexp_replace(path, "/$", ""))
+    pairs = F.transform(
+        F.filter(F.split(part(url, 6), "&"), lambda p: p != ""),
+        lambda p, i: F.struct(
+            decoded(F.split_part(p, F.lit("="), F.lit(1))).alias("name"),
+            decoded(F.when(p.contains("="), F.substring(p, F.locate("=", p) + 1, F.length(p))).otherwise("")).alias("value"), i.alias("i"),
+        ),
+    )
+    kept = F.filter(pairs, lambda p: ~p["name"].rlike(TRACKING) | F.lower(p["name"]).isin(*(k.lower() for k in keep)))
     # by name without regard to case, small letters before capitals, else in the given order
-    name = lambda p: F.split_part(p, F.lit("="), F.lit(1))
     placed = F.transform(
         kept,
-        lambda p, i: F.struct(
-            F.lower(name(p)).alias("k"), F.translate(name(p), LETTERS + LETTERS.lower(), LETTERS.lower() + LETTERS).alias("c"), i.alias("i"),
-            F.when(p.contains("="), p).otherwise(F.concat(p, F.lit("="))).alias("p"),
+        lambda p: F.struct(
+            F.lower(p["name"]).alias("k"), F.translate(p["name"], LETTERS + LETTERS.lower(), LETTERS.lower() + LETTERS).alias("c"), p["i"].alias("i"),
+            F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"])).alias("p"),
         ),
     )
     query = F.array_join(F.transform(F.array_sort(placed), lambda s: s["p"]), "&")

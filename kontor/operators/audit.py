@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.rules import Rule, reasons
 from ..functions.text import BEGIN, END
-from ..sources.checkpoints import settled
 
 # Numbers that prove nothing, fields whose text is invented by design, what looks like a year.
 HARMLESS = tuple(str(n) for n in range(11)) + ("100",)
@@ -23,36 +27,45 @@ def numbers(c: Column) -> Column:
     return F.array_except(F.regexp_extract_all(c, F.lit("([0-9]+)"), F.lit(1)), F.array(*map(F.lit, HARMLESS)))
 
 
-#: Levels of a document between checkpoints.
-STEP = 4
-
-
-def leaves(df: DataFrame, keep: list[str], json: str = "output") -> DataFrame:
-    """One row per scalar of a JSON document, however deeply nested: path and value."""
-    level = df.select(*keep, F.lit("").alias("path"), F.try_parse_json(F.col(json).cast("string")).alias("v"))
-    out, depth = None, 0
-    while True:
-        level = level.withColumn("kind", F.schema_of_variant("v"))
-        flat = level.where("kind not rlike '^(OBJECT|ARRAY)'").select(*keep, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        out = flat if out is None else out.unionByName(flat)
-        nested = level.where("kind rlike '^(OBJECT|ARRAY)'")
-        if nested.isEmpty():
-            return out.where("value is not null")
-        parts = df.sparkSession.tvf.variant_explode(F.col("v").outer())
-        below = nested.lateralJoin(parts.select("pos", "key", F.col("value").alias("below")))
-        path = (
-            F.when(F.col("key").isNull(), F.concat("path", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-            .when(F.col("path") == "", F.col("key"))
-            .otherwise(F.concat("path", F.lit("."), "key"))
-        )
-        level = below.select(*keep, path.alias("path"), F.col("below").alias("v"))
-        depth += 1
-        if depth % STEP == 0:
-            level = settled(level)
-
-
-def audit_generated_text(rows: DataFrame, id_col: str = "target_id", generative: tuple[str, ...] = GENERATIVE) -> DataFrame:
-    """Flags (id, field, value, kind, number): years and other numbers of the output that the source does not hold."""
+def _walk(text: str | None) -> Iterator[tuple[str, str]]:
+    """Path and value of each scalar of a JSON document but null; nothing where it does not parse."""
+    try:
+        waiting = [("", json.loads(text))] if text is not None else []
+    except (ValueError, RecursionError):  # no JSON, or nested more deeply than a parser goes
+        return
+    while waiting:
+        path, value = waiting.pop()
+        if isinstance(value, dict):
+            waiting += [(f"{path}.{k}" if path else k, v) for k, v in reversed(value.items())]
+        elif isinstance(value, list):
+            waiting += [(f"{path}[{i}]", v) for i, v in reversed(list(enumerate(value)))]
+        elif value is not None:
+            yield path, value if isinstance(value, str) else json.dumps(value)
+
+
+def leaves(df: DataFrame, keep: list[str], output: str = "output") -> DataFrame:
+    """One row per scalar of a JSON document, however deeply nested: path and value.
+
+    One pass over the rows: a document is walked where it is read, so no level needs a job of its own.
+    """
+    rows = df.select(*keep, F.col(output).cast("string").alias("_json"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(i, *leaf) for i, text in enumerate(batch.column(len(keep)).to_pylist()) for leaf in _walk(text)]
+            which, paths, values = zip(*found, strict=True) if found else ((), (), ())
+            own = [batch.column(i).take(pa.array(which, pa.int64())) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(paths, pa.string()), pa.array(values, pa.string())], [*keep, "path", "value"])
+
+    return rows.mapInArrow(run, StructType([*rows.select(*keep).schema, StructField("path", StringType()), StructField("value", StringType())]))
+
+
+def audit_generated_text(rows: DataFrame, id_col: str = "target_id", generative: tuple[str, ...] = ()) -> DataFrame:
+    """Flags (id, field, value, kind, number): years and other numbers of the output that the source does not hold.
+
+    Fields (names or paths) whose text is invented by design are left out: ``GENERATIVE`` and those of ``generative``.
+    """
+    generative = (*GENERATIVE, *generative)
     fields = leaves(rows, [id_col, "source_text"])
     leaf = F.regexp_replace(F.element_at(F.split("path", r"\."), -1), r"\[[0-9]+\]$", "")
     fields = fields.where(~leaf.isin(*generative) & ~F.col("path").isin(*generative))
@@ -75,7 +88,7 @@ def unsupported_numbers(rows: DataFrame, source: str, output: str) -> Column:
 # Fields of the two kinds of output and their limits.
 COPY_LENGTH, SPECIFIC_MAX, MESSAGE_MAX = (20, 4000), 65, 500
 NAME_MAX = {"cardNameEn": 120, "setNameEn": 120, "characterEn": 80}
-WARNING = "array<struct<field: string, message: string>>"
+WARNING = "array<struct<field: variant, message: variant>>"
 
 
 def _common(v: Column, kinds: dict[str, str]) -> list[Rule]:
@@ -85,7 +98,9 @@ def _common(v: Column, kinds: dict[str, str]) -> list[Rule]:
     value = F.try_variant_get(v, "$.confidence", "double")
     warnings = F.try_variant_get(v, "$.warnings", WARNING)
     given = kind("$.warnings")
-    formed = F.forall(warnings, lambda w: w["field"].isNotNull() & w["message"].isNotNull() & (F.char_length(w["message"]) <= MESSAGE_MAX))
+    is_text = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("")) == "STRING"  # noqa: E731  a number is no text
+    fits = lambda x: F.coalesce(F.char_length(F.try_variant_get(x, "$", "string")) <= MESSAGE_MAX, F.lit(False))
+    formed = F.forall(warnings, lambda w: is_text(w["field"]) & is_text(w["message"]) & fits(w["message"]))
     return [
         Rule("(root)", F.schema_of_variant(v).rlike("^OBJECT")),
         *(Rule(n, kind(f"$.{n}").rlike(want)) for n, want in kinds.items()),
@@ -147,6 +162,20 @@ def reusable(requests: DataFrame, log: DataFrame) -> tuple[DataFrame, DataFrame]
     return requests.join(known, "prompt_hash", "left_semi"), fresh
 
 
+def generation_log(runs: DataFrame, validate: Callable[[DataFrame], DataFrame] = validate_copy, floor: float = 0.85) -> DataFrame:
+    """Append-ready rows of a log of generation runs (run_id, model, purpose, prompt, source_text, output): the prompt's
+    hash, the output as it came, the issues of its schema, the flags against its source, and whether a person must look."""
+    flags = audit_generated_text(runs, "run_id").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("field", "kind", "number"))).alias("flags"))
+    df = validate(runs).join(flags, "run_id", "left").withColumn("schema_valid", F.size("issues") == 0)
+    df = df.withColumns({
+        "flags": F.coalesce("flags", F.array().cast("array<struct<field: string, kind: string, number: string>>")),
+        "confidence": F.try_variant_get(F.try_parse_json("output"), "$.confidence", "double"),
+        "prompt_hash": prompt_hash(F.col("model"), F.col("prompt")),
+    })
+    df = needs_review(df.withColumn("n_flags", F.size("flags")), floor)
+    return df.select("run_id", "model", "purpose", "prompt_hash", "output", "schema_valid", "issues", "flags", "n_flags", "confidence", "needs_review")
+
+
 def generation_quality(log: DataFrame) -> DataFrame:
     return log.groupBy("model", "purpose").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("schema_valid")).alias("n_generated"),

@@ -174,3 +174,9 @@ def market_rules() -> list[Rule]:
         Rule("name_not_blank", (F.trim("name_en") != "") & (F.trim("name_key") != "")),
         Rule("verified_has_author", ~c("verified") | c("verified_by").isNotNull()),
     ]
+
+
+def processing_rules() -> list[Rule]:
+    """Rules for what was made of an image."""
+    c = F.col("processing_confidence")
+    return [Rule("processing_confidence_in_range", c.isNull() | c.between(0, 1))]

@@ -21,11 +21,12 @@ DROP_ORDER = ("set_name", "rarity", "gem_mint", "year", "number")
 def eligibility(df: DataFrame, min_parse: float = 0.85, min_ai: float = 0.85, min_image: float = 0.9, min_profit: str = "1500", min_margin: str = "15", high_value: str = "200") -> DataFrame:  # noqa: E501
     """Adds ``blockers`` (code, severity), ``eligible`` and ``manual_review``.  A rule is a row of the table below.
 
-    A fact that is not known blocks: each rule holds unless its column says that it does not.  Only the confidences of
-    image and text, which not every listing has, and the lists may be null.
+    A fact that is not known blocks: each rule holds unless its column says that it does not, and an unknown list is not
+    an empty one.  Only the confidences of image and text, which not every listing has, may be null, and the warnings of
+    a text that was not generated.
     """
     c = F.col
-    warned = lambda w: F.coalesce(F.exists("profit_warnings", lambda x: x.rlike(w)), F.lit(False))
+    warned = lambda w: holds(F.exists("profit_warnings", lambda x: x.rlike(w)))
     holds = lambda x: F.coalesce(x, F.lit(True))
     shown = F.coalesce(c("has_images"), F.lit(False))
     # Codes and severities of the rules.
@@ -44,10 +45,10 @@ def eligibility(df: DataFrame, min_parse: float = 0.85, min_ai: float = 0.85, mi
         ("ZERO_QUANTITY", "BLOCKING", holds(c("quantity") <= 0)),
         ("MISSING_TITLE", "BLOCKING", F.coalesce(c("title"), F.lit("")) == ""),
         ("TITLE_TOO_LONG", "BLOCKING", F.coalesce(F.length("title") > TITLE_MAX, F.lit(False))),
-        ("MISSING_REQUIRED_ASPECTS", "BLOCKING", F.coalesce(F.array_size("missing_aspects"), F.lit(0)) > 0),
+        ("MISSING_REQUIRED_ASPECTS", "BLOCKING", holds(F.array_size("missing_aspects") > 0)),
         ("CONDITION_DESCRIPTORS_UNRESOLVED", "BLOCKING", holds(~c("descriptors_resolved"))),
         ("LOW_AI_CONFIDENCE", "BLOCKING", F.coalesce(c("ai_confidence") < min_ai, F.lit(False))),
-        ("AI_WARNINGS", "REVIEW", F.coalesce(F.array_size("ai_warnings"), F.lit(0)) > 0),
+        ("AI_WARNINGS", "REVIEW", F.coalesce(F.array_size("ai_warnings") > 0, c("ai_confidence").isNotNull())),
         ("BELOW_MIN_PROFIT", "BLOCKING", holds(c("base_profit_jpy") < F.lit(min_profit).cast("decimal(20,6)"))),
         ("BELOW_MIN_MARGIN", "BLOCKING", holds(c("base_margin") < F.lit(min_margin).cast("decimal(8,5)"))),
         ("PESSIMISTIC_LOSS", "BLOCKING", holds(c("pessimistic_profit") <= 0)),
@@ -196,22 +197,27 @@ def missing_aspects(items: DataFrame, required: DataFrame) -> DataFrame:
 
 
 def approved_batch(listings: DataFrame, approvals: DataFrame, environment: str, dry_run: bool = True, allow_production: bool = False, cap: int = 5) -> DataFrame:
-    """Adds ``block_reason`` (null: to be sent); the first ``cap`` approved listings by id are sent."""
+    """Adds ``block_reason`` (null: to be sent); the first ``cap`` approved listings by id are sent.
+
+    A product may have any number of approvals.  One for this environment and this payload lets a listing through; the
+    reason why it is stopped comes from what approvals there are.
+    """
     own = approvals.select("product_id", F.col("environment").alias("_env"), F.col("payload_hash").alias("_hash"))
-    own = own.groupBy("product_id").agg(F.min_by(F.struct("_env", "_hash"), F.col("_env") != environment).alias("_a")).select("product_id", "_a.*")
-    df = listings.join(own, "product_id", "left")
+    some = own.groupBy("product_id").agg(F.count_if(F.col("_env") == environment).alias("_here"))
+    fits = own.where(F.col("_env") == environment).select("product_id", F.col("_hash").alias("payload_hash"), F.lit(True).alias("_fits")).distinct()
+    df = listings.join(some, "product_id", "left").join(fits, ["product_id", "payload_hash"], "left")
     why = (
         F.when(F.lit(dry_run), "dry run")
         .when(F.lit(environment == "PRODUCTION" and not allow_production), "production not allowed")
-        .when(F.col("_env").isNull(), "no approval")
-        .when(F.col("_env") != environment, "approved for another environment")
-        .when(F.col("_hash") != F.col("payload_hash"), "payload changed since the approval")
+        .when(F.col("_here").isNull(), "no approval")
+        .when(F.col("_here") == 0, "approved for another environment")
+        .when(F.col("_fits").isNull(), "payload changed since the approval")
     )
-    df = df.withColumn("block_reason", why)
+    df = df.select(*listings.columns, why.alias("block_reason"))
     sent = df.where("block_reason is null").orderBy("listing_id").limit(cap).select("listing_id", F.lit(True).alias("_sent"))
     df = df.join(F.broadcast(sent), "listing_id", "left")  # cap rows
     reason = F.when(F.col("block_reason").isNull() & F.col("_sent").isNull(), "run cap reached").otherwise(F.col("block_reason"))
-    return df.withColumn("block_reason", reason).drop("_env", "_hash", "_sent")
+    return df.withColumn("block_reason", reason).drop("_sent")
 
 
 def duplicate_live(listings: DataFrame) -> DataFrame:

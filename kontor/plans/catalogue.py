@@ -189,6 +189,28 @@ def eligibility(spark, sf_dir):
     return out.select("listing_id", "eligible", "manual_review", F.array_join("blockers.code", ",").alias("codes"))
 
 
+def unknown_lists(spark, sf_dir):
+    """Parts as listings that are good but for lists of aspects and warnings that a left join did not find."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    none = F.array().cast("array<string>")
+    one, money = F.lit(True), F.lit("5000").cast("decimal(20,6)")
+    df = p.select(
+        k.alias("listing_id"), F.lit("CONFIRMED").alias("verdict"), F.lit(1.0).alias("parse_confidence"), F.lit("n").alias("card_name_en"), F.lit("1").alias("card_number"), F.lit("JAPANESE").alias("language"),
+        one.alias("has_images"), one.alias("image_approved"), F.lit(1.0).alias("image_confidence"), F.lit(False).alias("representative_image"), F.lit(1).alias("available"), F.lit(1).alias("quantity"), F.lit("t").alias("title"),
+        F.when(k % 3 != 0, none).alias("missing_aspects"), one.alias("descriptors_resolved"), F.when(k % 2 == 0, 0.9).alias("ai_confidence"), F.when(k % 5 != 0, none).alias("ai_warnings"), money.alias("base_profit_jpy"),
+        F.lit("20").cast("decimal(12,4)").alias("base_margin"), money.alias("pessimistic_profit"), F.when(k % 7 != 0, none).alias("profit_warnings"), F.lit("50").cast("decimal(20,6)").alias("selling_price"), one.alias("market_sufficient"),
+        F.lit(False).alias("duplicate_listing"),
+    )
+    return publishing.eligibility(df).select("listing_id", "eligible", "manual_review", F.array_join("blockers.code", ",").alias("codes"))
+
+
+def empty_texts(spark, sf_dir):
+    """Scores of candidates whose set code and rarity are empty texts where they are not known."""
+    a, b = (df.withColumns({c: F.coalesce(c, F.lit("")) for c in ("set_code", "rarity")}) for df in identities(spark, sf_dir))
+    df = matching.score_pairs(matching.candidate_pairs(a, b)[0])
+    return df.select(F.col("a_listing_id").alias("listing_id"), F.col("b_product_id").alias("product_id"), F.round("score", 6).alias("score"), F.array_join("blockers", ",").alias("blockers"))
+
+
 def aspects(spark, sf_dir):
     """Aspect policies built from parts by brand, flattened again."""
     p = table(spark, sf_dir, "part")
@@ -354,6 +376,17 @@ QUERIES = {
            p AS (SELECT listing_id, c, list_position(list_transform(c, lambda x: length(x) <= 80), true) AS i FROM t)
            SELECT listing_id, c[i] AS title, length(c[i]) AS title_length, array_to_string(['set_name', 'rarity', 'gem_mint', 'year', 'number'][1:i - 1], ',') AS omitted FROM p""",
     ),
+    "b12_unknown_lists": (
+        unknown_lists,
+        """WITH b AS (SELECT p_partkey AS k, list_filter([CASE WHEN p_partkey % 3 = 0 THEN 'MISSING_REQUIRED_ASPECTS' END, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 5 = 0 THEN 'AI_WARNINGS' END,
+             CASE WHEN p_partkey % 7 = 0 THEN 'CUSTOMS_UNDETERMINED' END, CASE WHEN p_partkey % 7 = 0 THEN 'INVALID_PRICE' END], lambda x: x IS NOT NULL) AS c FROM part)
+           SELECT k AS listing_id, len(c) = 0 AS eligible, c = ['AI_WARNINGS'] AS manual_review, array_to_string(c, ',') AS codes FROM b""",
+    ),
+    "b2_empty_texts": (
+        empty_texts,
+        f"""WITH {IDENTITY_SQL} SELECT listing_id, product_id, round(score, 6) AS score,
+            array_to_string(list_filter([CASE WHEN asc_ <> bsc THEN 'set_code' END, CASE WHEN ay <> byr THEN 'release_year' END], lambda x: x IS NOT NULL), ',') AS blockers FROM decided""",
+    ),
     "b12_eligibility": (
         eligibility,
         """WITH d AS (SELECT *, p_partkey AS k FROM part), b AS (SELECT k, list_filter([

@@ -150,6 +150,16 @@ def approved_batch(spark, sf_dir):
     return df.select("listing_id", F.coalesce("block_reason", F.lit("send")).alias("outcome"))
 
 
+def several_approvals(spark, sf_dir):
+    """Orders waiting to be published, with an approval for each line: of old and new payloads, here and elsewhere."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("listing_id"), F.col("o_orderkey").alias("product_id"), (F.col("o_custkey") % 4).cast("string").alias("payload_hash"))
+    a = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey").where("l_partkey % 3 <> 0").select(
+        F.col("l_orderkey").alias("product_id"), F.when(F.col("l_partkey") % 5 == 0, "SANDBOX").otherwise("PRODUCTION").alias("environment"), (F.col("l_partkey") % 4).cast("string").alias("payload_hash")
+    )
+    df = publishing.approved_batch(o, a, "PRODUCTION", dry_run=False, allow_production=True, cap=100)
+    return df.select("listing_id", F.coalesce("block_reason", F.lit("send")).alias("outcome"))
+
+
 def top_window(spark, sf_dir):
     """The first five orders of each customer segment."""
     from pyspark.sql import Window
@@ -202,6 +212,13 @@ QUERIES = {
              WHEN o_orderpriority <> CASE WHEN o_custkey % 2 = 0 THEN '5-LOW' ELSE '1-URGENT' END THEN 'payload changed since the approval' END AS why FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
            SELECT o_orderkey AS listing_id, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY why IS NULL ORDER BY o_orderkey) <= 20 THEN 'send' ELSE 'run cap reached' END) AS outcome FROM d""",
     ),
+    "f7_j17_several_approvals": (
+        several_approvals,
+        """WITH a AS (SELECT l_orderkey, l_partkey % 5 <> 0 AS here, l_partkey % 4 AS h FROM lineitem WHERE l_partkey % 3 <> 0),
+           d AS (SELECT o_orderkey, CASE WHEN o_orderkey NOT IN (SELECT l_orderkey FROM a) THEN 'no approval' WHEN o_orderkey NOT IN (SELECT l_orderkey FROM a WHERE here) THEN 'approved for another environment'
+             WHEN NOT EXISTS (SELECT 1 FROM a WHERE here AND l_orderkey = o_orderkey AND h = o_custkey % 4) THEN 'payload changed since the approval' END AS why FROM orders)
+           SELECT o_orderkey AS listing_id, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY why IS NULL ORDER BY o_orderkey) <= 100 THEN 'send' ELSE 'run cap reached' END) AS outcome FROM d""",
+    ),
     "w7_first_per_group": (
         top_window,
         "SELECT c_mktsegment, o_orderkey, n FROM (SELECT c_mktsegment, o_orderkey, row_number() OVER (PARTITION BY c_mktsegment ORDER BY o_orderdate, o_orderkey) AS n FROM orders JOIN customer ON o_custkey = c_custkey) WHERE n <= 5",

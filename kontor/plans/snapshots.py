@@ -92,6 +92,43 @@ def latest_policy(spark, sf_dir):
     return ops.latest(e, ["user_id", "event_type"], ["ts", "event_id"]).select("user_id", "event_type", "event_id", "props")
 
 
+def policy_cache(spark, sf_dir):
+    """A cache of policies, from events before the eighth day, after what was fetched later: the newest of each user and type."""
+    from ..sources.metadata import upsert_policy_cache
+
+    e = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("marketplace"), F.col("user_id").alias("category_id"), F.lit("SANDBOX").alias("environment"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("payload")
+    )
+    split = F.to_timestamp(F.lit("2024-01-08"))
+    return upsert_policy_cache(e.where(F.col("fetched_at") < split), e.where(F.col("fetched_at") >= split)).select("marketplace", "category_id", "payload")
+
+
+def attribute_gate(spark, sf_dir):
+    """Parts' attributes with provenance: what breaks the rules on sources, values and confidences, and repeated fields."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    df = p.select(
+        k.alias("id"), (k % 50).alias("listing_id"), F.concat(F.lit("f"), F.col("p_size")).alias("field"), F.when(k % 7 != 0, F.col("p_name")).alias("value"),
+        F.when(k % 10 == 0, "unknown").otherwise("manual").alias("source"), (k % 13 / 10).alias("confidence"), (k % 4 == 0).alias("current"),
+    )
+    _, bad = ops.quality_gate(df, ops.attribute_rules(), {"one_value_for_each_field": (["listing_id", "field"], F.col("current"))})
+    return bad.select("id", F.array_join("reasons", ",").alias("reasons"))
+
+
+def market_gate(spark, sf_dir):
+    """Orders as published listings with their images, matches and observations: what breaks the rules, and live twins."""
+    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    of = lambda n, c: F.when(k % n != 0, c)
+    df = o.select(
+        k.alias("listing_id"), (F.col("o_custkey") % 40).alias("product_id"), (k % 9 - 1).alias("quantity"), F.when(k % 2 == 0, "PUBLISHED").otherwise("DRAFT").alias("status"),
+        of(5, F.col("o_totalprice")).alias("price"), of(11, F.lit("USD")).alias("currency"), of(12, F.repeat(F.lit("t"), (k % 90).cast("int"))).alias("title"), (k % 6 == 0).alias("redacted"), (k % 4 == 0).alias("approved"),
+        of(8, F.col("o_orderdate")).alias("approved_at"), of(3, k % 21 / 15).alias("score"), of(7, k % 5).alias("active_min"), of(13, k % 7).alias("active_max"), F.when(k % 31 == 0, " ").otherwise("n").alias("name_en"),
+        F.lit("n").alias("name_key"), (k % 16 == 0).alias("verified"), of(32, F.lit("me")).alias("verified_by"), of(9, k % 23 / 20).alias("processing_confidence"),
+    )
+    live = (F.col("status") == "PUBLISHED") & (F.col("listing_id") % 100 == 0)
+    _, bad = ops.quality_gate(df, [*ops.market_rules(), *ops.processing_rules()], {"one_live_listing": (["product_id"], live)})
+    return bad.select("listing_id", F.array_join("reasons", ",").alias("reasons"))
+
+
 def quality_gate(spark, sf_dir):
     """Suppliers' and customers' accounts as listings: negative prices, odd stock, keys that occur twice."""
     c = table(spark, sf_dir, "customer")
@@ -194,6 +231,27 @@ QUERIES = {
         latest_policy,
         "SELECT user_id, event_type, event_id, props FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1",
     ),
+    "snk3_policy_cache": (
+        policy_cache,
+        "SELECT event_type AS marketplace, user_id AS category_id, event_id AS payload FROM events QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts DESC, event_id DESC) = 1",
+    ),
+    "dq1_attribute_rules": (
+        attribute_gate,
+        """WITH d AS (SELECT p_partkey AS id, p_partkey % 50 AS l, p_size AS f, p_partkey % 7 <> 0 AS has, p_partkey % 10 = 0 AS unknown, p_partkey % 13 / 10 AS c, p_partkey % 4 = 0 AS current FROM part),
+           t AS (SELECT l, f FROM d WHERE current GROUP BY ALL HAVING count(*) > 1),
+           r AS (SELECT id, array_to_string(list_filter([CASE WHEN c > 1 THEN 'confidence_in_range' END, CASE WHEN unknown AND has THEN 'unknown_has_no_value' END, CASE WHEN NOT has AND c <> 0 THEN 'no_value_no_confidence' END,
+             CASE WHEN current AND (l, f) IN (SELECT (l, f) FROM t) THEN 'one_value_for_each_field' END], lambda x: x IS NOT NULL), ',') AS reasons FROM d)
+           SELECT id, reasons FROM r WHERE reasons <> ''""",
+    ),
+    "dq1_market_rules": (
+        market_gate,
+        """WITH d AS (SELECT o_orderkey AS k, o_custkey % 40 AS p FROM orders), t AS (SELECT p FROM d WHERE k % 100 = 0 GROUP BY 1 HAVING count(*) > 1),
+           r AS (SELECT k AS listing_id, array_to_string(list_filter([CASE WHEN k % 9 = 0 THEN 'quantity_not_negative' END, CASE WHEN k % 2 = 0 AND (k % 5 = 0 OR k % 11 = 0 OR k % 12 = 0) THEN 'published_is_complete' END,
+             CASE WHEN k % 12 <> 0 AND k % 90 > 80 THEN 'title_fits' END, CASE WHEN k % 12 = 0 AND k % 8 = 0 THEN 'redaction_approved_by_human' END, CASE WHEN k % 3 <> 0 AND k % 21 > 15 THEN 'score_in_range' END,
+             CASE WHEN k % 7 <> 0 AND k % 13 <> 0 AND k % 7 < k % 5 THEN 'max_not_below_min' END, CASE WHEN k % 31 = 0 THEN 'name_not_blank' END, CASE WHEN k % 32 = 0 THEN 'verified_has_author' END,
+             CASE WHEN k % 9 <> 0 AND k % 23 > 20 THEN 'processing_confidence_in_range' END, CASE WHEN k % 100 = 0 AND p IN (SELECT p FROM t) THEN 'one_live_listing' END], lambda x: x IS NOT NULL), ',') AS reasons FROM d)
+           SELECT listing_id, reasons FROM r WHERE reasons <> ''""",
+    ),
     "dq1_quality_gate": (
         quality_gate,
         """WITH d AS (SELECT c_custkey, c_nationkey, c_acctbal AS price, c_custkey % 12 - 1 AS stock_qty, c_custkey % 103 / 100 AS confidence, c_custkey % 400 AS lock_key, c_custkey % 5 = 0 AS active FROM customer),

@@ -265,6 +265,31 @@ def generation_log(spark, sf_dir):
     return c.select("conv_id", "turn", audit.prompt_hash(F.col("role"), F.col("text")).alias("prompt_hash"), (F.length("text") > 0).alias("schema_valid"))
 
 
+def generation_log_rows(spark, sf_dir):
+    """Generation runs of conversations, each output naming a number of its own, as log rows."""
+    c = table(spark, sf_dir, "conversations")
+    specifics = F.create_map(F.lit("Seen"), F.concat(F.lit("no "), (F.col("conv_id") % 900 + 11).cast("string")))
+    doc = F.to_json(F.struct(F.col("text").alias("descriptionEn"), specifics.alias("itemSpecifics"), (F.col("turn") % 3 / 2).alias("confidence")))
+    runs = c.select(
+        F.concat_ws("-", "conv_id", "turn").alias("run_id"), F.col("role").alias("model"), F.lit("copy").alias("purpose"), F.col("text").alias("prompt"), F.col("text").alias("source_text"),
+        F.when(F.col("conv_id") % 7 == 0, "oops").otherwise(doc).alias("output"),
+    )
+    log = audit.generation_log(runs)
+    return log.select("run_id", "prompt_hash", F.array_join("issues", ",").alias("issues"), F.array_join("flags.number", ",").alias("flagged"), "needs_review")
+
+
+def encoded_urls(spark, sf_dir):
+    """Four spellings of the address of each part, which are one."""
+    k, name = F.col("p_partkey"), F.col("p_name")
+    form = F.url_encode(name)
+    spellings = F.array(
+        F.concat(F.lit("https://Shop.example/カ/b?q="), form, F.lit("&Color=a"), k), F.concat(F.lit("http://shop.example/%E3%82%AB//b/?color=a"), k, F.lit("&q="), F.replace(form, F.lit("+"), F.lit("%20"))),
+        F.concat(F.lit("https://shop.example:443/x/../カ/b/?%71="), form, F.lit("&c%6Flor=a"), k, F.lit("#top")), F.concat(F.lit("https://shop.example/カ/b?utm_source=m&q="), form, F.lit("&color=%61"), k, F.lit("&s%69d=1")),
+    )
+    p = table(spark, sf_dir, "part", "p_partkey", "p_name").select(k, F.posexplode(spellings).alias("i", "url"))
+    return p.select("p_partkey", "i", urls.canonical(F.col("url")).alias("canonical"))
+
+
 def reusable(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("prompt_hash", F.sha2("text", 256)).withColumn("schema_valid", F.lit(True))
     asked, fresh = audit.reusable(c, c.where("conv_id % 2 = 0").select("prompt_hash", "schema_valid"))
@@ -408,6 +433,18 @@ QUERIES = {
         """SELECT role AS model, conv_id % 3 AS purpose, count(*) AS n, count(*) FILTER (length(text) > 100) AS n_generated, count(*) FILTER (length(text) <= 100 OR turn % 2 > 0) AS n_review,
            count(*) FILTER (length(text) <= 100) AS n_failed FROM conversations GROUP BY 1, 2""",
     ),
+    "snk6_generation_log_rows": (
+        generation_log_rows,
+        """WITH r AS (SELECT *, conv_id || '-' || turn AS run_id, conv_id % 900 + 11 AS n, turn % 3 / 2 AS conf, conv_id % 7 = 0 AS broken FROM conversations),
+           i AS (SELECT *, CASE WHEN broken THEN '(root)' WHEN text IS NULL OR length(text) NOT BETWEEN 20 AND 4000 THEN 'descriptionEn' ELSE '' END AS issues,
+             CASE WHEN broken OR n = 100 OR list_contains(regexp_extract_all(text, '[0-9]+'), n::VARCHAR) THEN '' ELSE n::VARCHAR END AS flagged FROM r)
+           SELECT run_id, sha256(role || chr(1) || text) AS prompt_hash, issues, flagged, issues <> '' OR flagged <> '' OR conf < 0.85 AS needs_review FROM i""",
+    ),
+    "t12_encoded_urls": (
+        encoded_urls,
+        """SELECT p_partkey, i::INTEGER AS i, 'https://shop.example/%E3%82%AB/b?' ||
+             CASE WHEN i = 0 THEN 'Color=a' ELSE 'color=a' END || p_partkey || '&q=' || replace(url_encode(p_name), '%20', '+') AS canonical FROM part, range(4) AS t(i)""",
+    ),
     "snk6_generation_log": (generation_log, "SELECT conv_id, turn, sha256(role || chr(1) || text) AS prompt_hash, length(text) > 0 AS schema_valid FROM conversations"),
     "b18_prompt_reuse": (
         reusable,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import comparison_key
@@ -20,12 +20,23 @@ def read_listings(spark: SparkSession, path: str, schema: str = LISTING, kind: s
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line) of one text file; the number is the line's place in the file.
+    """(line_no, line) of text files; the number is the line's place in its file, counted from 1.
 
-    The file is one record, so its lines keep their order; import files are uploads of some thousand lines.
+    A large file is read by many tasks.  Lines are counted in each of its splits, the counts are summed along the file (a
+    row for each split), and a line's place in its split is added.  Where a file ends with a line break, an empty line follows.
     """
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.posexplode(F.split("value", r"\r?\n"))).select((F.col("pos") + 1).alias("line_no"), F.col("col").alias("line"))
+    meta = lambda name: F.col(f"_metadata.{name}")
+    rows = spark.read.option("lineSep", "\n").text(path)
+    rows = rows.select("value", meta("file_path").alias("f"), meta("file_block_start").alias("b"), meta("file_size").alias("s"), F.monotonically_increasing_id().alias("i"))
+    # a split is read by one task in one piece, so its lines have numbers in a row
+    splits = rows.groupBy("f", "b", "s").agg(F.count(F.lit(1)).alias("n"), F.min("i").alias("first"), F.sum(F.octet_length("value") + 1).alias("bytes"))
+    along = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("before", F.coalesce(F.sum("n").over(along), F.lit(0)))
+    placed = splits.select("f", "b", F.col("first").alias("i0"), "before")
+    number = F.col("before") + F.col("i") - F.col("i0") + 1
+    lines = rows.join(placed, ["f", "b"]).select(number.alias("line_no"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    ends = splits.groupBy("f", "s").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("bytes = s")
+    return lines.unionByName(ends.select((F.col("n") + 1).alias("line_no"), F.lit("").alias("line")))
 
 
 # Columns of the dictionary of names, and where each comes from by default.
