@@ -137,7 +137,7 @@ def test_what_is_not_known_blocks(spark):
     assert got[0].eligible and got[0].code == []
     free = {n for n, r in zip(names, got[1:], strict=True) if r.eligible}
     assert free == {"image_confidence", "ai_confidence"}  # an unknown list is not an empty one
-    assert {n for n, r in zip(names, got[1:], strict=True) if r.manual_review} == {"card_number", "representative_image", "market_sufficient"}
+    assert {n for n, r in zip(names, got[1:], strict=True) if r.manual_review} == {"card_number", "representative_image", "market_sufficient", "ai_warnings"}
 
 
 def test_aspects_belong_to_categories(spark):
