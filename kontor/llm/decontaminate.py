@@ -13,10 +13,12 @@ Items shorter than ``SPAN`` words match where all their words occur in a row.
 Items of equal text are one class, compared once and reported under each id.  A text's
 equal windows are one, found where the first begins.
 
-The benchmark is usually small: up to ``HELD`` windows (they are counted first)
-travel to the readers, which drop all other windows before the join.  A larger
-benchmark takes the same join without that shortcut, shuffled by hash; a passage that
-many documents share is then a key that Spark splits.
+Readers drop the windows that no item has, at any size of the benchmark.  Up to ``HELD``
+item windows (they are counted first) travel to them as hashes, with their words for the
+join.  Of more windows a bitmap of their hashes travels, about ``BITS`` bits for each and
+``MOST_BITS`` (32 MB) in all, so only what it lets through, the true hits and a share of
+others that the bitmap's density tells, is shuffled by hash and joined; a passage that many
+documents share is then a key that Spark splits.
 
 Defined results: null and empty texts, and items without words, overlap with
 nothing; texts are read whole; repeated rows and items with equal text are
@@ -40,6 +42,8 @@ from .shared import settled, without
 SPAN, MISS = 13, 2
 #: The most benchmark windows (rows of a hash and ``SPAN`` words) that are sent to the readers.
 HELD = 1 << 18
+#: Bits of the bitmap for each window of a larger benchmark, and bits at most.
+BITS, LEAST_BITS, MOST_BITS = 64, 1 << 16, 1 << 28
 
 U = np.uint64
 
@@ -121,11 +125,40 @@ def _items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _hits(spans: list[int], held: np.ndarray | None):
-    """Windows of the documents, with their words; where ``held`` is given only those whose hash is in it."""
-    if held is not None:
-        gate = np.zeros(1 << 20, bool)
-        gate[held >> U(44)] = True
+class Exactly:
+    """Tells which hashes are among those held."""
+
+    def __init__(self, held: np.ndarray):
+        self.held = held
+        self.gate = np.zeros(1 << 20, bool)
+        self.gate[held >> U(44)] = True
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        may = np.flatnonzero(self.gate[h >> U(44)])
+        return may[self.held[np.minimum(np.searchsorted(self.held, h[may]), len(self.held) - 1)] == h[may]]
+
+
+class Bitmap:
+    """Tells which hashes may be among the item windows': all that are, and few others."""
+
+    def __init__(self, tests: DataFrame, windows: int):
+        bits = LEAST_BITS
+        while bits < min(MOST_BITS, BITS * windows):
+            bits *= 2
+        slot = F.shiftrightunsigned("hash", 64 - bits.bit_length() + 1)
+        rows = tests.select(F.shiftright(slot, 6).alias("word"), F.expr("1L").alias("one"), slot.alias("slot"))
+        rows = rows.groupBy("word").agg(F.bit_or(F.expr("shiftleft(one, cast(slot & 63 as int))")).alias("held")).toPandas()  # MOST_BITS / 64 rows at most
+        self.shift = U(64 - bits.bit_length() + 1)
+        self.words = np.zeros(bits // 64, U)
+        self.words[rows["word"].to_numpy(np.int64)] = rows["held"].to_numpy(np.int64).view(U)
+
+    def passing(self, h: np.ndarray) -> np.ndarray:
+        slot = h >> self.shift
+        return np.flatnonzero((self.words[slot >> U(6)] >> (slot & U(63))) & U(1))
+
+
+def _hits(spans: list[int], gate: Exactly | Bitmap):
+    """Windows of the documents that pass the gate, with their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,11 +166,8 @@ def _hits(spans: list[int], held: np.ndarray | None):
                 words = chunk.words(lower=True, breaks=NOT_ALNUM)
                 short = ((at, h, s) for s in spans for at, h in [whole(words, s)])
                 for at, h, span in (*((at, h, SPAN) for _, at, h in seeds(words)), *short):
-                    if held is not None:
-                        may = np.flatnonzero(gate[h >> U(44)])
-                        at, h = at[may], h[may]
-                        hit = held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h
-                        at, h = at[hit], h[hit]
+                    passed = gate.passing(h)
+                    at, h = at[passed], h[passed]
                     if not len(at):
                         continue
                     at, h = _once(words, at, h, span)
@@ -155,27 +185,34 @@ def _hits(spans: list[int], held: np.ndarray | None):
     return run
 
 
+def document_windows(docs: DataFrame, spans: list[int], gate: Exactly | Bitmap) -> DataFrame:
+    """(id, hash, at, words) of the windows of ``docs`` (id, text) that pass."""
+    rows = docs.select("id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_hits(spans, gate), f"id {rows.schema['id'].dataType.simpleString()}, hash long, at int, words array<long>")
+
+
 def overlaps(docs: DataFrame, items: DataFrame, held: int = HELD) -> DataFrame:
     """``docs`` (id, text) against ``items`` (item, text): a row for each pair that overlaps.
 
     id, item, n_windows (distinct windows of the item that occur), first_word (where the first begins in the
     document), least_misses.
     """
-    kind, item = docs.schema["id"].dataType.simpleString(), items.schema["item"].dataType.simpleString()
+    item = items.schema["item"].dataType.simpleString()
     given = items.select("item", F.col("text").cast("string").alias("text")).where("item is not null and text is not null")
     own = given.groupBy("text").agg(F.min("item").alias("item"))
     members = given.join(own.withColumnRenamed("item", "rep"), "text").select("rep", "item").distinct()
     tests = own.select("item", "text").mapInArrow(_items, f"item {item}, hash long, item_at int, item_words array<long>")
     sizes = tests.agg(F.count(F.lit(1)).alias("n"), F.collect_set(F.size("item_words")).alias("spans")).first()
     spans = sorted(s for s in sizes.spans if s < SPAN)
-    keep = None
-    if sizes.n <= held:
+    few = sizes.n <= held
+    if few:
         found = tests.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64)
-        keep = np.sort(found.view(U)) if len(found) else np.zeros(1, U)
-    mine = docs.select("id", F.col("text").cast("string").alias("text")).mapInArrow(
-        _hits(spans, keep), f"id {kind}, hash long, at int, words array<long>"
-    )
-    tests = F.broadcast(tests) if keep is not None else tests  # `held` rows at most
+        gate = Exactly(np.sort(found.view(U)) if len(found) else np.zeros(1, U))
+    else:
+        tests = settled(tests)
+        gate = Bitmap(tests, sizes.n)
+    mine = document_windows(docs, spans, gate)
+    tests = F.broadcast(tests) if few else tests  # `held` rows at most
     pairs = mine.join(tests, "hash").where(F.size("words") == F.size("item_words"))
     misses = F.aggregate(
         F.zip_with("words", "item_words", lambda x, y: (x != y).cast("int")), F.lit(0), lambda a, b: a + b

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import Chunk, chunks
+from .shared import chosen_share
 
 BUCKETS = 1 << 13
 #: Texts of each language that fitting sees, about, of all languages together, and of each at least; unlisted languages of a family.
@@ -108,10 +109,24 @@ def support_vectors(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: in
     return w
 
 
+class Shares:
+    """Rows of shares of the trigrams, held by what they have; only the rows of one machine are dense at a time."""
+
+    def __init__(self, which: list[bytes], values: list[bytes]):
+        self.rows = [(np.frombuffer(w, np.uint16), np.frombuffer(v, np.float32)) for w, v in zip(which, values, strict=True)]
+
+    def __getitem__(self, chosen: np.ndarray) -> np.ndarray:
+        out = np.zeros((int(chosen.sum()), BUCKETS))
+        for row, i in zip(out, np.flatnonzero(chosen), strict=True):
+            which, values = self.rows[i]
+            row[which] = values.astype(np.float64) * SCALE
+        return out
+
+
 class Machines:
     """One-versus-one machines for families and, within each family, for languages."""
 
-    def __init__(self, x: np.ndarray, lang: np.ndarray):
+    def __init__(self, x: Shares | np.ndarray, lang: np.ndarray):
         self.languages = sorted(set(lang.tolist()))
         family = families(self.languages)
         own = np.array([family[code] for code in lang.tolist()], object)
@@ -197,16 +212,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Machines | None:
     if not sizes:
         return None
     each = min(sample, max(FEWEST, ROWS // len(sizes)))
-    shares = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, int(1_000_000 * min(1.0, each / r["count"])))))
-    chosen = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < F.element_at(shares, F.col("lang"))).select("text", "lang")
+    shares = F.create_map(*(F.lit(x) for r in sizes for x in (r.lang, min(1.0, each / r["count"]))))
+    chosen = known.where(chosen_share(F.element_at(shares, F.col("lang")))).select("text", "lang")
     table = chosen.mapInArrow(_sums, "lang string, which binary, shares binary").toPandas()
-    x = np.zeros((len(table), BUCKETS), np.float32)
-    for row, which, values in zip(x, table["which"], table["shares"], strict=True):
-        row[np.frombuffer(which, np.uint16)] = np.frombuffer(values, np.float32)
-    some = x.any(1)
-    if not some.any():
+    table = table[table["which"].map(len) > 0]
+    if not len(table):
         return None
-    return Machines(x[some].astype(np.float64) * SCALE, table["lang"].to_numpy(object)[some])
+    return Machines(Shares(table["which"].tolist(), table["shares"].tolist()), table["lang"].to_numpy(object))
 
 
 def _predict(machines: Machines | None):

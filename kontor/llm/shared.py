@@ -23,6 +23,11 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def chosen_share(share: Column, id_col: str = "id") -> Column:
+    """Whether the row's id falls into a share (0 to 1) of all ids, by a hash with 52 bits: no share of a real table is rounded to nothing."""
+    return F.pmod(F.xxhash64(id_col), F.lit(1 << 52)).cast("double") < share * float(1 << 52)
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import NOT_ALNUM, Chunk, chunks, signed, word_hashes
-from .shared import settled, without
+from .shared import chosen_share, settled, without
 
 #: Labelled rows that learning sees at most (about, as a hash chooses them), candidates kept, times that each toxic text is explained.
 SAMPLE = 20_000
@@ -312,7 +312,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Grammar |
     known = labels.where("toxic is not null and id is not null")
     share = sample / max(1, known.count())
     if share < 1:
-        known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(share * 1_000_000))
+        known = known.where(chosen_share(F.lit(share)))
     known = known.groupBy("id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # a sample of about `sample` rows: small enough to broadcast, whatever the table
     texts = docs.where("text is not null").join(F.broadcast(known), "id")

@@ -2,6 +2,7 @@ import random
 import re
 from itertools import combinations
 
+from kontor.llm import decontaminate as module
 from kontor.llm.decontaminate import MISS, SPAN, clean, masks, overlaps
 
 
@@ -64,3 +65,19 @@ def test_clean_keeps_columns_and_other_rows(spark, odd, none):
     assert {r.doc_id for r in kept.collect()} == {0, 1, 2, 3, 7, 8, 9, 10}
     assert clean(none, items).count() == 0
     assert clean(odd, items.where("item = 2")).count() == odd.count()
+
+
+def test_a_large_benchmark_shuffles_only_what_passes(spark):
+    """A million item windows: of the documents' windows the true ones pass, and few others."""
+    words = "transform(sequence(0, 30), i -> concat('{}', hash(id, i) % 100000))"
+    items = spark.range(9000).selectExpr("id as item", f"concat_ws(' ', {words.format('b')}) as text")
+    docs = spark.range(4000).selectExpr("id", f"concat_ws(' ', {words.format('d')}) as text")
+    leak = items.where("item % 1000 = 0").selectExpr("item + 10000 as id", "concat('x y z ', text, ' w') as text")
+    tests = items.mapInArrow(module._items, "item long, hash long, item_at int, item_words array<long>")
+    n = tests.count()
+    assert n > 10**6
+    mine = module.document_windows(docs.union(leak), [], module.Bitmap(tests, n)).groupBy((module.F.col("id") >= 10_000).alias("leak")).count().collect()
+    passed = {r.leak: r["count"] for r in mine}
+    assert passed[True] >= 9 * 19 * 6 and passed.get(False, 0) < 0.05 * 4000 * 19 * 6
+    got = {(r.id, r.item) for r in overlaps(docs.union(leak), items).collect()}
+    assert got == {(i * 1000 + 10_000, i * 1000) for i in range(9)}

@@ -92,3 +92,29 @@ def test_odd_rows(odd, none):
     assert language.language(none).count() == 0
     nothing = language.language(odd.withColumn("lang", language.F.lit(None).cast("string")))
     assert {r.lang_pred for r in nothing.collect()} == {"und"}
+
+
+def test_a_language_of_a_billion_texts_is_still_learnt(spark):
+    """The share of a sample in a huge language is small but not nothing."""
+    from pyspark.sql import functions as F
+
+    from kontor.llm.shared import chosen_share
+
+    share = 400 / 5e8
+    rows = spark.range(20_000_000).where(chosen_share(F.lit(share * 1000))).count()  # as many as of 2e10 ids, by proportion
+    assert 10_000 < rows < 22_000
+    assert spark.range(20_000_000).where(chosen_share(F.lit(share))).count() in range(4, 40)
+
+
+def test_fitting_holds_rows_by_what_they_have():
+    rng = np.random.default_rng(1)
+    which = [np.sort(rng.choice(BUCKETS, 50, False)).astype(np.uint16) for _ in range(40)]
+    values = [rng.random(50).astype(np.float32) for _ in which]
+    shares = language.Shares([w.tobytes() for w in which], [v.tobytes() for v in values])
+    dense = np.zeros((40, BUCKETS), np.float32)
+    for row, w, v in zip(dense, which, values, strict=True):
+        row[w] = v
+    lang = np.array(["en", "de", "fr", "es"] * 10, object)
+    assert (shares[lang == "en"] == dense[lang == "en"].astype(np.float64) * language.SCALE).all()
+    a, b = language.Machines(shares, lang), language.Machines(dense.astype(np.float64) * language.SCALE, lang)
+    assert (a.weights == b.weights).all() and (a.constant == b.constant).all()
