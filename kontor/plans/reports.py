@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import publishing
 from ..operators import reports as ops
+from ..operators.substrings import NameIndex
+from ..sources.checkpoints import shared_folder
 from .stand_ins import table
 
 
@@ -49,6 +53,22 @@ def search(spark, sf_dir):
     return ops.search_names(df, "%RED%").select("p_partkey")
 
 
+def indexed_search(spark, sf_dir):
+    """Parts whose name or brand holds a part of a word, by the index; a short pattern is a scan."""
+    df = table(spark, sf_dir, "part", "p_partkey", "p_name", "p_brand").select("p_partkey", F.col("p_name").alias("name_ja"), F.col("p_brand").alias("name_en"))
+    index = NameIndex(f"{shared_folder(spark)}/names-{uuid.uuid4().hex}", "p_partkey")
+    index.build(df)
+    out = None
+    for pattern in PATTERNS:
+        found = index.search(df, pattern).select(F.lit(pattern).alias("pattern"), "p_partkey")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+#: With triples, with a wildcard between, of capitals, of a brand, of nothing there, and too short for a triple.
+PATTERNS = ("%ed wid%", "%re%get%", "%GREEN%", "%and#1%", "%zzzq%", "%bl%")
+
+
 def live_rows(spark, sf_dir):
     df = table(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus", "o_orderdate")
     return ops.live(df.withColumn("resolved_at", F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate"))), "resolved_at").select("o_orderkey")
@@ -212,6 +232,10 @@ QUERIES = {
              WHEN o_orderpriority <> CASE WHEN o_custkey % 2 = 0 THEN '5-LOW' ELSE '1-URGENT' END THEN 'payload changed since the approval' END AS why FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
            SELECT o_orderkey AS listing_id, coalesce(why, CASE WHEN row_number() OVER (PARTITION BY why IS NULL ORDER BY o_orderkey) <= 20 THEN 'send' ELSE 'run cap reached' END) AS outcome FROM d""",
     ),
+    "f2_indexed_search": (
+        indexed_search,
+        " UNION ALL ".join(f"SELECT '{p}' AS pattern, p_partkey FROM part WHERE p_name ILIKE '{p}' OR p_brand ILIKE '{p}'" for p in PATTERNS),
+    ),
     "f7_j17_several_approvals": (
         several_approvals,
         """WITH a AS (SELECT l_orderkey, l_partkey % 5 <> 0 AS here, l_partkey % 4 AS h FROM lineitem WHERE l_partkey % 3 <> 0),
