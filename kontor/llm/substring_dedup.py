@@ -5,7 +5,7 @@ document.  A word goes when some window that covers it also starts in a document
 with a smaller id; windows are judged on the input.
 
 Long windows are rare to repeat, and a window can only repeat if its parts do.  So
-lengths double, from the shortest of at least ``START`` words up to ``window`` (25 and 50):
+lengths double, from the shortest of at least ``START`` words up to ``window`` (12, 25 and 50):
 
 1. Level one takes windows of the shortest length.  Not all of them: of those inside each
    full window only the one with the least hash is an anchor, which is a choice the words
@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from .flat import ROLLERS, anchors, chunks, covered, joined, lists, signed, sliding
 from .shared import settled, sieve
 
-WINDOW, START = 50, 25
+WINDOW, START = 50, 12
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 U = np.uint64

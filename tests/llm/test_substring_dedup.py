@@ -47,7 +47,7 @@ def test_against_all_windows(spark):
 
 
 def test_levels_double():
-    assert levels(50) == [25, 50] and levels(50, 5) == [6, 12, 25, 50] and levels(13, 3) == [3, 6, 13] and levels(10) == [10]
+    assert levels(50) == [12, 25, 50] and levels(50, 25) == [25, 50] and levels(50, 5) == [6, 12, 25, 50] and levels(13, 3) == [3, 6, 13] and levels(10) == [10]
 
 
 def test_repeated_and_missing_ids(spark):
