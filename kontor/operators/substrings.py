@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .reports import search_names
 
 #: Partitions of the index, and triples of a question that are read.
-BUCKETS, READ = 64, 4
+BUCKETS, READ = 16, 4
 
 
 def literal_parts(pattern: str) -> list[str]:

@@ -90,12 +90,12 @@ def shipping_band(spark, sf_dir):
 
 
 def many_bands(spark, sf_dir):
-    """Each order's most specific rule of as many as there are lines: of its priority before any, narrow before wide; every 50th has no end."""
+    """Each order's most specific rule of as many as there are lines: of its priority before any, narrow before wide; some have no end."""
     lines = table(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
     low = F.round(F.col("l_extendedprice") * 3).cast("long")
     bands = lines.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("band_id"), F.nullif(F.col("l_orderkey") % 7, F.lit(6)).alias("p"), low.alias("low"),
-        F.when(F.col("l_orderkey") % 50 == 0, None).when(F.col("l_orderkey") % 50 == 1, low + 20_000).otherwise(low + F.col("l_quantity").cast("long")).alias("high"),
+        F.when(F.col("l_orderkey") % 5000 == 0, None).when(F.col("l_orderkey") % 5000 == 1, low + 20_000).otherwise(low + F.col("l_quantity").cast("long")).alias("high"),
     )
     facts = table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice").withColumn("own", F.col("o_custkey") % 6)
     order = [F.col("p").isNull(), F.coalesce(F.col("high") - F.col("low"), F.lit(2**40)), F.col("band_id")]
@@ -238,7 +238,7 @@ QUERIES = {
     "j14_j15_many_bands": (
         many_bands,
         """WITH b AS (SELECT l_orderkey * 10 + l_linenumber AS band_id, nullif(l_orderkey % 7, 6) AS p, CAST(round(l_extendedprice * 3) AS BIGINT) AS low,
-             CASE WHEN l_orderkey % 50 = 0 THEN NULL WHEN l_orderkey % 50 = 1 THEN low + 20000 ELSE low + CAST(l_quantity AS BIGINT) END AS high FROM lineitem),
+             CASE WHEN l_orderkey % 5000 = 0 THEN NULL WHEN l_orderkey % 5000 = 1 THEN low + 20000 ELSE low + CAST(l_quantity AS BIGINT) END AS high FROM lineitem),
            m AS (SELECT o_orderkey, band_id, p, high, low FROM orders JOIN b ON o_totalprice >= low AND o_totalprice < coalesce(high, 1e18) WHERE p IS NULL OR p = o_custkey % 6)
            SELECT o_orderkey, best.band_id FROM orders LEFT JOIN (
              SELECT o_orderkey, band_id FROM m QUALIFY row_number() OVER (PARTITION BY o_orderkey ORDER BY p IS NULL, coalesce(high - low, 1099511627776), band_id) = 1) AS best USING (o_orderkey)""",
