@@ -23,6 +23,12 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Removes a folder from the store that it is in."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def chosen_share(share: Column, id_col: str = "id") -> Column:
     """Whether the row's id falls into a share (0 to 1) of all ids, by a hash with 52 bits: no share of a real table is rounded to nothing."""
     return F.pmod(F.xxhash64(id_col), F.lit(1 << 52)).cast("double") < share * float(1 << 52)
