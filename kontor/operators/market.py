@@ -42,11 +42,6 @@ def exact_lower_median(df: DataFrame, by: str, value: str) -> DataFrame:
     return ranked.where((F.col("upto") > middle) & (F.col("upto") - F.col("n") <= middle)).select(by, F.col(value).alias("median"))
 
 
-def small_group_median(df: DataFrame, by: str, value: str) -> DataFrame:
-    """The same for groups that are known to be small: one array for each."""
-    return df.groupBy(by).agg(lower_median(F.collect_list(value)).alias("median"))
-
-
 def market_staleness(observations: DataFrame, key: str = "product_id") -> DataFrame:
     return observations.groupBy(key).agg(F.max("collected_at").alias("last_seen"))
 

@@ -83,11 +83,6 @@ def append(df: DataFrame, path: str, by: str | None = None) -> None:
     (writer.partitionBy(by) if by else writer).parquet(path)
 
 
-def write_snapshot(df: DataFrame, path: str) -> None:
-    """A new snapshot in a path of its own; the old one stays until readers have moved."""
-    df.write.mode("errorifexists").parquet(path)
-
-
 def is_configured(suppliers: DataFrame, selectors: str = "selectors") -> DataFrame:
     """Adds why a supplier is skipped: its selector map is empty or absent."""
     size = F.coalesce(F.size(F.map_keys(selectors)), F.lit(0))

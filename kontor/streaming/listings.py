@@ -85,6 +85,9 @@ def stream_vanished(df: DataFrame, key: Column, at: str, silence_ms: int, delay:
 def stream_upsert(df: DataFrame, path: str, at: Column, schema: str, checkpoint: str) -> StreamingQuery:
     """Keeps the table at ``path``, partitioned by supplier: a batch reads and rewrites the suppliers that it delivers, no others.
 
+    Each micro-batch is taken as a whole delivery, which holds where a supplier's run is one file.  Where a run comes in
+    several, use ``deliveries.stream_deliveries``, which waits for its end and keeps histories.
+
     The new rows are staged under ``path`` + "_staged" first, as a table cannot be overwritten while it is read; a
     batch that runs again finds its own result and writes the same.
     """

@@ -26,6 +26,15 @@ FIRST = [row(1, 1, 1, "a", 10), row(1, 1, 1, "b", 20), row(1, 1, 2, "c", 30), ro
 ENDS = [mark(1, 1, 3), mark(2, 1, 3)]
 
 
+@pytest.fixture(scope="module", autouse=True)
+def few_partitions(spark):
+    """Tables of some rows: two partitions of state are enough."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 @pytest.fixture
 def deliver(spark, tmp_path):
     """Loads of rows arrive one after another; what the table is in the end."""
@@ -90,7 +99,7 @@ def released(spark, runs):
 
 
 @pytest.fixture(scope="module")
-def batches(spark):
+def batches(spark, few_partitions):
     third = [row(1, 3, 8, "c", 31), row(1, 3, 8, "a", 11)]
     return [released(spark, [(FIRST, 3)]), released(spark, [(SECOND[:2], 6), (third, 9)])]
 
