@@ -34,9 +34,3 @@ def convert(df: DataFrame, amount: str, rate: str, out: str) -> tuple[DataFrame,
     """Converted rows, and rows without a positive rate."""
     good = F.coalesce(F.col(rate) > 0, F.lit(False))
     return df.where(good).withColumn(out, (F.col(amount).cast(MONEY) * F.col(rate).cast(RATE)).cast(WIDE)), df.where(~good)
-
-
-def lower_median(values: Column) -> Column:
-    """Of an array: the middle of the sorted values, the lower one of two."""
-    some = F.array_sort(values)
-    return F.get(some, F.floor((F.size(some) - 1) / 2).cast("int"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import lower_median
 
 
 def summarise_asks(asks: DataFrame, by: str = "query_id") -> DataFrame:
