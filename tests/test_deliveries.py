@@ -62,8 +62,8 @@ SECOND = [row(1, 2, 5, "a", 11), row(1, 2, 5, "b", 20), mark(1, 2, 6)]
 
 
 def test_four_files_give_what_one_gives(spark, deliver):
-    whole = shown(spark, deliver([FIRST + ENDS, SECOND, TICK], "one"))
-    pieces = shown(spark, deliver([FIRST[:1], FIRST[1:2] + ENDS, FIRST[2:], SECOND[2:], SECOND[:2], TICK], "many"))
+    whole = shown(spark, deliver([FIRST + ENDS, SECOND + TICK], "one"))
+    pieces = shown(spark, deliver([FIRST[:1], FIRST[1:2] + ENDS, FIRST[2:] + SECOND[2:], SECOND[:2] + TICK], "many"))
     assert whole == pieces
     listings, prices, stocks = whole
     end = datetime(2024, 1, 1, 6)
@@ -78,7 +78,7 @@ def test_failed_and_silent_runs_mark_nothing(spark, deliver):
     failed = [row(1, 2, 5, "a", 99), mark(1, 2, 6, d.FAILED)]
     silent = [row(2, 2, 5, "z", 99)]
     later = [row(1, 3, 8, "a", 12), row(1, 3, 8, "b", 20), row(1, 3, 8, "c", 30), row(1, 3, 8, "d", 40), mark(1, 3, 9)]
-    listings, prices, _ = shown(spark, deliver([FIRST + ENDS, failed, silent, later, TICK, [mark(None, None, 0, d.TICK, 20)]]))
+    listings, prices, _ = shown(spark, deliver([FIRST + ENDS, failed + silent, later + TICK, [mark(None, None, 0, d.TICK, 20)]]))
     assert {k: v[0] for k, v in listings.items()} == {(1, "a"): 12, (1, "b"): 20, (1, "c"): 30, (1, "d"): 40, (2, "a"): 5}
     assert all(v[2] is None for v in listings.values()) and not [p for p in prices if p[2] == 99]
 
@@ -159,6 +159,6 @@ def test_a_crash_anywhere_is_made_good(spark, batches, want, where, monkeypatch,
 
 
 def test_streams_do_not_share_batch_numbers(spark, deliver, tmp_path):
-    sink = deliver([FIRST + ENDS, TICK], "a")
-    deliver([[row(3, 1, 1, "q", 7), mark(3, 1, 2)], TICK], "b", sink=sink)
+    sink = deliver([FIRST + ENDS + TICK], "a")
+    deliver([[row(3, 1, 1, "q", 7), mark(3, 1, 2), *TICK]], "b", sink=sink)
     assert {k[0] for k in shown(spark, sink)[0]} == {1, 2, 3} and d.stream_name("x") != d.stream_name("y")
