@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .flat import ROLLERS, Chunk, chunks, lists, mix, seeded, signed
-from .shared import components, settled, sieve, without
+from .shared import components, let_go, settled, sieve, without
 
 SHINGLE = 5
 BANDS, ROWS = 48, 4
@@ -298,6 +298,8 @@ def rest(members: DataFrame, texts: DataFrame) -> DataFrame:
     )
     prefix = F.slice("shared.hash", F.lit(1), (F.size("shared") - least + 1).cast("int"))
     sets = settled(sets.select("id", "component", "size", prefix.alias("prefix"), F.array_sort("shared.hash").alias("hashes")))
+    del rows, across  # the largest step: a row for each shingle
+    let_go(texts.sparkSession)
     entries = sets.select("id", "component", F.size("hashes").alias("weight"), F.array_min("prefix").alias("own"), F.explode("prefix").alias("hash"))
     family = entries.groupBy("hash").agg(F.min("own").alias("family"), F.min("component").alias("low"), F.max("component").alias("high"))
     placed = settled(entries.join(family.where("low < high").select("hash", "family"), "hash").select("id", "component", "weight", "family").distinct())
@@ -353,6 +355,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = entries.join(alone, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
     entries = entries.where(F.lit(PART) * (F.col("size") - F.col("alone")) >= F.lit(WHOLE) * F.col("size"))
     entries = settled(entries.select("key", "id", "size", (F.col("alone") / F.col("size")).alias("odd")))
+    del alone, shared, ids
+    let_go(base.sparkSession)
 
     links = tested = centres = labels = None
     for _ in range(stars):
@@ -382,12 +386,16 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         tested = edges if tested is None else tested.union(edges)
         chosen = best.select("key", "id")
         centres = chosen if centres is None else centres.union(chosen)
+        del now, free, best, mixed, star, edges, found
+        let_go(base.sparkSession)
 
     now = entries.withColumn("component", F.col("id"))
     if labels is not None:
         now = entries.join(labels.withColumnRenamed("component", "own"), "id", "left").withColumn("component", F.coalesce("own", "id"))
     mixed = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
     members = settled(now.join(mixed.select("key"), "key").select("id", "component").distinct())
+    del now, mixed, entries
+    let_go(base.sparkSession)
     if not members.isEmpty():
         found = settled(rest(members, texts))
         if not found.isEmpty():

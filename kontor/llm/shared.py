@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,6 +35,12 @@ def chosen_share(share: Column, id_col: str = "id") -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(1 << 52)).cast("double") < share * float(1 << 52)
 
 
+def let_go(spark: SparkSession) -> None:
+    """What no variable holds any more leaves the shared folder and the shuffle disks now, not when the driver happens to run out of memory."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
@@ -117,3 +124,5 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("id", "component")
         if after.where("component <> before").isEmpty():
             return labels
+        del near, spread, jump, after
+        let_go(links.sparkSession)
