@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.checkpoints import settled
+from .ordered import PART, dealt
 from .profit import FEW, best_band, in_band
 
 
@@ -19,9 +21,10 @@ def band_join(
     ``key`` names the columns that tell facts apart.  ``equal`` maps columns of the facts to columns of the rules that must
     agree, where a null in the rule stands for any.  An absent high is no limit; a rule without a low holds nothing.
 
-    Up to ``few`` rules, after a count, are one sorted array in every task.  More are cut into bins: a band lies in two or
-    three bins of its own width's order of magnitude, a fact in one bin of each order that occurs, and bins meet in an
-    equi-join, which Spark broadcasts, shuffles or splits by its size; the exact test and the least rule follow.
+    Up to ``few`` rules, after a count, are one sorted array in every task.  More are laid over the places of the facts'
+    distinct values in their order: a rule over [i, j) is held by a few nodes of a binary tree, each node keeps its first
+    rule, and a value asks the nodes above it.  So the work grows with facts and rules and not with what they have in
+    common, however many rules overlap; sides grow before they meet, so none of them is broadcast.
     """
     equal = equal or {}
     if bands.limit(few + 1).count() <= few:
@@ -33,42 +36,63 @@ def band_join(
 
         return best_band(facts, bands, matches, list(order))
 
-    top = facts.agg(F.max(F.col(value).cast("double"))).first()[0] or 0.0
-    real = bands.where(F.col(low).isNotNull() & (F.col(high).isNull() | (F.col(high) > F.col(low))))
-    start = F.col(low).cast("double")
-    end = F.coalesce(F.col(high).cast("double"), F.greatest(F.lit(top), start) + 1)
-    size = F.ceil(F.log2(F.greatest(end - start, F.lit(2.0**-30)))).cast("int")
-    real = real.withColumn("_size", size)
-    width = F.pow(F.lit(2.0), F.col("_size"))
-    cells = F.sequence(F.floor(start / width), F.floor(end / width))
-    real = real.withColumn("_cell", F.explode(cells))
-    sizes = sorted(r[0] for r in real.select("_size").distinct().collect()) or [0]  # orders of magnitude, some tens
-
+    first = bands.where(F.col(low).isNotNull() & (F.col(high).isNull() | (F.col(high) > F.col(low))))
     rank = F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)), F.lit(0).alias("o"))
-    rules = real.select("_size", "_cell", rank.alias("_rank"), F.struct(*bands.columns).alias("_band"))
-    needed = list(dict.fromkeys((*key, value, *equal)))
-    own = facts.select(*needed).where(F.col(value).isNotNull())
-    own = own.withColumn("_size", F.explode(F.array(*(F.lit(s) for s in sizes)))).withColumn("_cell", F.floor(F.col(value).cast("double") / F.pow(F.lit(2.0), F.col("_size"))))
-    test = in_band(F.col(value), F.col(f"_band.{low}"), F.col(f"_band.{high}"))
-    by = ["_size", "_cell"]
-
-    def met(ours: DataFrame, theirs: DataFrame, agreed: dict[str, str]) -> DataFrame:
-        exact, pair = test, {f: F.col(f"_band.{c}") for f, c in equal.items()}
-        for f, c in pair.items():
-            if f not in agreed:
-                exact = exact & (c.isNull() | (c == F.col(f)))
-        on = {f: f"_e{i}" for i, f in enumerate(agreed)}
-        theirs = theirs.withColumns({n: F.col(f"_band.{equal[f]}") for f, n in on.items()})
-        ours = ours.withColumns({n: F.col(f) for f, n in on.items()})
-        return ours.join(theirs, [*by, *on.values()]).where(exact).select(*key, "_rank", "_band")
-
-    # the first agreed column is part of the equi-join for rules that name it; rules for any value meet by bins alone
-    first = next(iter(equal.items()), None)
-    if first is None:
-        pairs = met(own, rules, {})
-    else:
-        named = F.col(f"_band.{first[1]}").isNotNull()
-        pairs = met(own, rules.where(named), dict([first])).unionByName(met(own, rules.where(~named), {}))
-    best = pairs.groupBy(*key).agg(F.min_by("_band", "_rank").alias("_best"))
-    joined = facts.join(best.select(*(F.col(k).alias(f"_j{i}") for i, k in enumerate(key)), "_best"), [F.col(k).eqNullSafe(F.col(f"_j{i}")) for i, k in enumerate(key)], "left")
+    named = [f"_e{i}" for i in range(len(equal))]
+    # of rules of one band that ask for the same, only the first counts
+    first = first.select(F.col(low).alias("_low"), F.col(high).alias("_high"), *(F.col(c).alias(n) for n, c in zip(named, equal.values(), strict=True)), rank.alias("_rank"), F.struct(*bands.columns).alias("_band"))
+    first = first.groupBy("_low", "_high", *named).agg(F.min("_rank").alias("_rank"), F.min_by("_band", "_rank").alias("_band"))
+    first = settled(first.withColumn("_asks", _asked([F.col(n).isNotNull() for n in named])))
+    own = settled(facts.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"), *(F.col(f).alias(n) for n, f in zip(named, equal, strict=True))).distinct())
+
+    places, count = _places(own.select("_v"), first.select("_low").unionAll(first.select("_high").where("_high is not null")))
+    depth = max(count - 1, 1).bit_length()
+    start, end = (places.select(F.col("_v").alias(f"_{n}"), F.col("_place").alias(f"_{n}_at")) for n in ("low", "high"))
+    laid = first.hint("merge").join(start, "_low").withColumnRenamed("_low_at", "_from")
+    ended = laid.where("_high is not null").hint("merge").join(end, "_high").withColumnRenamed("_high_at", "_to")
+    laid = ended.unionByName(laid.where("_high is null").withColumn("_to", F.lit(count).cast("long")))
+    nodes = laid.where("_from < _to").select(F.explode(_cover(F.col("_from"), F.col("_to"), depth)).alias("_node"), *named, "_asks", "_rank", "_band")
+    nodes = nodes.groupBy("_node", "_asks", *named).agg(F.min("_rank").alias("_rank"), F.min_by("_band", "_rank").alias("_band"))
+
+    asks = [r[0] for r in first.select("_asks").distinct().collect()]  # two for each column of ``equal`` at most, multiplied
+    levels = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda i: F.call_function("shiftright", F.lit(1 << depth).cast("long") + F.col("_place"), i))
+    met = own.hint("merge").join(places, "_v").withColumn("_asks", F.explode(F.array(*(F.lit(a) for a in asks)).cast("array<int>"))).withColumn("_node", F.explode(levels))
+    for i, n in enumerate(named):
+        met = met.withColumn(f"_j{i}", F.when(F.col("_asks").bitwiseAND(F.lit(1 << i)) != 0, F.col(n)))
+    theirs = nodes.withColumnsRenamed({n: f"_j{i}" for i, n in enumerate(named)}).withColumnsRenamed({"_node": "_at", "_asks": "_of"})
+    on = [met["_node"] == theirs["_at"], met["_asks"] == theirs["_of"], *(met[f"_j{i}"].eqNullSafe(theirs[f"_j{i}"]) for i in range(len(named)))]
+    best = met.hint("merge").join(theirs, on).groupBy("_v", *named).agg(F.min_by("_band", "_rank").alias("_best"))
+    mine = [F.col(f).eqNullSafe(F.col(n)) for n, f in zip(named, equal, strict=True)]
+    joined = facts.hint("merge").join(best, [F.col(value) == F.col("_v"), *mine], "left")
     return joined.select(*facts.columns, "_best.*")
+
+
+def _asked(tests: Sequence[Column]) -> Column:
+    """Which of the columns a rule names, as bits."""
+    return sum((F.when(t, 1 << i).otherwise(0) for i, t in enumerate(tests)), F.lit(0)).cast("int")
+
+
+def _places(values: DataFrame, bounds: DataFrame) -> tuple[DataFrame, int]:
+    """(each value and bound with the number of distinct values below it, how many there are)."""
+    both = values.withColumn("_own", F.lit(1)).unionAll(bounds.withColumn("_own", F.lit(0)))  # in one type, as in a comparison
+    rows = dealt(both.groupBy("_v").agg(F.max("_own").alias("_own")), [], [F.col("_v").asc()])
+    sizes = rows.groupBy(PART).agg(F.sum("_own").alias("n")).orderBy(PART).collect()  # a row for each range
+    ahead, total = [], 0
+    for r in sizes:
+        ahead.append((r[PART], total))
+        total += r["n"]
+    before = F.broadcast(rows.sparkSession.createDataFrame(ahead, f"{PART} int, _ahead long"))
+    below = F.coalesce(F.sum("_own").over(Window.partitionBy(PART).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.withColumn("_place", below).join(before, PART).select("_v", (F.col("_place") + F.col("_ahead")).alias("_place")), total
+
+
+def _cover(start: Column, end: Column, depth: int) -> Column:
+    """The nodes of a binary tree of ``depth`` levels that hold [start, end) and nothing else, two of each level at most."""
+
+    def of_level(i: Column) -> Column:
+        # ceil(start / 2^i), floor(end / 2^i)
+        a, b = -F.call_function("shiftright", -start, i), F.call_function("shiftright", end, i)
+        root = F.call_function("shiftright", F.lit(1 << depth).cast("long"), i)
+        return F.array(F.when((a < b) & (a % 2 == 1), root + a), F.when((a < b) & (b % 2 == 1), root + b - 1))
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(depth)), of_level))))

@@ -119,3 +119,18 @@ def test_many_bands_are_joined_by_bins(spark, capsys):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     want = facts.join(lines, (F.col("c") == F.col("country")) & (F.col("v") >= F.col("low")) & (F.col("v") < F.col("high"))).groupBy("id").agg(F.min("rid").alias("rid"))
     assert rows_of(got.where("rid is not null").select("id", "rid")) == rows_of(want)
+
+
+def test_band_join_broadcasts_neither_side(spark):
+    """Both sides grow before they meet, which their sizes on disk do not show."""
+    facts = spark.range(4000).select("id", (F.col("id") % 977).cast("double").alias("v"), (F.col("id") % 3).alias("c"))
+    rules = spark.range(4000).select(F.col("id").alias("rid"), F.nullif(F.col("id") % 4, F.lit(3)).alias("country"), (F.col("id") % 500).alias("low"), F.when(F.col("id") % 2 == 0, F.col("id") % 500 + 400).alias("high"))
+    spark.conf.set("spark.sql.maxBroadcastTableSize", "2mb")  # a row for each range is sent
+    try:
+        got = band_join(facts, rules, ["id"], "v", "low", "high", {"c": "country"}, [F.col("rid")], 10).select("id", "rid").collect()
+    finally:
+        spark.conf.unset("spark.sql.maxBroadcastTableSize")
+    rows = [(r.rid, r.country, r.low, r.high) for r in rules.collect()]
+    first = lambda v, c: next((i for i, p, low, high in rows if low <= v and (high is None or v < high) and p in (None, c)), None)
+    want = {(v, c): first(v, c) for v, c in {(i % 977, i % 3) for i in range(4000)}}
+    assert {r.id: r.rid for r in got} == {i: want[i % 977, i % 3] for i in range(4000)}
