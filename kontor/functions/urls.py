@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ def part(url: Column, number: int) -> Column:
     return F.regexp_extract(url, URL, number)
 
 
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -50,8 +57,8 @@ def canonical(url: Column, force_host: str | None = None, keep: tuple[str, ...]
     """One spelling for each page: https, lower host, no port or fragment, no tracking parameters, parameters in order of
     their names, one percent-encoding, no dot segments, single slashes, none at the end unless ``keep_slash``."""
     host = F.lit(force_host.lower()) if force_host else F.lower(part(url, 3))
-    path = F.regexp_replace(encoded_path(without_dots(part(url, 5))), "/{2,}", "/")
-    path = F.when(path.isin("", "/"), F.lit("/")).otherwise(path if keep_slash else F.regexp_replace(path, "/$", ""))
+    path = once(once(part(url, 5), without_dots), encoded_path)
+    path = once(F.regexp_replace(path, "/{2,}", "/"), lambda p: F.when(p.isin("", "/"), F.lit("/")).otherwise(p if keep_slash else F.regexp_replace(p, "/$", "")))
     pairs = F.transform(
         F.filter(F.split(part(url, 6), "&"), lambda p: p != ""),
         lambda p, i: F.struct(
@@ -69,7 +76,8 @@ def canonical(url: Column, force_host: str | None = None, keep: tuple[str, ...]
         ),
     )
     query = F.array_join(F.transform(F.array_sort(placed), lambda s: s["p"]), "&")
-    built = F.concat(F.lit("https://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
+    query = once(query, lambda q: F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
+    built = F.concat(F.lit("https://"), host, path, query)
     return F.when(url.rlike(URL), built)
 
 

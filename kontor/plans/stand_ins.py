@@ -13,6 +13,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a table of few bytes, which is read in one or two tasks, dealt out for work that is long for each row."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest line of each part and supplier as an offer in yen, with the supplier's terms."""
     lines = table(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")

@@ -13,7 +13,7 @@ from ..operators import attributes, audit, images
 from ..sources import adapter
 from ..sources import pages as src
 from ..sources.checkpoints import shared_folder
-from .stand_ins import table
+from .stand_ins import spread, table
 
 
 def normalise(spark, sf_dir):
@@ -286,7 +286,7 @@ def encoded_urls(spark, sf_dir):
         F.concat(F.lit("https://Shop.example/カ/b?q="), form, F.lit("&Color=a"), k), F.concat(F.lit("http://shop.example/%E3%82%AB//b/?color=a"), k, F.lit("&q="), F.replace(form, F.lit("+"), F.lit("%20"))),
         F.concat(F.lit("https://shop.example:443/x/../カ/b/?%71="), form, F.lit("&c%6Flor=a"), k, F.lit("#top")), F.concat(F.lit("https://shop.example/カ/b?utm_source=m&q="), form, F.lit("&color=%61"), k, F.lit("&s%69d=1")),
     )
-    p = table(spark, sf_dir, "part", "p_partkey", "p_name").select(k, F.posexplode(spellings).alias("i", "url"))
+    p = spread(table(spark, sf_dir, "part", "p_partkey", "p_name"), "p_partkey").select(k, F.posexplode(spellings).alias("i", "url"))
     return p.select("p_partkey", "i", urls.canonical(F.col("url")).alias("canonical"))
 
 

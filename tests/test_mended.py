@@ -110,3 +110,10 @@ def test_generation_log(spark):
     log = {r.run_id: r for r in audit.generation_log(runs).collect()}
     assert [(log[i].schema_valid, log[i].n_flags, log[i].needs_review, log[i].output) for i in "1234"] == [(True, 0, False, good), (True, 1, True, good), (False, 0, True, "oops"), (False, 0, True, None)]
     assert log["1"].prompt_hash == log["2"].prompt_hash != log["3"].prompt_hash and log["2"].flags[0].number == "77"
+
+
+def test_canonical_works_out_each_part_once(spark, capsys):
+    spark.createDataFrame([("https://s.jp/カ/../b?q=1",)], "u string").select(urls.canonical(F.col("u")).alias("c")).explain("extended")
+    plan = capsys.readouterr().out
+    analyzed = plan[plan.index("Analyzed") : plan.index("Optimized")]
+    assert analyzed.count("aggregate(") == 1 and analyzed.count("array_sort(") == 1
