@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -145,17 +146,27 @@ def found_cards(html: str | None, card: list, fields: list[tuple[str, Selector,
             yield values, [n for (n, s, _), v in zip(fields, values, strict=True) if s.required and v is None]
 
 
+#: Rows of cards or elements that a task holds at a time; a batch of pages has any number of them.
+HELD = 4096
+
+
+def _handed(rows: Iterator[list], columns: list[str]) -> Iterator[pd.DataFrame]:
+    while some := list(islice(rows, HELD)):
+        yield pd.DataFrame(some, columns=columns)
+
+
 def extract_listing_cards(pages: DataFrame, config: CardConfig) -> DataFrame:
     """One row per card of each page (page_id, url, html): page_id, position, the configured fields, the required ones that it lacks, price as a decimal."""
     names = list(config.fields)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         card, fields = _steps(config.card), [(n, s, _steps(s)) for n, s in config.fields.items()]
-        for frame in frames:
-            out = []
-            for page, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True):
-                out += [[page, url, position, *values, lacks] for position, (values, lacks) in enumerate(found_cards(html, card, fields))]
-            yield pd.DataFrame(out, columns=["page_id", "url", "position", *names, "missing_required"])
+        found = (
+            [page, url, position, *values, lacks]
+            for frame in frames for page, url, html in zip(frame["page_id"], frame["url"], frame["html"], strict=True)
+            for position, (values, lacks) in enumerate(found_cards(html, card, fields))
+        )
+        yield from _handed(found, ["page_id", "url", "position", *names, "missing_required"])
 
     schema = "page_id long, url string, position int, " + ", ".join(f"{n} string" for n in names) + ", missing_required array<string>"
     cards = pages.select("page_id", "url", "html").mapInPandas(run, schema)
@@ -165,17 +176,17 @@ def extract_listing_cards(pages: DataFrame, config: CardConfig) -> DataFrame:
 def page_elements(pages: DataFrame) -> DataFrame:
     """One row per element: page_id, tag, classes, whether its text holds a price, whether it or something below is a link."""
 
+    def elements(page: int, html: str | None) -> Iterator[list]:
+        rows = _Tree(html or "").rows
+        link = [r[0] == "a" and "href" in r[2] for r in rows]
+        for i in range(len(rows) - 1, -1, -1):
+            if link[i] and rows[i][3] >= 0:
+                link[rows[i][3]] = True
+        return ([page, r[0], r[1], link[i], PRICE.search("".join(r[4])) is not None] for i, r in enumerate(rows))
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for page, html in zip(frame["page_id"], frame["html"], strict=True):
-                rows = _Tree(html or "").rows
-                link = [r[0] == "a" and "href" in r[2] for r in rows]
-                for i in range(len(rows) - 1, -1, -1):
-                    if link[i] and rows[i][3] >= 0:
-                        link[rows[i][3]] = True
-                out += [[page, r[0], r[1], link[i], PRICE.search("".join(r[4])) is not None] for i, r in enumerate(rows)]
-            yield pd.DataFrame(out, columns=["page_id", "tag", "classes", "has_link", "has_price"])
+        found = (e for frame in frames for page, html in zip(frame["page_id"], frame["html"], strict=True) for e in elements(page, html))
+        yield from _handed(found, ["page_id", "tag", "classes", "has_link", "has_price"])
 
     schema = "page_id long, tag string, classes array<string>, has_link boolean, has_price boolean"
     return pages.select("page_id", "html").mapInPandas(run, schema)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kontor.functions import rules, urls
 from kontor.operators import audit, matching, publishing
+from kontor.sources import pages
 from kontor.sources import listings as src
 
 
@@ -117,3 +118,13 @@ def test_canonical_works_out_each_part_once(spark, capsys):
     plan = capsys.readouterr().out
     analyzed = plan[plan.index("Analyzed") : plan.index("Optimized")]
     assert analyzed.count("aggregate(") == 1 and analyzed.count("array_sort(") == 1
+
+
+def test_elements_leave_in_bounded_frames(spark):
+    page = "<ul>" + "<li class=a><a href=x>1</a></li>" * 700 + "</ul>"
+    sent = list(pages._handed(iter([[1, i] for i in range(9000)]), ["page_id", "n"]))
+    assert [len(f) for f in sent] == [4096, 4096, 808]
+    df = spark.createDataFrame([(i, "https://s.jp/", page) for i in range(9)], "page_id long, url string, html string").coalesce(1)
+    assert pages.page_elements(df).groupBy("page_id", "tag").count().where("tag = 'li' and count = 700").count() == 9
+    config = pages.CardConfig(pages.Selector("li"), {"name": pages.Selector("a")})
+    assert pages.extract_listing_cards(df, config).where("name = '1'").count() == 6300
