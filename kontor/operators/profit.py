@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, replace
+from decimal import ROUND_HALF_UP, Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,6 +88,23 @@ def cost_columns(revenue: Column, rate: Column, shipping: Column, returns: Colum
     )
 
 
+def total_cost(revenue: Column, rate: Column, shipping: Column, returns: Column, duty: Column, tax: Column, terms: Terms, fixed: Column | None = None) -> Column:
+    """The sum of ``cost_columns``, to the last digit: fees that are a share of the revenue are one product, as products and
+    sums are exact here, and what is nothing for these terms is not added.  ``fixed`` may hold ``fixed_cost`` already."""
+    fees = (terms.category_fee, terms.international_fee, terms.ad_rate, terms.fx_spread, terms.fx_buffer)
+    shares = (Decimal(f).quantize(Decimal("0.00001"), ROUND_HALF_UP) for f in fees)
+    parts = [fixed_cost(rate, shipping, terms) if fixed is None else fixed, percent(revenue, dec(str(sum(shares)), PERCENT))]
+    parts.append((percent(revenue, dec(terms.return_reserve, PERCENT)).cast("decimal(28,11)") * returns).cast(WIDE))
+    return total([*parts, *((duty, tax) if terms.mode == "SELLER_PAID" else ())])
+
+
+def fixed_cost(rate: Column, shipping: Column, terms: Terms) -> Column:
+    """The costs that do not depend on the selling price."""
+    yen = [terms.packaging, terms.insurance, terms.signature, terms.brokerage, terms.surcharge, terms.other]
+    paid = [F.col("purchase_price"), F.col("domestic_shipping_jpy"), F.col("handling_jpy"), shipping, *(dec(v) for v in yen if float(v))]
+    return total([dec(terms.fixed_fee).cast(WIDE), *(to_sale(v, rate) for v in paid)])
+
+
 def profit_scenarios(offers: DataFrame, terms: Terms = Terms(), only: tuple[str, ...] = ()) -> DataFrame:
     """One row for each offer and scenario: costs, profit in both currencies, margin, warnings.
 
@@ -107,7 +125,7 @@ def profit_scenarios(offers: DataFrame, terms: Terms = Terms(), only: tuple[str,
     duty, tax, warning = customs_cost(price, terms)
     costs = cost_columns(revenue, rate, dearer, F.col("returns"), duty, tax, terms)
     df = df.withColumns({f"cost_{n}": c for n, c in zip(COSTS, costs, strict=True)})
-    df = df.withColumn("total_cost", total([F.col(f"cost_{n}") for n in COSTS]))
+    df = df.withColumn("total_cost", total_cost(revenue, rate, dearer, F.col("returns"), F.col("cost_duty"), F.col("cost_import_tax"), terms))
     df = df.withColumn("profit", (revenue.cast(WIDE) - F.col("total_cost")).cast(WIDE))
     df = df.withColumn("profit_jpy", (F.col("profit").cast("decimal(24,11)") * rate.cast("decimal(14,7)")).cast(WIDE))
     margin = F.try_divide(F.col("profit") * 100, revenue)
@@ -167,12 +185,13 @@ def price_floor(
         """Profit and revenue at a price."""
         revenue = (price + dec(own.buyer_shipping)).cast("decimal(22,6)")
         duty, tax, _ = customs_cost(price, own)
-        costs = cost_columns(revenue, rate, shipping, dec(returned, "decimal(4,2)"), duty, tax, own)
-        return (revenue.cast(WIDE) - total(list(costs))).cast(WIDE), revenue
+        cost = total_cost(revenue, rate, shipping, dec(returned, "decimal(4,2)"), duty, tax, own, F.col("_fixed"))
+        return (revenue.cast(WIDE) - cost).cast(WIDE), revenue
 
     edge, upper = terms.de_minimis if terms.mode == "SELLER_PAID" else None, float(max_price)
     segments = [(None, 0.01, upper)] if edge is None else [(max_price, 0.01, float(edge) - 0.01), (None, float(edge), upper)]
     df = offers.drop("selling_price").withColumn("_rate", (fx - fx * dec(adverse, PERCENT) * cent).cast(RATE))
+    df = df.withColumn("_fixed", fixed_cost(rate, shipping, terms))
     for i, (exempt, _, _) in enumerate(segments):
         own = replace(terms, de_minimis=exempt)
         df = df.withColumns({f"_base{i}": gain(dec(0), own)[0], f"_far{i}": gain(dec(1000), own)[0]})

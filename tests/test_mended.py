@@ -5,8 +5,8 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
-from kontor.functions import rules, urls
-from kontor.operators import audit, matching, publishing
+from kontor.functions import money, rules, urls
+from kontor.operators import audit, matching, profit, publishing
 from kontor.sources import pages
 from kontor.sources import listings as src
 
@@ -128,3 +128,18 @@ def test_elements_leave_in_bounded_frames(spark):
     assert pages.page_elements(df).groupBy("page_id", "tag").count().where("tag = 'li' and count = 700").count() == 9
     config = pages.CardConfig(pages.Selector("li"), {"name": pages.Selector("a")})
     assert pages.extract_listing_cards(df, config).where("name = '1'").count() == 6300
+
+
+def test_total_cost_is_the_sum_of_its_columns(spark, capsys):
+    """To the last digit, in fewer steps than there are columns."""
+    offers = spark.range(300).selectExpr(
+        "id", *(f"cast(id * {n} / 7 as decimal(20,6)) as {c}" for n, c in ((1013, "purchase_price"), (11, "domestic_shipping_jpy"), (3, "handling_jpy"), (97, "selling_price"))), "cast(149.123456789 + id as decimal(20,10)) as fx_rate",
+    )
+    kinds = (profit.Terms(), profit.Terms(category_fee="13.251234", insurance="120", other="7.5", mode="SELLER_PAID", de_minimis="150", duty="5.123", import_tax="20"))
+    for terms in kinds:
+        df = profit.profit_scenarios(offers, terms)
+        plain = money.total([F.col(f"cost_{n}") for n in profit.COSTS])
+        assert df.where(~F.col("total_cost").eqNullSafe(plain)).count() == 0 and df.where("total_cost > 0").count() > 800
+    profit.profit_scenarios(offers).select("total_cost").explain("extended")
+    plan = capsys.readouterr().out
+    assert plan[plan.index("== Optimized") :].split("== Physical")[0].count(" * ") < 12
