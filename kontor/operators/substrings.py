@@ -16,6 +16,8 @@ from .reports import search_names
 
 #: Partitions of the index, and triples of a question that are read.
 BUCKETS, READ = 16, 4
+#: Names that one task of ``build`` cuts into triples, whatever the size of their files.
+ROWS = 10_000
 
 
 def literal_parts(pattern: str) -> list[str]:
@@ -51,12 +53,14 @@ class NameIndex:
     columns: tuple[str, ...] = ("name_ja", "name_en")
 
     def build(self, names: DataFrame) -> None:
+        names = names.where(F.col(self.id).isNotNull()).select(self.id, *self.columns)
+        parts = names.count() // ROWS + 1
         text = F.explode(F.array(*(F.lower(c) for c in self.columns))).alias("t")
-        rows = names.where(F.col(self.id).isNotNull()).select(self.id, text).where(F.length("t") >= 3)
+        rows = names.repartition(parts, self.id).select(self.id, text).where(F.length("t") >= 3)
         at = F.sequence(F.lit(1), F.length("t") - 2)
         rows = rows.select(self.id, F.explode(F.array_distinct(F.transform(at, lambda i: F.substring("t", i, F.lit(3))))).alias("triple")).distinct()
         rows = rows.withColumn("bucket", self._bucket())
-        rows.repartitionByRange("bucket", "triple", self.id).sortWithinPartitions("bucket", "triple").write.partitionBy("bucket").parquet(f"{self.path}/postings")
+        rows.repartitionByRange(parts, "bucket", "triple", self.id).sortWithinPartitions("bucket", "triple").write.partitionBy("bucket").parquet(f"{self.path}/postings")
         counts = names.sparkSession.read.parquet(f"{self.path}/postings").groupBy("bucket", "triple").agg(F.count(F.lit(1)).alias("n"))
         counts.repartitionByRange("bucket", "triple").sortWithinPartitions("bucket", "triple").write.partitionBy("bucket").parquet(f"{self.path}/counts")
 

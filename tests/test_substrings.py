@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from kontor.operators import substrings
 from kontor.operators.reports import search_names
 from kontor.operators.substrings import NameIndex, literal_parts, triples
 
@@ -26,3 +29,18 @@ def test_equals_the_scan(spark, tmp_path, capsys):
     plan = capsys.readouterr().out
     assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:200]
     assert "PushedFilters: [In(triple" in plan or "In(triple" in plan
+
+
+def test_build_is_dealt_out_by_names_and_not_by_bytes(spark, tmp_path, monkeypatch):
+    """Names from a file of one split, where Spark has one partition for them."""
+    monkeypatch.setattr(substrings, "ROWS", 100, raising=False)
+    names = spark.range(1000).coalesce(1).selectExpr("id", "concat('name ', id) as name_ja", "'Charizard' as name_en")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        index = NameIndex(str(tmp_path / "index"))
+        index.build(names)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    written = spark.read.parquet(f"{index.path}/postings").groupBy(F.input_file_name().alias("file")).count().collect()
+    assert max(r["count"] for r in written) < sum(r["count"] for r in written) / 5
+    assert index.search(names, "%arizar%").count() == 1000 and index.search(names, "%ame 99%").count() == 11
