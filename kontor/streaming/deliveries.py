@@ -29,6 +29,8 @@ SUPPLIER, PRODUCT = KEY
 #: Kinds of rows: a listing, the end of a run, a failed run, and a sign of life that only moves the watermark.
 ROW, END, FAILED, TICK = "row", "end", "failed", "tick"
 SHARDS = 16
+#: Rows of a frame that are held as one element of state, a line each (JSON has no line breaks of its own); the rows of a frame that leaves.
+LINES, FRAME = 1_000, 10_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 JSON = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 #: Suppliers of a batch that are named in a partition filter; more are joined.
@@ -57,7 +59,8 @@ class Gather(StatefulProcessor):
             failed = failed or bool((frame["kind"] == FAILED).any())
             own = frame["row"][frame["kind"] == ROW]
             if len(own) and not failed:
-                self.rows.appendList([(r,) for r in own])
+                lines = own.tolist()
+                self.rows.appendList([("\n".join(lines[k : k + LINES]),) for k in range(0, len(lines), LINES)])
         if failed and self.rows.exists():
             self.rows.clear()
         due = ended if ended is not None and not failed else last + self.patience
@@ -72,9 +75,9 @@ class Gather(StatefulProcessor):
         ended, failed, _, _ = self.run.get()
         if ended is not None and not failed and self.rows.exists():
             waiting = []
-            for (row,) in self.rows.get():
-                waiting.append(row)
-                if len(waiting) == 10_000:
+            for (lines,) in self.rows.get():
+                waiting.append(lines)
+                if len(waiting) * LINES == FRAME:
                     yield self._frame(key, ended, waiting)
                     waiting = []
             if waiting:
@@ -110,6 +113,7 @@ def whole_deliveries(df: DataFrame, at: str, delay: str, patience_ms: int = 86_4
     out = rows.groupBy(SUPPLIER, "run_id", "shard").transformWithStateInPandas(
         Gather(patience_ms), f"{SUPPLIER} {types[SUPPLIER]}, run_id {types['run_id']}, ended_ms long, row string", "append", "eventTime"
     )
+    out = out.withColumn("row", F.explode(F.split("row", "\n")))
     listed = F.from_json("row", listing, JSON)
     return out.select(SUPPLIER, "run_id", F.timestamp_millis("ended_ms").alias("ended"), listed.alias("r")).select(SUPPLIER, "run_id", "ended", "r.*")
 
@@ -198,8 +202,8 @@ class Sink:
             incoming = rows.join(now, [SUPPLIER, "run_id"]).drop("run_id", "ended", "_ended")
             when = now.select(SUPPLIER, "_ended")
             diff = diff_listings(before.join(when, SUPPLIER, "left_semi"), incoming).join(when, SUPPLIER)
-            for name, history in zip(("prices", "stocks"), history_rows(diff, F.col("_ended")), strict=True):
-                history.write.mode("overwrite").parquet(f"{staged}/{name}/turn={turn}")
+            changes = diff.where((F.col("status") == "created") | F.col("price_changed") | F.col("stock_changed"))
+            changes.write.mode("overwrite").parquet(f"{staged}/changes/turn={turn}")  # once, for both histories
             after = upsert_listings(before.join(when, SUPPLIER, "left"), incoming, F.col("_ended")).drop("_ended")
             after.write.mode("overwrite").parquet(f"{staged}/listings/turn={turn}")
             before = spark.read.schema(self.schema).parquet(f"{staged}/listings/turn={turn}")
@@ -217,8 +221,8 @@ class Sink:
         """Put the staged rows in their places; what is there already is replaced by the same."""
         turns = spark.read.parquet(f"{staged}/runs").agg(F.max("turn")).first()[0]
         self._replace(spark.read.schema(self.schema).parquet(f"{staged}/listings/turn={turns}"), "listings")
-        for name in ("prices", "stocks"):
-            rows = spark.read.parquet(*(f"{staged}/{name}/turn={t}" for t in range(1, turns + 1)))
+        changes = spark.read.parquet(*(f"{staged}/changes/turn={t}" for t in range(1, turns + 1)))
+        for name, rows in zip(("prices", "stocks"), history_rows(changes, F.col("_ended")), strict=True):
             self._replace(rows.withColumns({"stream": F.lit(stream), "batch": F.lit(number).cast("long")}), name)
 
 

@@ -3,8 +3,11 @@
 from datetime import datetime
 from decimal import Decimal
 
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
+from kontor.plans import streams
 from kontor.streaming import deliveries as d
 from kontor.streaming.listings import stream_listings
 
@@ -162,3 +165,88 @@ def test_streams_do_not_share_batch_numbers(spark, deliver, tmp_path):
     sink = deliver([FIRST + ENDS + TICK], "a")
     deliver([[row(3, 1, 1, "q", 7), mark(3, 1, 2), *TICK]], "b", sink=sink)
     assert {k[0] for k in shown(spark, sink)[0]} == {1, 2, 3} and d.stream_name("x") != d.stream_name("y")
+
+
+class Held:
+    """Stands in for a state of one key."""
+
+    def __init__(self):
+        self.value = None
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        return self.value
+
+    def update(self, value):
+        self.value = value
+
+    def clear(self):
+        self.value = None
+
+    def appendList(self, values):
+        self.value = (self.value or []) + values
+
+
+class Handle:
+    def __init__(self):
+        self.states = {}
+
+    def getListState(self, name, schema):
+        return self.states.setdefault(name, Held())
+
+    getValueState = getListState
+
+    def registerTimer(self, at):
+        pass
+
+    deleteTimer = registerTimer
+
+
+def test_state_holds_many_rows_in_one_element():
+    gather, handle = d.Gather(1000), Handle()
+    gather.init(handle)
+    rows = [f'{{"n":{k}}}' for k in range(25_500)]
+    frames = [pd.DataFrame({"kind": d.ROW, "at_ms": 5, "row": rows[k : k + 10_000]}) for k in range(0, len(rows), 10_000)]
+    frames.append(pd.DataFrame({"kind": [d.END], "at_ms": [7], "row": [None]}))
+    assert list(gather.handleInputRows((1, 1, 0), iter(frames), None)) == []
+    assert len(handle.states["rows"].value) == 26
+    out = list(gather.handleExpiredTimer((1, 1, 0), None, None))
+    assert [line for f in out for lines in f["row"] for line in lines.split("\n")] == rows and len(out) == 3
+    assert not handle.states["rows"].exists()
+
+
+def test_line_breaks_in_a_row_are_no_ends_of_rows(spark, deliver):
+    broken = [row(1, 1, 1, "a\nb\r\n", 10), row(1, 1, 1, "c", 20)]
+    assert set(shown(spark, deliver([broken + ENDS[:1] + TICK], "broken"))[0]) == {(1, "a\nb\r\n"), (1, "c")}
+
+
+def test_differences_are_worked_out_once_for_both_histories(spark, batches, tmp_path):
+    sink, counter = d.Sink(f"{tmp_path}/once", TABLE), spark.sparkContext.accumulator(0)
+    sink.create(spark)
+    seen = F.udf(lambda price: counter.add(1) or price, "decimal(20,6)").asNondeterministic()
+    real = d.diff_listings
+
+    def counting(*sides):
+        df = real(*sides)
+        return df.withColumn("price", seen("price"))
+
+    d.diff_listings = counting
+    try:
+        assert sink.stage(batches[0], f"{sink.path}/staged/s-0")
+    finally:
+        d.diff_listings = real
+    assert counter.value == 5
+
+
+def test_a_replay_does_not_go_through_the_state_again(spark, tmp_path, monkeypatch):
+    held = []
+
+    def apply(self, batch, number, stream):
+        held.append((number, batch.storageLevel.useDisk))
+        batch.write.format("noop").mode("overwrite").save()
+
+    monkeypatch.setattr(d.Sink, "apply", apply)
+    streams._delivered(spark, "/root/testdata/sf0.001", 2)
+    assert held and all(disk for _, disk in held) and len(held) == 2 * len({n for n, _ in held})
