@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,39 +24,56 @@ def stream_dedup(df: DataFrame, key: list[str], at: str, delay: str) -> DataFram
 
 
 CHANGES = "key string, at timestamp, event_id long, previous double, value double"
+WAITING = "keys array<string>, at array<long>, ids array<long>, vs array<double>, known array<string>, lasts array<double>"
+#: Groups that the keys of ``stream_changes`` are dealt into; the Python calls of a batch are as many at most, however many keys there are.
+KEY_SHARDS = 1024
 
 
-def stream_changes(df: DataFrame, key: Column, at: str, event_id: str, value: str, delay: str) -> DataFrame:
+def stream_changes(df: DataFrame, key: Column, at: str, event_id: str, value: str, delay: str, shards: int = KEY_SHARDS) -> DataFrame:
     """Events at which a key's value differs from the one before, in event-time order even if rows come late.
 
-    Rows wait in the state until the watermark has passed them, then leave in order; the state of a key is what is
-    still waiting and the last value.  A row behind the watermark is dropped, as everywhere in Structured Streaming.
+    Rows wait in the state until the watermark has passed them, then leave in order; the state is what is still waiting
+    and the last value of each key.  A row behind the watermark is dropped, as everywhere in Structured Streaming.
+    Keys are dealt into ``shards`` groups, each worked out as arrays: a call for each key costs more than its rows.
     """
     rows = df.withWatermark(at, delay).select(
-        key.cast("string").alias("key"), F.col(at).alias("at"), F.col(event_id).cast("long").alias("event_id"), F.col(value).cast("double").alias("value")
-    )
+        F.pmod(F.xxhash64(key.cast("string")), F.lit(shards)).cast("int").alias("shard"),
+        key.cast("string").alias("key"), F.col(at).alias("at"), F.unix_micros(at).alias("us"), F.col(event_id).cast("long").alias("event_id"), F.col(value).cast("double").alias("value"),
+    )
 
     def step(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, ids, values, last, seen = state.get if state.exists else ([], [], [], None, False)
-        waiting = list(zip(times, ids, values, strict=True))
-        for f in frames:
-            waiting += list(zip(f["at"].astype("datetime64[us]").astype("int64").tolist(), f["event_id"].tolist(), f["value"].tolist(), strict=True))
-        waiting.sort()
+        keys, at, ids, values, known, lasts = state.get if state.exists else ([], [], [], [], [], [])
+        frames = list(frames)
+        keys = np.concatenate([np.array(known, dtype=object), np.array(keys, dtype=object), *(f["key"].to_numpy(dtype=object) for f in frames)])
+        at = np.concatenate([np.array(at, dtype="int64"), *(f["us"].to_numpy(dtype="int64") for f in frames)])
+        ids = np.concatenate([np.array(ids, dtype="int64"), *(f["event_id"].to_numpy(dtype="int64") for f in frames)])
+        values = np.concatenate([np.array(values, dtype="float64"), *(f["value"].to_numpy(dtype="float64") for f in frames)])
+        codes, names = pd.factorize(keys, use_na_sentinel=False)  # known keys are distinct and first: their codes are their places
+        names[pd.isna(names)] = None  # the null key, which factorize calls nan
+        last, seen = np.full(len(names), np.nan), np.zeros(len(names), dtype=bool)
+        last[: len(known)], seen[: len(known)] = lasts, True
+        codes = codes[len(known) :]
         mark = state.getCurrentWatermarkMs()
-        ready = sum(t // 1000 < mark for t, _, _ in waiting)
-        out = []
-        for t, event, v in waiting[:ready]:
-            if seen and v != last:
-                out.append((name[0], pd.Timestamp(t, unit="us"), event, last, v))
-            last, seen = v, True
-        waiting = waiting[ready:]
-        state.update(([w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], last, seen))
-        if waiting:
-            state.setTimeoutTimestamp(max(waiting[0][0] // 1000 + 1, mark + 1))
-        yield pd.DataFrame(out, columns=["key", "at", "event_id", "previous", "value"])
-
-    return rows.groupBy("key").applyInPandasWithState(
-        step, CHANGES, "at array<long>, ids array<long>, vs array<double>, last double, seen boolean", "append", GroupStateTimeout.EventTimeTimeout
+        ready = at // 1000 < mark
+        order = np.flatnonzero(ready)
+        order = order[np.lexsort((values[order], ids[order], at[order], codes[order]))]
+        c, v = codes[order], values[order]
+        edge = c[1:] != c[:-1]
+        first, end = np.append(True, edge)[: len(c)], np.append(edge, True)[: len(c)]
+        previous = np.append(np.nan, v[:-1])[: len(c)]
+        previous[first] = last[c[first]]
+        changed = (~first | seen[c]) & (v != previous)
+        last[c[end]], seen[c[end]] = v[end], True
+        wait = ~ready
+        state.update((names[codes[wait]].tolist(), at[wait].tolist(), ids[wait].tolist(), values[wait].tolist(), names[seen].tolist(), last[seen].tolist()))
+        if wait.any():
+            state.setTimeoutTimestamp(max(int(at[wait].min()) // 1000 + 1, mark + 1))
+        if changed.any():
+            out = order[changed]
+            yield pd.DataFrame({"key": names[codes[out]], "at": pd.to_datetime(at[out], unit="us"), "event_id": ids[out], "previous": previous[changed], "value": values[out]})
+
+    return rows.groupBy("shard").applyInPandasWithState(
+        step, CHANGES, WAITING, "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
