@@ -27,7 +27,7 @@ def percent(amount: Column, rate: Column) -> Column:
 
 def total(amounts: list[Column]) -> Column:
     """A sum whose type stays put, step by step."""
-    return reduce(lambda a, b: (a + b.cast(WIDE)).cast(WIDE), amounts, F.lit(0).cast(WIDE))
+    return reduce(lambda a, b: (a + b.cast(WIDE)).cast(WIDE), amounts[1:], amounts[0].cast(WIDE))
 
 
 def convert(df: DataFrame, amount: str, rate: str, out: str) -> tuple[DataFrame, DataFrame]:

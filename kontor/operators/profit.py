@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from decimal import ROUND_HALF_UP, Decimal
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.money import MONEY, PERCENT, RATE, WIDE, dec, percent, to_sale, total
@@ -50,13 +50,6 @@ class Terms:
     brokerage: str = "0"
 
 
-def scenarios(spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame(SCENARIOS, "scenario string, adverse string, dearer string, returns string")
-    return rows.select(
-        "scenario", F.col("adverse").cast(PERCENT), F.col("dearer").cast(PERCENT), F.col("returns").cast("decimal(4,2)")
-    )
-
-
 def customs_cost(price: Column, terms: Terms) -> tuple[Column, Column, Column]:
     """Duty, import tax and warning (or null)."""
     zero, none = F.lit(0).cast(WIDE), F.lit(None).cast("string")
@@ -91,10 +84,15 @@ def cost_columns(revenue: Column, rate: Column, shipping: Column, returns: Colum
 def total_cost(revenue: Column, rate: Column, shipping: Column, returns: Column, duty: Column, tax: Column, terms: Terms, fixed: Column | None = None) -> Column:
     """The sum of ``cost_columns``, to the last digit: fees that are a share of the revenue are one product, as products and
     sums are exact here, and what is nothing for these terms is not added.  ``fixed`` may hold ``fixed_cost`` already."""
+    reserve = (percent(revenue, dec(terms.return_reserve, PERCENT)).cast("decimal(28,11)") * returns).cast(WIDE)
+    return total([cost_without_returns(revenue, rate, shipping, duty, tax, terms, fixed), reserve])
+
+
+def cost_without_returns(revenue: Column, rate: Column, shipping: Column, duty: Column, tax: Column, terms: Terms, fixed: Column | None = None) -> Column:
+    """``total_cost`` before the return reserve."""
     fees = (terms.category_fee, terms.international_fee, terms.ad_rate, terms.fx_spread, terms.fx_buffer)
     shares = (Decimal(f).quantize(Decimal("0.00001"), ROUND_HALF_UP) for f in fees)
     parts = [fixed_cost(rate, shipping, terms) if fixed is None else fixed, percent(revenue, dec(str(sum(shares)), PERCENT))]
-    parts.append((percent(revenue, dec(terms.return_reserve, PERCENT)).cast("decimal(28,11)") * returns).cast(WIDE))
     return total([*parts, *((duty, tax) if terms.mode == "SELLER_PAID" else ())])
 
 
@@ -110,33 +108,43 @@ def profit_scenarios(offers: DataFrame, terms: Terms = Terms(), only: tuple[str,
 
     Columns read: purchase_price, domestic_shipping_jpy, handling_jpy (yen), selling_price (sale currency), fx_rate.
     """
-    cases = scenarios(offers.sparkSession)
-    if only:
-        cases = cases.where(F.col("scenario").isin(*only))
-    df = offers.crossJoin(F.broadcast(cases))  # three rows
-    rate = F.col("fx_rate").cast(RATE)
-    df = df.withColumn("rate", (rate - rate * F.col("adverse") * F.lit("0.01").cast("decimal(3,2)")).cast(RATE))
-    rate = F.col("rate")
+    names = [c for c in SCENARIOS if not only or c[0] in only]
+    cases: dict[tuple[str, str], list[Column]] = {}
+    for name, adverse, dearer, returns in names or SCENARIOS:
+        case = F.struct(F.lit(name).alias("scenario"), dec(returns, "decimal(4,2)").alias("returns"))
+        cases.setdefault((adverse, dearer), []).append(case)
+    # what scenarios of one rate and one shipping cost have in common is worked out once, then their rows are made
+    rates = [F.struct(dec(a, PERCENT).alias("adverse"), dec(d, PERCENT).alias("dearer"), F.array(*own).alias("cases")) for (a, d), own in cases.items()]
+    df = offers.where(F.lit(bool(names))).withColumn("_rates", F.explode(F.array(*rates)))
+    fx, shipping = F.col("fx_rate").cast(RATE), dec(terms.shipping)
+    cent = F.lit("0.01").cast("decimal(3,2)")
     price = F.col("selling_price").cast(MONEY)
-    df = df.withColumn("revenue", (price + dec(terms.buyer_shipping)).cast("decimal(22,6)"))
-    revenue = F.col("revenue")
-    shipping = dec(terms.shipping)
-    dearer = (shipping + shipping * F.col("dearer") * F.lit("0.01").cast("decimal(3,2)")).cast(MONEY)
+    df = df.withColumns({
+        "rate": (fx - fx * F.col("_rates.adverse") * cent).cast(RATE),
+        "revenue": (price + dec(terms.buyer_shipping)).cast("decimal(22,6)"),
+        "_shipping": (shipping + shipping * F.col("_rates.dearer") * cent).cast(MONEY),
+    })
+    revenue, rate, shipping = F.col("revenue"), F.col("rate"), F.col("_shipping")
     duty, tax, warning = customs_cost(price, terms)
-    costs = cost_columns(revenue, rate, dearer, F.col("returns"), duty, tax, terms)
-    df = df.withColumns({f"cost_{n}": c for n, c in zip(COSTS, costs, strict=True)})
-    df = df.withColumn("total_cost", total_cost(revenue, rate, dearer, F.col("returns"), F.col("cost_duty"), F.col("cost_import_tax"), terms))
+    costs = dict(zip((f"cost_{n}" for n in COSTS), cost_columns(revenue, rate, shipping, dec("1", "decimal(4,2)"), duty, tax, terms), strict=True))
+    df = df.withColumns(costs | {"_most": cost_without_returns(revenue, rate, shipping, duty, tax, terms)})
+    df = df.withColumn("_case", F.explode("_rates.cases")).withColumn("scenario", F.col("_case.scenario"))
+    df = df.withColumn("cost_return_reserve", (F.col("cost_return_reserve").cast("decimal(28,11)") * F.col("_case.returns")).cast(WIDE))
+    df = df.withColumn("total_cost", total([F.col("_most"), F.col("cost_return_reserve")]))
     df = df.withColumn("profit", (revenue.cast(WIDE) - F.col("total_cost")).cast(WIDE))
     df = df.withColumn("profit_jpy", (F.col("profit").cast("decimal(24,11)") * rate.cast("decimal(14,7)")).cast(WIDE))
     margin = F.try_divide(F.col("profit") * 100, revenue)
     df = df.withColumn("margin_percent", F.coalesce(F.round(margin, 4), F.lit(0)).cast("decimal(12,4)"))
-    warnings = F.array(
-        F.when(price <= 0, F.lit("selling price is zero or negative")),
-        F.when(F.col("purchase_price") == 0, F.lit("purchase price is zero")),
-        warning,
-        F.when(F.col("profit") < 0, F.concat(F.col("scenario"), F.lit(" scenario is loss-making"))),
-    )
-    return df.withColumn("warnings", F.filter(warnings, lambda w: w.isNotNull())).drop("adverse", "dearer", "returns")
+    none = F.array().cast("array<string>")
+    # pieces joined, not an array filtered: a lambda would have all below it, the costs too, interpreted instead of compiled
+    warnings = F.concat(*(F.when(when, F.array(text)).otherwise(none) for when, text in (
+        (price <= 0, F.lit("selling price is zero or negative")),
+        (F.col("purchase_price") == 0, F.lit("purchase price is zero")),
+        (warning.isNotNull(), warning),
+        (F.col("profit") < 0, F.concat(F.col("scenario"), F.lit(" scenario is loss-making"))),
+    )))
+    results = ("total_cost", "profit", "profit_jpy", "margin_percent")
+    return df.select(*offers.columns, "scenario", "rate", "revenue", *costs, *results, warnings.alias("warnings"))
 
 
 def in_band(value: Column, low: Column, high: Column) -> Column:

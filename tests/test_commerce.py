@@ -161,3 +161,18 @@ def test_regions(spark):
     region = spark.createDataFrame([("i", "CERT", "OCR", 5.0, 5.0, 20.0, 20.0, 0.9, 1), ("i", "BAR", "OCR", -1.0, 30.0, 20.0, 20.0, 0.9, 2)], REGION)
     safe = {r.image_id: r.failures for r in images.mask_safety(region, img).collect()}
     assert safe == {"i": ["BAR: overlaps the card", "BAR: starts outside"], "j": ["no regions", "not slab-shaped"]}
+
+
+def test_costs_of_scenarios_are_compiled_and_those_of_one_rate_shared(spark):
+    from kontor.operators import profit
+
+    df = spark.range(3).selectExpr(
+        "id", "cast(1000 * id as decimal(20,6)) AS purchase_price", "cast(300 as decimal(20,6)) AS domestic_shipping_jpy", "cast(0 as decimal(20,6)) AS handling_jpy",
+        "cast(20 as decimal(20,6)) AS selling_price", "cast(150 as decimal(20,10)) AS fx_rate",
+    )
+    out = profit.profit_scenarios(df).select("id", "scenario", "warnings")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "lambda" not in plan and "Join" not in plan  # a lambda would be interpreted with all below it
+    got = {(r.id, r.scenario): r.warnings for r in out.collect()}
+    assert len(got) == 9 and got[0, "BASE"][0] == "purchase price is zero" and got[2, "BASE"] == ["BASE scenario is loss-making"]
+    assert profit.profit_scenarios(df, only=("BASE",)).count() == 3 and profit.profit_scenarios(df, only=("NONE",)).count() == 0
